@@ -1,7 +1,83 @@
-"""All registered queries of the engine itself and their SQL."""
+"""All registered queries of the engine itself, each with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.functions import text as T
+from leafmill.operators import documents as D
+from leafmill.operators import log as L
+from leafmill.operators import retrieval as R
+from leafmill.plans import adapters as A
+from leafmill.sources.readers import table
+from leafmill.streaming.transcripts import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+_IMAGES = """images as (select o_custkey % 100 as document_id, o_orderkey as page, l_linenumber as n,
+  substr(md5(case when l_linenumber <= 3 and o_custkey % 2 = 0 then 'logo' || (o_custkey % 100) else 'img' || (p_partkey % 50) end), 1, 8) as digest,
+  p_size * 40 as width, p_size * 10 + 60 * l_linenumber as height
+  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey)"""
+_LINES = """rows as (select l_orderkey, l_linenumber, max(l_partkey) p, max(l_suppkey) s from lineitem group by all),
+ lines as (select l_orderkey as page, l_orderkey % 40 as document_id, l_linenumber as n, (p % 9) * 12.5 as x0,
+  case when l_linenumber = max(l_linenumber) over (partition by l_orderkey) then 500.0 else 30.0 + 4 * l_linenumber end as y0, 8 + s % 14 as size,
+  case when l_linenumber = max(l_linenumber) over (partition by l_orderkey) then 'Footer ' || l_orderkey else 'line ' || p end as text from rows)"""
+_SEGMENTS = """segments as (select conv_id, turn, 10 * turn as s, 10 * turn + 5 + length(text) % 20 as e from conversations),
+ turns as (select conv_id, turn as turn_ord, 12 * turn as t_start, 12 * turn + 11 as t_end, role as speaker from conversations)"""
+
+QUERIES: dict[str, Query] = {
+    "quality_gate": lambda s, d: A.candidates(s, d).select("doc_id", F.coalesce(D.quality_reason(F.col("md")), F.lit("ok")).alias("reason")),
+    "content_words": lambda s, d: table(s, d, "documents").select("doc_id", F.size(T.content_words(F.col("text"))).alias("n_words")),
+    "escape_markdown": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.escape_markdown(F.col("text")).cast("binary")).alias("escaped")),
+    "cell_text": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.cell_text(F.col("text")).cast("binary")).alias("cell")),
+    "recurring_images": lambda s, d: D.recurring_images(A.images(s, d)),
+    "content_override": lambda s, d: A.images(s, d).withColumn("is_content", D.looks_like_content(F.col("width"), F.col("height"))).groupBy("is_content").agg(F.count("*").alias("n")),
+    "repeated_footers": lambda s, d: D.repeated_footers(A.layout(s, d)),
+    "complex_pages": lambda s, d: D.complex_pages(A.layout(s, d).withColumn("page", F.floor(F.col("page") / 4))),
+    "split_slides": lambda s, d: D.split_slides(A.decks(s, d)).groupBy("document_id").agg(F.count("*").alias("slides"), F.sum("n_lines").alias("n_lines"), F.countDistinct("content_hash").alias("hashes")),
+    "assign_speakers": lambda s, d: R.assign_speakers(A.segments(s, d), A.turns(s, d)),
+    "audio_beside": lambda s, d: R.audio_beside(A.files(s, d)),
+    "nearest_chunks": lambda s, d: R.nearest_chunks(
+        table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document_id"), "embedding"),
+        table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("document_id"), F.col("embedding").alias("vector")), 5,
+    ),
+    "log_rollup": lambda s, d: L.rollup(table(s, d, "events")),
+    "recent_sources": lambda s, d: L.recent(table(s, d, "events"), 20),
+    "windowed_counts": lambda s, d: windowed_counts(table(s, d, "events")),
+}
+FLAGSHIP = "quality_gate"
+
+_NORMAL = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(x, ' '), '\*\*+|\*', '', 'g'), '^[-+]\s+', ''), '\s*[0-9]+\s*$', ''), '\s+', ' ', 'g')))"""
+
+ORACLE: dict[str, str] = {
+    "quality_gate": rf"""with c as (select doc_id, case doc_id % 8 when 0 then text when 1 then rtrim(repeat('- **' || substr(split_part(text, chr(10), 1), 1, 12) || '**' || chr(10), 12), chr(10))
+        when 2 then text || ' ...' when 3 then repeat(' ', 50) || '- ' || split_part(text, chr(10), 1) when 4 then '' when 5 then repeat('process ', 60)
+        when 6 then (select string_agg('- item ' || k, chr(10) order by k) from range(400) t(k)) else '- ' || replace(text, chr(10), chr(10) || '- ') end as md from documents),
+      l as (select doc_id, x, {_NORMAL} as y from (select doc_id, unnest(string_split(md, chr(10))) as x from c) where trim(x) <> ''),
+      k as (select doc_id, y, count(*) n from l group by all), m as (select doc_id, max(n) most, count(*) kinds, sum(n) lines from k group by 1),
+      depth as (select doc_id, max(case when regexp_matches(ltrim(x), '^[-*+] ') then (length(x) - length(ltrim(x))) // 2 else 0 end) depth from l group by 1),
+      w as (select doc_id, regexp_extract_all(lower(md), '[a-z0-9]+') w from c)
+      select c.doc_id, case when trim(md) = '' then 'empty' when lines > 300 then 'runaway length'
+        when regexp_matches(md, '\.\.\.|\[(?:specific|your|insert|placeholder)[^\]]*\]') then 'placeholder' when depth > 12 then 'excessive nesting'
+        when most > 8 or (lines >= 20 and kinds::double / lines < 0.5) then 'repetitive'
+        when len(w) >= 50 and len(list_distinct(w))::double / len(w) < 0.05 then 'low information' else 'ok' end as reason
+      from c left join m using (doc_id) left join depth using (doc_id) left join w using (doc_id)""",
+    "content_words": f"select doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')), lambda x: x not in ({STOP})))::int as n_words from documents",
+    "escape_markdown": r"select doc_id, md5(case when t like '#%' then chr(92) || t else t end) as escaped from (select doc_id, regexp_replace(text, '([\\`*_])', '\\\1', 'g') t from documents)",
+    "cell_text": r"select doc_id, md5(trim(replace(replace(coalesce(text, ''), '|', '\|'), chr(10), '<br>'), ' ')) as cell from documents",
+    "recurring_images": f"with {_IMAGES}, p as (select document_id, count(distinct page) pages from images group by 1), i as (select document_id, digest, count(distinct page) on_pages from images group by 1, 2) select document_id, digest, on_pages from i join p using (document_id) where on_pages >= greatest(2, ceil(pages * 0.8::double))",
+    "content_override": f"with {_IMAGES} select (width * height >= 150000 and greatest(width, height)::double / least(width, height) >= 2.0) as is_content, count(*) as n from images group by 1",
+    "repeated_footers": f"with {_LINES}, p as (select document_id, count(distinct page) pages from lines group by 1), k as (select document_id, trim(regexp_replace(lower(regexp_replace(text, '[0-9]', '', 'g')), '\\s+', ' ', 'g')) footer, count(*) n from lines where y0 >= 470 and size <= 16 group by 1, 2) select document_id, footer, n from k join p using (document_id) where footer <> '' and n >= greatest(2, floor(pages * 0.5))",
+    "complex_pages": f"with {_LINES} select page // 4 as page, count(distinct round_even(x0 / 5, 0) * 5) as edges, count(distinct round_even(x0 / 5, 0) * 5) >= 8 as is_complex from lines group by 1",
+    "split_slides": "select conv_id as document_id, count(*) as slides, sum(2 + len(string_split(text, chr(10))) + case when turn < last then 3 else 0 end)::bigint as n_lines, count(distinct md5(trim('# ' || role || ' — Slide ' || (turn + 1) || chr(10) || chr(10) || text || case when turn < last then chr(10) || chr(10) || '---' else '' end))) as hashes from (select *, max(turn) over (partition by conv_id) as last from conversations) group by 1",
+    "assign_speakers": f"with {_SEGMENTS} select s.conv_id, s.turn, arg_min(speaker, turn_ord) as speaker from segments s left join turns t on s.conv_id = t.conv_id and (s + e) / 2.0 >= t_start and (s + e) / 2.0 < t_end group by 1, 2",
+    "audio_beside": "with f as (select c_nationkey as dir, 'lec' || (c_custkey % 200) as stem, (['md', 'mp3', 'wav', 'm4a', 'flac', 'wma'])[c_custkey % 6 + 1] as ext from customer), a as (select dir, stem, arg_min(ext, list_position(['wav', 'm4a', 'mp3', 'flac', 'wma'], ext)) as audio from f where ext <> 'md' group by 1, 2) select distinct f.dir, f.stem, audio from f left join a using (dir, stem) where ext = 'md'",
+    "nearest_chunks": "with r as (select q.vec_id as query_id, c.vec_id as chunk_id, row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], c.embedding::double[]), c.vec_id)::int as rank from embeddings q join embeddings c on q.label = c.label where q.vec_id % 20 = 0) select * from r where rank <= 5",
+    "log_rollup": "select event_type, count(*) as n, count(distinct user_id) as sources, round(avg(value), 6) as mean_value, max(value) as max_value from events group by rollup (event_type)",
+    "recent_sources": "select user_id, max(ts) as last_used from events group by 1 order by last_used desc, user_id limit 20",
+    "windowed_counts": "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2",
+}
