@@ -107,6 +107,15 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     """Order of all suffixes, by doubling; ``text`` ends with a value that occurs once."""
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     step, n = 1, len(text)
+    while step < 4 and int(rank.max()) < (1 << 31) - 1:  # the first signs joined in one number, without a sort
+        wide = int(rank.max()) + 2
+        if wide * wide >= 1 << 62:
+            break
+        rank[: n - step] = rank[: n - step] * wide + rank[step:] + 1
+        rank[n - step :] *= wide
+        step *= 2
+    if step > 1:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
     while True:
         follow = np.zeros(n, np.int64)
         follow[: n - step] = rank[step:] + 1
@@ -132,26 +141,21 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     begins = np.cumsum(counts) - counts
     unset = np.ones(n + 1, bool)
     unset[begins] = unset[n] = False  # prefixes of length 0 end at the first signs' bounds
-    letters = alphabet >= marks
-    # places of each letter in the transform, one after the other: ranks come from searching within a letter's places
-    by = np.argsort(before, kind="stable")
-    at_letter = [(int(begins[c]), by[int(begins[c]) : int(begins[c] + counts[c])]) for c in np.flatnonzero(letters)]
+    letters = np.flatnonzero(alphabet >= marks)
+    # how often each letter stands in the transform before each place
+    ranks = np.zeros((len(letters), n), np.int32)
+    for row, c in zip(ranks, letters, strict=True):
+        np.cumsum(before[:-1] == alphabet[c], out=row[1:])
+    first, count = begins[letters][:, None], counts[letters][:, None]
     bounds = np.flatnonzero(~unset[:n])
     for _ in range(1, length):
-        fresh = []
-        for first, places in at_letter:
-            # a bound between suffixes is a bound between those that the letter extends, one sign longer
-            to = first + np.searchsorted(places, bounds)
-            to = to[(to > first) & (to < first + len(places))]
-            if len(to):
-                fresh.append(to)
-        if not fresh:
-            break
-        to = np.unique(np.concatenate(fresh))
-        bounds = to[unset[to]]
-        unset[bounds] = False
+        # a bound between suffixes is a bound between those that a letter extends, one sign longer
+        to = ranks[:, bounds]
+        to = (to + first)[(to > 0) & (to < count)]
+        bounds = np.unique(to[unset[to]])
         if not len(bounds):
             break
+        unset[bounds] = False
     shared = np.zeros(n, bool)
     same = np.flatnonzero(unset[:n])  # suffix i and the one before it agree in ``length`` signs
     shared[order[same]] = shared[order[same - 1]] = True
