@@ -94,23 +94,52 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (its component's smallest node) for all nodes of edges (a, b), by alternating star steps."""
-    edges = common.stage(edges.select("a", "b").where("a <> b"), "edges")
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one batch reduced to stars: each node with the smallest node that the batch ties it to."""
+    for batch in batches:
+        nodes, place = np.unique(np.concatenate([batch.column(i).to_numpy() for i in (0, 1)]), return_inverse=True)
+        u, v = place[: batch.num_rows], place[batch.num_rows :]
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[u], root[v])
+            after = root.copy()
+            for side in (root[u], root[v], u, v):
+                np.minimum.at(after, side, low)
+            after = after[after]
+            if (after == root).all():
+                break
+            root = after
+        tied = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[root[tied]]), pa.array(nodes[tied])], ["a", "b"])
+
+
+def components(edges: DataFrame, rounds: int = 60, part: int = 200_000, few: int = 20_000_000) -> DataFrame:
+    """node, root (its component's smallest node) for all nodes of edges (a, b), by alternating star steps.
+
+    Up to ``few`` edges are dealt to a task for each ``part`` of them, whatever the session's number of shuffle partitions;
+    more are left to the session and its splitting of skewed joins. The result is the same."""
+    edges = common.stage(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long"), "edges")
+
+    def sign(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+
+    before = sign(edges)
+    parts = -(-before[0] // part) or 1
+    deal = (lambda df, key: df.repartition(parts, key)) if before[0] <= few else (lambda df, key: df)
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = deal(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
         # small star: a node and its smaller neighbours are tied to the smallest of them
-        small = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        small = deal(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "u").distinct()
         low = small.groupBy("u").agg(F.min("v").alias("m"))
-        after = small.join(low, "u").select(F.col("m").alias("a"), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b")).distinct()
-        after = common.stage(after, "edges")
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
+        after = small.join(low, "u").select(F.col("m").alias("a"), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b"))
+        after = common.stage(deal(after, "b").distinct(), "edges")
         common.drop_stage(edges)
-        edges = after
-        if not changed:
+        edges, now = after, sign(after)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
