@@ -6,7 +6,7 @@ is the difference of its two log-likelihoods. Evidence is normalised by length o
 strongest words, the strongest window of ``WINDOW`` words and the text; a logistic curve fitted across two folds gives the score.
 
 Class counts are of texts: each text counts once for a word. Labels come from at most ``max_docs`` labelled rows of each class (lowest hash of doc_id first), equal texts once.
-Each model keeps its ``max_terms`` most frequent words and pairs. The shared counts cover every document: of each of
+Each model keeps its ``max_terms`` most frequent words and pairs among those of at least ``LEAST`` texts of a class. The shared counts cover every document: of each of
 2**17 buckets of words, the different classes of preceding words (64 bits), estimated by linear counting.
 
 Null and empty texts have no evidence and get the score of none. Rows are scored by their text alone; repeated rows alike.
@@ -52,7 +52,7 @@ def shared_continuations(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(masks[used], pa.int64())], ["bucket", "mask"])
 
     rows = docs.select(common.text_bytes(text).alias("text")).mapInArrow(run, "bucket int, mask long")
-    counted = rows.groupBy("bucket").agg(F.bit_count(F.bit_or("mask")).alias("n")).toPandas()  # at most BUCKETS rows
+    counted = rows.groupBy("bucket").agg(F.bit_count(F.bit_or("mask")).alias("n")).toArrow().to_pandas()  # at most BUCKETS rows
     n = np.zeros(BUCKETS)
     n[counted.bucket.to_numpy(int)] = counted.n.to_numpy(float)
     return -64 * np.log1p(-np.minimum(n, 63.5) / 64)
@@ -214,8 +214,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
     sums = words.groupBy("y", "fold").agg(F.sum("precedes").alias("continued")).collect()
 
     def frequent(df: DataFrame, keys: list[str]) -> pd.DataFrame:
-        top = df.groupBy(*keys).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), *keys).limit(max_terms)  # a bound of the model
-        return df.join(F.broadcast(top.drop("all")), keys).toPandas()
+        # a term of fewer than LEAST texts of a class has no part in that class's model
+        shown = df.groupBy("y", *keys).agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST)
+        top = shown.groupBy(*keys).agg(F.sum("all").alias("all")).orderBy(F.desc("all"), *keys).limit(max_terms).drop("all")  # a bound of the model
+        kept = common.stage(shown.drop("all").join(F.broadcast(top), keys), "terms")
+        # Arrow columns: rows as Python objects would take a kilobyte each; at most two rows a term
+        return df.join(F.broadcast(kept), ["y", *keys]).toArrow().to_pandas()
 
     words_kept, pairs_kept = frequent(words, ["hash"]), frequent(both, ["word", "before"])
 
@@ -238,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
                 x[at] = own.features([texts[i] for i in at])
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), *(pa.array(c) for c in x.T)], ["y", *names])
 
-    seen = rows.mapInArrow(features, ", ".join(["y int", *(f"{c} double" for c in names)])).toPandas().sort_values(["y", *names])  # at most 2 * max_docs rows
+    seen = rows.mapInArrow(features, ", ".join(["y int", *(f"{c} double" for c in names)])).toArrow().to_pandas().sort_values(["y", *names])  # at most 2 * max_docs rows
     x, y = seen[names].to_numpy(), seen.y.to_numpy(float)
     # the sample holds as many of either class as there are; a bound that bites would shift the constant only
     return Scorer(model((0, 2)), logistic(x, y), share)
