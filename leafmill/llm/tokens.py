@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -124,11 +125,11 @@ class TextTokenizer:
     def words(self, words: pa.Array, table: _Table) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``words``, joined, and the number of each. Letters and the signs behind them are looked up apart."""
         stem = pc.ascii_rtrim(words, _SIGNS)
-        split = pc.utf8_is_alpha(stem)
+        split = pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False)
         if self.spaceless:  # letters that the normalizer turns into a letter and a mark, which goes with the signs behind it
-            same = pc.equal(pc.utf8_normalize(stem, "NFC"), stem)
-            split = pc.and_(split, pc.and_not(same, pc.match_substring(stem, "\u0130")))
-        split = split.to_numpy(zero_copy_only=False)
+            split = split.copy()
+            wide = np.flatnonzero(split & ~pc.string_is_ascii(stem).to_numpy(zero_copy_only=False))
+            split[wide] = [is_normalized("NFC", w) and "\u0130" not in w for w in stem.take(pa.array(wide)).to_pylist()]
         tail = np.where(split, pc.binary_length(words).to_numpy() - pc.binary_length(stem).to_numpy(), 0)
         at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
         data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
