@@ -44,3 +44,23 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").selectExpr("c_nationkey as dir", "concat('lec', c_custkey % 200) as stem", "element_at(array('md', 'mp3', 'wav', 'm4a', 'flac', 'wma'), cast(c_custkey % 6 as int) + 1) as ext")
+
+
+def drafts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with headings, fences, runs of blank lines, list items and bold lead-ins."""
+    return table(spark, d, "documents").selectExpr("doc_id", r"""case cast(doc_id % 4 as int) when 0 then concat('# ', replace(text, '. ', '.  \n# ')) when 1 then concat('\n\n\n', replace(text, ' ', '\n'), '\n\n\n\n- end\n\n')
+        when 2 then concat('# a\n```\n# b\n- c\n', replace(text, '. ', '\n\n\n\n'), '\n```\n## d\n> e') else concat('intro\n# T\n- **Term:** x\n  - **Other** : y\n1. one\n| c |\n\n', replace(text, '. ', '\n- ')) end as md""")
+
+
+def spoken(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").selectExpr("conv_id", "turn", "10 * turn + 0.5D as seg_start", "10 * turn + 5 + length(text) % 20 + 0.25D as seg_end", "if(turn % 3 = 0, null, role) as speaker", "text")
+
+
+def attached(spark: SparkSession, d: str) -> DataFrame:
+    """Decks of which every other has a transcript behind it."""
+    return decks(spark, d).withColumn("md", F.expr("if(document_id % 2 = 0, concat(md, '\\n\\n # Transcript \\nspoken\\n# Transcript\\nagain'), md)"))
+
+
+def replies(spark: SparkSession, d: str) -> DataFrame:
+    one = table(spark, d, "conversations").selectExpr("conv_id", "turn", "concat(if(turn = 0, 'before', concat('## ', role)), '\\n', text) as md")
+    return one.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "md"))), lambda x: x["md"]), "\n").alias("md"))
