@@ -187,3 +187,22 @@ def test_empty_tables(spark):
     for made in (licenses.digest(docs), suffixes.digest(docs), quality.resample(docs, labels), packing.digest(docs, BYTES), mixing.digest(docs), simhash.digest(docs), fingerprints.digest(docs), tokenfiles.digest(docs, WORDS), toxicity.digest(docs, labels), neardup.keep_one(docs)):
         assert made.count() == 0
     assert common.groups_of([], 5) == []
+
+
+def test_ids_of_odd_words_equal_the_librarys():
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    from leafmill.llm import tokens
+
+    draw = random.Random(1)
+    signs = [*"abcXYZ'ÉßİΣςǅשׁⅧ²1.,!?*#-_́中<|>\n", "<|endoftext|>", "'s", " ", " ", " ", "Ġ", "Ċ"]
+    texts = [None, "", " ", "\n", "a", "a\nb", "a.\nb, c", "İ? İ", "Ġ Ċ\nĊ"] + ["".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(4000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own = tokens.TextTokenizer(public_tokenizers.path(name))
+        for _ in range(2):  # new words, then known ones
+            ids, counts = own.encode(pa.array(texts))
+            ends = counts.cumsum()
+            assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [x.tolist() for x in own.library([t or "" for t in texts])]
