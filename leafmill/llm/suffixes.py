@@ -27,6 +27,8 @@ from . import common
 
 #: Bytes of the short strings whose hashes are keys; distinct runs of a key; windows of a run; bytes of a bucket.
 GRAM, HOT, RUN, BUCKET = 32, 4096, 1024, 300_000
+#: Most entries of a table of ranks (four bytes each).
+TABLE = 24_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -142,16 +144,26 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     unset = np.ones(n + 1, bool)
     unset[begins] = unset[n] = False  # prefixes of length 0 end at the first signs' bounds
     letters = np.flatnonzero(alphabet >= marks)
-    # how often each letter stands in the transform before each place
-    ranks = np.zeros((len(letters), n), np.int32)
-    for row, c in zip(ranks, letters, strict=True):
-        np.cumsum(before[:-1] == alphabet[c], out=row[1:])
+    # how often each letter stands in the transform before each place: a table, or for large texts a search among the letter's places
+    ranks = np.zeros((len(letters), n if len(letters) * n <= TABLE else 0), np.int32)
+    if tabled := ranks.size > 0:
+        for row, c in zip(ranks, letters, strict=True):
+            np.cumsum(before[:-1] == alphabet[c], out=row[1:])
+    places = [] if tabled else [np.flatnonzero(before == alphabet[c]) for c in letters]
     first, count = begins[letters][:, None], counts[letters][:, None]
     bounds = np.flatnonzero(~unset[:n])
     for _ in range(1, length):
         # a bound between suffixes is a bound between those that a letter extends, one sign longer
-        to = ranks[:, bounds]
-        to = (to + first)[(to > 0) & (to < count)]
+        if tabled:
+            to = ranks[:, bounds]
+            to = (to + first)[(to > 0) & (to < count)]
+        else:  # letter by letter, so that only bounds not seen yet are held
+            found = []
+            for own, start, most in zip(places, first[:, 0], count[:, 0], strict=True):
+                to = np.searchsorted(own, bounds)
+                to = to[(to > 0) & (to < most)] + start
+                found.append(to[unset[to]])
+            to = np.concatenate([np.empty(0, np.int64), *found])
         bounds = np.unique(to[unset[to]])
         if not len(bounds):
             break
