@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import common, fingerprints, hamming, licenses, mixing, neardup, packing, quality, simhash, suffixes, tokenfiles, toxicity
 from leafmill.llm.tokens import TextTokenizer
@@ -181,6 +182,44 @@ def test_keep_one(spark):
     assert {r.doc_id for r in rows} == {0, None, 4, 5}
 
 
+@pytest.mark.parametrize("length,replaced,variants", [(300, 5, 30), (300, 5, 300), (1000, 18, 60)])
+def test_keep_one_of_a_star(spark, length, replaced, variants):
+    # each variant is similar to the original, but few to one another
+    rng = np.random.default_rng(variants)
+    a = [f"w{i}" for i in range(length)]
+    texts = [" ".join(a)]
+    for v in range(variants):
+        own = list(a)
+        for i in rng.choice(np.arange(2, length - 2, 6), replaced, replace=False):
+            own[i] = f"v{v}x{i}"
+        texts.append(" ".join(own))
+    assert [r.doc_id for r in neardup.keep_one(frame(spark, texts)).collect()] == [0]
+
+
+def test_near_duplicate_links_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    line = " ".join(f"c{i}" for i in range(12))
+    texts = []
+    for g in range(25):
+        a = [f"g{g}w{i}" for i in range(rng.integers(3, 120))]
+        for v in range(8):
+            own = [w if rng.random() > 0.006 * v else f"x{rng.integers(1 << 30)}" for w in a[rng.integers(0, 4) :]]
+            texts.append(" ".join(own) + (" " + line if g % 2 else ""))
+
+    def shingled(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [shingled(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = frame(spark, texts).withColumn("doc_id", F.coalesce("doc_id", F.lit(3)))
+    assert {r.doc_id for r in neardup.keep_one(docs).collect()} == set(root)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
