@@ -6,6 +6,7 @@ is the difference of its two log-likelihoods. Evidence is normalised by length o
 strongest words, the strongest window of ``WINDOW`` words and the text; a logistic curve fitted across two folds gives the score.
 
 Class counts are of texts: each text counts once for a word. Labels come from at most ``max_docs`` labelled rows of each class (lowest hash of doc_id first), equal texts once.
+The rates at which the classes were sampled are taken out of the logistic constant, so that a score means the same at every size.
 Each model keeps its ``max_terms`` most frequent words and pairs among those of at least ``LEAST`` texts of a class. The shared counts cover every document: of each of
 2**17 buckets of words, the different classes of preceding words (64 bits), estimated by linear counting.
 
@@ -58,10 +59,15 @@ def shared_continuations(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -64 * np.log1p(-np.minimum(n, 63.5) / 64)
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y and fold of all rows that may be learned from."""
+    one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    return one.withColumn("fold", fold()).where("fold <> 1")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_docs: int) -> DataFrame:
     """fold, label and text of a bounded sample of the rows that may be learned from."""
-    one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    one = one.withColumn("fold", fold()).where("fold <> 1").withColumn("h", F.xxhash64("doc_id"))
+    one = labelled(labels, label).withColumn("h", F.xxhash64("doc_id"))
     sample = one.where("y = 1").orderBy("h", "doc_id").limit(max_docs).unionByName(one.where("y = 0").orderBy("h", "doc_id").limit(max_docs))
     # at most 2 * max_docs ids
     rows = docs.select("doc_id", common.text_bytes().alias("text")).join(F.broadcast(sample.select("doc_id", "y", "fold")), "doc_id")
@@ -205,7 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
     rows = common.stage(training_rows(docs, labels, label, max_docs), "training")
     found = {(r.y, r.fold): r["count"] for r in rows.groupBy("y", "fold").count().collect()}
     n = [sum(v for (y, _), v in found.items() if y == c) for c in (0, 1)]
-    share = n[1] / max(1, sum(n))
+    labels_of = {r.y: r["count"] for r in labelled(labels, label).groupBy("y").count().collect()}
+    rate = [min(1.0, max(1, max_docs) / max(1, labels_of.get(c, 0))) for c in (0, 1)]
+    share = n[1] / rate[1] / max(1, n[0] / rate[0] + n[1] / rate[1])
     if not all(n):
         return Scorer(None, np.zeros(1 + FEATURES), share)
     shared = shared_continuations(docs)
@@ -244,8 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
 
     seen = rows.mapInArrow(features, ", ".join(["y int", *(f"{c} double" for c in names)])).toArrow().to_pandas().sort_values(["y", *names])  # at most 2 * max_docs rows
     x, y = seen[names].to_numpy(), seen.y.to_numpy(float)
-    # the sample holds as many of either class as there are; a bound that bites would shift the constant only
-    return Scorer(model((0, 2)), logistic(x, y), share)
+    weights = logistic(x, y)
+    weights[0] -= np.log(rate[1] / rate[0])
+    return Scorer(model((0, 2)), weights, share)
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:

@@ -174,6 +174,15 @@ def test_toxicity(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in rows.items() if i is not None)
 
 
+def test_toxicity_undoes_the_sampling_of_classes(spark):
+    # an eleventh is toxic whatever the text says: a sample of as many of either class must not make it a half
+    docs = frame(spark, [f"w{i % 7} said w{i % 5} and then w{i % 3} words" for i in range(1200)])
+    labels = spark.createDataFrame([(i, int(i % 11 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    scorer = toxicity.fit(docs, labels, max_docs=60)
+    mean = toxicity.score(docs, scorer).agg(F.avg("toxicity")).first()[0]
+    assert 0.05 < mean < 0.2
+
+
 def test_keep_one(spark):
     a = [f"w{i}" for i in range(100)]
     near = [*a[:50], "changed", *a[51:]]
