@@ -5,7 +5,7 @@ both share, so that a rare word of one class differs from the other only by what
 is the difference of its two log-likelihoods. Evidence is normalised by length over the strongest word, the ``TOP``
 strongest words, the strongest window of ``WINDOW`` words and the text; a logistic curve fitted across two folds gives the score.
 
-Class counts are of texts: each text counts once for a word. Labels come from at most ``max_docs`` labelled rows of each class (lowest hash of doc_id first), equal texts once.
+Class counts are of texts: each text counts once for a word and once for each different pair of words. Labels come from at most ``max_docs`` labelled rows of each class (lowest hash of doc_id first), equal texts once.
 The rates at which the classes were sampled are taken out of the logistic constant, so that a score means the same at every size.
 Each model keeps its ``max_terms`` most frequent words and pairs among those of at least ``LEAST`` texts of a class. The shared counts cover every document: of each of
 2**17 buckets of words, the different classes of preceding words (64 bits), estimated by linear counting.
@@ -75,7 +75,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_docs: int)
 
 
 def class_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """By fold and class: of words n, precedes (different words before) and begins (words behind it); of pairs n."""
+    """By fold and class: of words n, precedes (different words before) and begins (pairs with a word behind it); of pairs n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +86,20 @@ def class_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
                 before = before.copy()
                 before[offsets[:-1][offsets[:-1] < len(h)]] = 0
-                # a text speaks once for a word, by its first place there: repetition within a text isn't evidence of a class
+                # a text speaks once for a word and once for a pair: repetition within a text isn't evidence of a class
                 text = np.repeat(np.arange(stop - begin), np.diff(offsets))
-                frame = pd.DataFrame({"own": own, "word": h.view(np.int64), "before": before.view(np.int64), "text": text}).drop_duplicates(["text", "word"]).groupby(["own", "word", "before"], sort=False).size().reset_index(name="n")
-                yield pa.RecordBatch.from_arrays([pa.array(frame.own // 4, pa.int32()), pa.array(frame.own % 4, pa.int32()), pa.array(frame.word, pa.int64()), pa.array(frame.before, pa.int64()), pa.array(frame.n, pa.int64())], ["y", "fold", "word", "before", "n"])
+                places = pd.DataFrame({"own": own, "word": h.view(np.int64), "before": before.view(np.int64), "text": text}).drop_duplicates(["text", "before", "word"])
+                pair = places.groupby(["own", "word", "before"], sort=False).size().reset_index(name="n")
+                alone = places.drop_duplicates(["text", "word"]).groupby(["own", "word"], sort=False).size().reset_index(name="n")
+                for frame, of in ((pair, pa.array(pair.before, pa.int64())), (alone, pa.nulls(len(alone), pa.int64()))):
+                    yield pa.RecordBatch.from_arrays([pa.array(frame.own // 4, pa.int32()), pa.array(frame.own % 4, pa.int32()), pa.array(frame.word, pa.int64()), of, pa.array(frame.n, pa.int64())], ["y", "fold", "word", "before", "n"])
 
     distinct = rows.groupBy("y", "fold", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("y", "fold", "text")
-    pair = common.stage(distinct.mapInArrow(run, "y int, fold int, word long, before long, n long").groupBy("y", "fold", "word", "before").agg(F.sum("n").alias("n")), "pairs")
+    # before is null in the counts of words alone
+    both = common.stage(distinct.mapInArrow(run, "y int, fold int, word long, before long, n long").groupBy("y", "fold", "word", "before").agg(F.sum("n").alias("n")), "pairs")
+    pair = both.where("before is not null")
     zero = F.lit(0).cast("long")
-    one = pair.select("y", "fold", F.col("word").alias("hash"), "n", F.lit(1).cast("long").alias("precedes"), zero.alias("begins"))
+    one = both.select("y", "fold", F.col("word").alias("hash"), F.when(F.col("before").isNull(), F.col("n")).otherwise(zero).alias("n"), F.col("before").isNotNull().cast("long").alias("precedes"), zero.alias("begins"))
     one = one.unionByName(pair.where("before <> 0").select("y", "fold", F.col("before").alias("hash"), zero.alias("n"), zero.alias("precedes"), F.col("n").alias("begins")))
     words = one.groupBy("y", "fold", "hash").agg(*[F.sum(c).alias(c) for c in ("n", "precedes", "begins")])
     return words, pair

@@ -183,6 +183,18 @@ def test_toxicity_undoes_the_sampling_of_classes(spark):
     assert 0.05 < mean < 0.2
 
 
+def test_class_counts_hold_every_pair_of_a_text(spark):
+    texts = ["a b c a c b b a b", "b a", "", "a"]
+    rows = spark.createDataFrame([(1, 0, bytearray(t.encode())) for t in texts], "y int, fold int, text binary")
+    words, pairs = toxicity.class_counts(rows)
+    hashes = {w: int(toxicity.hashed([w.encode()])[0].view(np.int64)[0]) for w in "abc"} | {"": 0}
+    split = [["", *t.split()] for t in texts]
+    want = Counter(p for t in split for p in {(hashes[x], hashes[y]) for x, y in zip(t, t[1:])})
+    assert {(r.before, r.word): r.n for r in pairs.collect()} == want
+    got = {r.hash: (r.n, r.precedes, r.begins) for r in words.collect()}
+    assert got == {h: (sum(w in t for t in split), sum(y == h for _, y in want), sum(n for (x, _), n in want.items() if x == h)) for w, h in hashes.items() if w}
+
+
 def test_keep_one(spark):
     a = [f"w{i}" for i in range(100)]
     near = [*a[:50], "changed", *a[51:]]
