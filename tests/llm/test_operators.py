@@ -195,6 +195,16 @@ def test_class_counts_hold_every_pair_of_a_text(spark):
     assert got == {h: (sum(w in t for t in split), sum(y == h for _, y in want), sum(n for (x, _), n in want.items() if x == h)) for w, h in hashes.items() if w}
 
 
+def test_shared_continuations_grow_with_the_data(spark):
+    docs = frame(spark, [f"b{i} many c{i % 40} some d{i % 3} few" for i in range(5000)])
+    keys = np.sort(toxicity.hashed([b"many some few"])[0])
+    n, total = toxicity.shared_continuations(docs.repartition(5), keys)
+    by = dict(zip(keys.tolist(), n, strict=True))
+    for word, true in (("many", 5000), ("some", 40), ("few", 3)):
+        assert abs(by[int(toxicity.hashed([word.encode()])[0][0])] / true - 1) < 0.3
+    assert abs(total / (5000 + 5000 + 40 + 40 + 3 * 40 + 3) - 1) < 0.05
+
+
 def test_keep_one(spark):
     a = [f"w{i}" for i in range(100)]
     near = [*a[:50], "changed", *a[51:]]
