@@ -41,6 +41,34 @@ def test_license_scan(spark):
     assert len(licenses.default_rules()) >= 200
 
 
+def test_every_license_name_passes_its_gate():
+    scanner = licenses.Scanner(licenses.default_rules())
+
+    def samples(pattern):
+        # with and without what is optional, each way of the groups, the first letter of classes
+        if group := re.search(r"\(\?:([^()]*)\)(\??)", pattern):
+            ways = [*group[1].split("|"), *([""] if group[2] else [])]
+            return [s for way in ways for s in samples(pattern[: group.start()] + way + pattern[group.end() :])]
+        if one := re.search(r"\[([^\]])[^\]]*\](\*?)|(.)\?", pattern):
+            ways = [one[3], ""] if one[3] else [one[1]]
+            return [s for way in ways for s in samples(pattern[: one.start()] + way + pattern[one.end() :])]
+        return [" ".join(pattern.replace(",", "").split())]
+
+    for label, *_, names, _ in licenses.FAMILIES:
+        for name in names:
+            for sample in samples(name):
+                for text in (sample, f"licensed under the {sample}"):
+                    words = scanner.words(text.encode())
+                    joined = b" " + b" ".join(words) + b" "
+                    hits = [r for r, pattern, keys in scanner.rules if r.label == label and r.priority in (3, 6) and pattern.search(joined) and all(k in joined for k in keys)]
+                    assert hits, (label, text)
+    for text, label in (("licensed under the GNU Library General Public License", "lgpl"), ("the Internet Systems Consortium license", "isc"), ("Creative Commons Zero", "cc0"), ("the PSF license", "python-2"), ("a Responsible AI license", "openrail")):
+        assert label in {r.label for *_, r in scanner.scan(scanner.words(text.encode()))}
+    for rule, _, keys in scanner.rules:
+        if rule.priority == 2:
+            assert all(k in rule.pattern.encode() for k in keys)
+
+
 @pytest.mark.parametrize("length,hot", [(40, 4096), (40, 2)])
 def test_suffix_dedup(spark, length, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
