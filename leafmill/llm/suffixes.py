@@ -295,12 +295,19 @@ def _split(all_runs: DataFrame, many: DataFrame, length: int, seed: int) -> tupl
     return common.stage(rest, "runs"), common.stage(moved, "runs")
 
 
-def remove(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with kept_ (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs)."""
+def remove(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_id", whole: bool = False) -> DataFrame:
+    """``docs`` with kept_ (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs).
+
+    ``whole``: runs are widened to whole UTF-8 characters."""
     found = repeats(docs, length, text, doc_id)
     rows = docs.withColumns({"th_": F.xxhash64(text), "raw_": F.coalesce(common.text_bytes(text), F.lit(b""))})
     found = found.select(F.col("id_"), F.col("th_").alias("t_"), "spans")
     joined = rows.join(found, rows[doc_id].eqNullSafe(F.col("id_")) & (F.col("th_") == F.col("t_")), "left").drop("id_", "t_", "th_")
+    if whole:
+        inner = lambda place: f"hex(substring(raw_, {place}, 1)) between '80' and 'BF'"
+        more = lambda places: "case " + " ".join(f"when not ({inner(p)}) then {i}" for i, p in enumerate(places)) + " else 3 end"
+        begin, end = more(["s.begin + 1", "s.begin", "s.begin - 1"]), more(["s.end + 1", "s.end + 2", "s.end + 3"])
+        joined = joined.withColumn("spans", F.expr(f"transform(spans, s -> named_struct('begin', cast(greatest(s.begin - {begin}, 0) as int), 'end', cast(s.end + {end} as int)))"))
     # spans in order, overlapping and adjacent ones joined
     merged = F.expr("""aggregate(array_sort(coalesce(spans, array())), cast(array() as array<struct<begin:int,end:int>>), (m, s) ->
         if(size(m) > 0 and element_at(m, -1).end >= s.begin,

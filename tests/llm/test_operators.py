@@ -90,6 +90,15 @@ def test_suffix_dedup(spark, length, hot, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_cut_passages_go_by_whole_characters(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"p{i}" for i in range(80))
+    # both end in the byte A9 before the passage; the U+FFFD stood in the input
+    docs = frame(spark, ["\ufffd a é" + passage, "b ©" + passage])
+    assert {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()} == {0: "\ufffd a ", 1: "b "}
+
+
 def test_resampling_keeps_its_share(spark):
     docs = frame(spark, [f"good word{i % 7} text here" if i % 4 else "%%% junk zz zz zz" for i in range(40)] + ["", None])
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(20)], "doc_id long, quality int")
