@@ -70,6 +70,6 @@ def split_slides(markdown: DataFrame) -> DataFrame:
     starts = ((F.col("n") > 0) & (F.col("fence") == 0) & F.col("line").startswith("# ")).cast("int")
     lines = lines.withColumn("slide", F.sum(starts).over(upto) + 1)
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    out = lines.groupBy("document_id", "slide").agg(content.alias("content"), F.count("*").alias("n_lines"), F.min_by(F.when(F.col("line").startswith("# "), F.substring("line", 3, 1000)), "n").alias("title"))
+    out = lines.groupBy("document_id", "slide").agg(content.alias("content"), F.count("*").alias("n_lines"), F.min_by(F.when(F.col("line").startswith("# "), F.expr("substring(line, 3)")), "n").alias("title"))
     stripped = F.regexp_replace("content", r"^\s+|\s+$", "")
     return out.select("document_id", "slide", F.coalesce(F.regexp_replace("title", r" — (?:Slide|Page) \d+$", ""), F.lit("")).alias("title"), "n_lines", F.md5(stripped.cast("binary")).alias("content_hash"))

@@ -23,3 +23,11 @@ def test_rows(spark, duck, name):
     assert sorted(mine.columns) == sorted(theirs.columns)
     rows = lambda df: sorted(str([None if x is None or x != x else x for x in map(lambda v: v.item() if hasattr(v, "item") else v, r)]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert rows(mine) == rows(theirs)
+
+
+def test_slide_titles_are_whole(spark):
+    from leafmill.operators import documents
+
+    title = "word " * 400 + "end"
+    rows = documents.split_slides(spark.createDataFrame([(1, f"# {title}\n\ntext")], "document_id long, md string")).collect()
+    assert [r.title for r in rows] == [title]
