@@ -56,6 +56,8 @@ QUERIES: dict[str, Query] = {
         table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("document_id"), F.col("embedding").alias("vector")), 5,
     ),
     "log_rollup": lambda s, d: L.rollup(table(s, d, "events")),
+    "log_by_source": lambda s, d: L.rollup_by(table(s, d, "events"), F.col("user_id"), "source"),
+    "log_by_digest": lambda s, d: L.rollup_by(table(s, d, "events"), F.md5(F.col("props").cast("binary")), "digest"),
     "recent_sources": lambda s, d: L.recent(table(s, d, "events"), 20),
     "image_placement": lambda s, d: D.image_placement(A.images(s, d).groupBy("document_id", "page", "n").agg(F.min("digest").alias("digest"))).groupBy("document_id", "placement").agg(F.count("*").alias("n"), F.max("asset").alias("asset")),
     "polished": lambda s, d: M.polish(A.drafts(s, d)).select("doc_id", F.md5(F.col("md").cast("binary")).alias("polished")),
@@ -111,6 +113,8 @@ ORACLE: dict[str, str] = {
     "audio_beside": "with f as (select c_nationkey as dir, 'lec' || (c_custkey % 200) as stem, (['md', 'mp3', 'wav', 'm4a', 'flac', 'wma'])[c_custkey % 6 + 1] as ext from customer), a as (select dir, stem, arg_min(ext, list_position(['wav', 'm4a', 'mp3', 'flac', 'wma'], ext)) as audio from f where ext <> 'md' group by 1, 2) select distinct f.dir, f.stem, audio from f left join a using (dir, stem) where ext = 'md'",
     "nearest_chunks": "with r as (select q.vec_id as query_id, c.vec_id as chunk_id, row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], c.embedding::double[]), c.vec_id)::int as rank from embeddings q join embeddings c on q.label = c.label where q.vec_id % 20 = 0) select * from r where rank <= 5",
     "log_rollup": "select event_type, count(*) as n, count(distinct user_id) as sources, round(avg(value), 6) as mean_value, max(value) as max_value from events group by rollup (event_type)",
+    "log_by_source": "select user_id as source, event_type, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from events group by grouping sets ((user_id, event_type), (user_id))",
+    "log_by_digest": "select md5(props) as digest, event_type, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from events group by grouping sets ((md5(props), event_type), (md5(props)))",
     "recent_sources": "select user_id, max(ts) as last_used from events group by 1 order by last_used desc, user_id limit 20",
     "image_placement": f"with {_IMAGES}, u as (select document_id, page, n, min(digest) as digest from images group by all), r as (select *, row_number() over (partition by document_id, digest order by page, n) nth from u), a as (select document_id, digest, row_number() over (partition by document_id order by page, n)::int as asset from r where nth = 1) select document_id, case when nth = 1 then 'inline' else 'link' end as placement, count(*) as n, max(asset) as asset from r join a using (document_id, digest) group by 1, 2",
     "polished": f"with {_DRAFTS}, h as (select *, not open and y like '#%' as h from fences), l as (select *, lag(y) over w as b, lag(y, 2) over w as bb, lag(h) over w as hb from h window w as (partition by doc_id order by n)) select doc_id, md5(rtrim(string_agg(case when coalesce(b <> '' and y <> '' and (h or hb), false) then chr(10) else '' end || y, chr(10) order by n), chr(10))) as polished from l where not (y = '' and coalesce(b = '' and bb = '', false)) group by 1",

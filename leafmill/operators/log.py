@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,12 @@ def rollup(events: DataFrame) -> DataFrame:
     return events.rollup("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("sources"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"))
 
 
+def rollup_by(events: DataFrame, key: Column, name: str) -> DataFrame:
+    """Counts and latency by stage within each source or digest, and over each."""
+    rows = events.withColumn(name, key)
+    return rows.groupingSets([[F.col(name), F.col("event_type")], [F.col(name)]], name, "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """The latest row of each key; of equal times the new one's."""
     both = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
