@@ -6,6 +6,7 @@ in the folder that the session names in ``spark.checkpoint.dir`` and read back.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -15,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # no such library on this system
+    _libc = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +53,25 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for inner columns that no column in ``taken`` has, whatever its case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while (name := f"{name}_").lower() in used:
+            pass
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and what one task has taken would stay with it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8 bytes; Python then neither decodes nor encodes it."""
     return F.col(column).cast("binary")

@@ -2,15 +2,18 @@
 
 Every string of ``length`` bytes (a window) that starts at more than one place of all texts is found; matches never
 cross texts. Windows are first dealt so that equal windows meet: each has as key the smallest hash of the short strings
-in it, and consecutive windows with one key form a run. A key met by one run alone can't repeat. Runs are compared
-as distinct strings, so copies of a run count but don't multiply. A key whose runs are all one string is settled by that.
-The other strings of a bucket of keys are joined, each with an end mark of its own; from their suffix order comes the
+in it, and consecutive windows with one key form a run. Runs whose key is met by no other can't repeat and go. The others are compared
+as distinct strings, so copies of a run count but don't multiply: they repeat whole. Of the strings of a bucket of keys only stretches
+of windows whose rolling hash occurs again stay (equal windows have equal hashes, so none is lost). The distinct stretches
+are joined, each with an end mark of its own; from their suffix order comes the
 Burrows-Wheeler transform, and common-prefix values are derived by increasing value, extending interval bounds backwards
 breadth-first and stopping at ``length``: bounds not reached by then separate suffixes that share a window.
 
-A key met by more than ``HOT`` distinct strings is split by the smallest hash under another seed, again and again, so
-that a bucket stays bounded. Texts are identified by doc_id and hash of the text; repeated rows are occurrences of
-each other and get equal results. Null texts count as empty, and texts shorter than ``length`` have no window.
+A key met by more than ``HOT`` distinct strings would be too much for one task: windows of such strings are told apart by hashes of
+128 bits, counted where they are before they meet. Texts are identified by doc_id and hash of the text; repeated rows are occurrences of
+each other and get equal results. Null texts count as empty, and texts shorter than ``length`` have no window. Texts may be of any
+length: arrays are held for slices of a few megabytes, or one text. An empty table gives an empty one.
+Columns of the input with names that are used here are no harm: names of inner columns are chosen anew.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of the short strings whose hashes are keys; distinct runs of a key; windows of a run; bytes of a bucket.
-GRAM, HOT, RUN, BUCKET = 32, 4096, 1024, 300_000
+#: Bytes of the short strings whose hashes are keys; most distinct strings of a key that one task compares; windows of a run.
+GRAM, HOT, RUN = 32, 1000, 1024
+#: Bytes of strings that are sifted at once; of distinct stretches in one suffix order; of strings dealt to a task.
+SIFT, BUCKET, TASK = 500_000, 300_000, 2_000_000
 #: Most entries of a table of ranks (four bytes each).
 TABLE = 24_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -60,48 +66,55 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(x) - width + 1], out[width - step :]) if step < width else out
 
 
-def runs(texts: list[bytes], length: int, seed: int = 0) -> tuple[np.ndarray, ...]:
+def _twice(h: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray, wide: int) -> np.ndarray:
+    """Whether the smallest hash of a run of windows stands at two places of it."""
+    # the smallest hash of a window is the smallest of its own near neighbours on one side at least
+    near = min(32, (wide + 1) // 2)
+    least = _sliding_min(h, near)
+    place = np.ones(len(h), bool)
+    place[: len(least)] = h[: len(least)] == least
+    place[near - 1 :] |= h[near - 1 :] == least
+    place = np.flatnonzero(place)
+    value, group = np.unique(h[place], return_inverse=True)
+    if len(value) == len(place):
+        return np.zeros(len(first), bool)
+    # places by (value, place) as one sorted list
+    at = np.sort(group.astype(np.int64) * len(h) + place)
+    own = np.searchsorted(value, key).astype(np.int64) * len(h) + first
+    return np.searchsorted(at, own + count - 1 + wide) - np.searchsorted(at, own) > 1
+
+
+def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows: text, first window, windows, key, hash of the run's bytes, whether its key occurs twice in it."""
     gram = min(GRAM, length)
+    wide = length - gram + 1
     out: list[tuple[np.ndarray, ...]] = []
     fit = [i for i, t in enumerate(texts) if len(t) >= length]
-    for begin, stop in common.groups_of([len(texts[i]) for i in fit], 2_000_000):
+    for begin, stop in common.groups_of([len(texts[i]) for i in fit], 250_000):
         own = fit[begin:stop]
         raw = b"".join([texts[i] for i in own])
         sizes = np.array([len(texts[i]) for i in own])
-        data = np.frombuffer(raw, np.uint8)
-        h = _gram_hashes(data, gram, seed)
-        wide = length - gram + 1
+        h = _gram_hashes(np.frombuffer(raw, np.uint8), gram, 0)
         key = _sliding_min(h, wide)
         starts = np.cumsum(sizes) - sizes
         # windows that cross the end of a text are none
-        edge = np.zeros(len(data) + 1, np.int32)
+        edge = np.zeros(len(raw) + 1, np.int32)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + sizes - length + 1, -1)
         valid = np.cumsum(edge)[: len(key)] > 0
-        change = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (valid[1:] != valid[:-1])]))
-        extra = np.zeros(len(key), bool)
-        extra[change] = True
-        extra[starts] = True
-        first = np.flatnonzero(extra & valid)
-        bounds = np.flatnonzero(extra)
-        ends = np.append(bounds[1:], len(key))[np.searchsorted(bounds, first)]
-        count = ends - first
+        bound = np.concatenate([[True], (key[1:] != key[:-1]) | (valid[1:] != valid[:-1])])
+        bound[starts] = True
+        bounds = np.flatnonzero(bound)
+        inner = valid[bounds]
+        first, count = bounds[inner], np.diff(np.append(bounds, len(key)))[inner]
         if (count > RUN).any():  # long runs in parts
             parts = -(-count // RUN)
             step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
             first, count = np.repeat(first, parts) + step * RUN, np.minimum(np.repeat(count, parts) - step * RUN, RUN)
-        windows = np.lib.stride_tricks.sliding_window_view(h, wide)
-        twice = np.zeros(len(first), bool)
-        for i in range(0, len(first), 4096):
-            a, b, k = first[i : i + 4096], (first + count - 1)[i : i + 4096], key[first[i : i + 4096]][:, None]
-            left, right = windows[a] == k, windows[b] == k
-            at_left, at_right = left.argmax(axis=1) + a, right.argmax(axis=1) + b
-            twice[i : i + 4096] = (left.sum(axis=1) > 1) | (right.sum(axis=1) > 1) | (at_left != at_right)
         text = np.searchsorted(starts, first, side="right") - 1
         digest = xxhash.xxh3_64_intdigest
         digests = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)], np.uint64)
-        out.append((np.array(own, np.int64)[text], first - starts[text], count, key[first], digests, twice))
+        out.append((np.array(own, np.int64)[text], first - starts[text], count, key[first], digests, _twice(h, first, count, key[first], wide)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
 
 
@@ -175,17 +188,40 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     return [shared[a : a + max(0, s - length + 1)] for a, s in zip(at, sizes, strict=True)]
 
 
+def _again(strings: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """Stretches (string, first window, window after the last) of windows whose hash occurs again among the strings; equal windows have equal hashes."""
+    raw = b"".join(strings)
+    sizes = np.array([len(s) for s in strings])
+    starts = np.cumsum(sizes) - sizes
+    h = _gram_hashes(np.frombuffer(raw, np.uint8), length, 0)
+    edge = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + sizes - length + 1, -1)
+    place = np.flatnonzero(np.cumsum(edge)[: len(h)] > 0)
+    order = np.argsort(h[place], kind="stable")
+    ranked = h[place][order]
+    same = ranked[1:] == ranked[:-1]
+    again = np.zeros(len(raw) + 1, bool)
+    again[place[order[1:][same]]] = again[place[order[:-1][same]]] = True
+    edges = np.flatnonzero(np.diff(again.astype(np.int8), prepend=0))
+    begins, ends = edges[::2], edges[1::2]
+    own = np.searchsorted(starts, begins, side="right") - 1
+    # stretches end with their string: the windows that cross an end are none
+    return list(zip(own.tolist(), (begins - starts[own]).tolist(), (ends - starts[own]).tolist(), strict=True))
+
+
 def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 _RUNS = "first int, windows int, key long, run long, twice boolean"
+_SPANS = "array<struct<begin:int,end:int>>"
+_ARROW_SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
-def _arrays(found: tuple[np.ndarray, ...]) -> list[pa.Array]:
-    _, first, count, key, run, twice = found
-    return [pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), pa.array(twice)]
+def _as_spans(lists: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"begin": a, "end": b} for a, b in x] for x in lists], _ARROW_SPANS)
 
 
 def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -195,132 +231,196 @@ def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def _strings(docs: DataFrame, wanted: DataFrame, length: int, text: str, doc_id: str) -> DataFrame:
     """The bytes of runs (key, run, id_, th_, first, windows), one text read for all its runs."""
     by = wanted.groupBy("id_", "th_").agg(F.collect_list(F.struct("key", "run", "first", "windows")).alias("runs"))
-    named = _named(docs, text, doc_id).where("text_ is not null").select(F.col("id_").alias("d"), F.col("th_").alias("t"), "text_")
+    named = _named(docs, text, doc_id).where(F.octet_length("text_") >= length).select(F.col("id_").alias("d"), F.col("th_").alias("t"), "text_")
     joined = by.join(named, F.col("id_").eqNullSafe(F.col("d")) & (F.col("th_") == F.col("t"))).select(F.explode("runs").alias("r"), "text_")
     piece = F.expr(f"substring(text_, r.first + 1, r.windows + {length - 1})")
     return joined.select("r.key", "r.run", piece.alias("bytes")).dropDuplicates(["key", "run"])
 
 
-def repeats(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_id", hot: int | None = None) -> DataFrame:
-    """id_, th_ (hash of the text) and spans (array of begin, end): bytes covered by repeated windows. Texts without any have no row."""
-    hot = HOT if hot is None else hot
-    named = _named(docs, text, doc_id)
-    kind = named.schema["id_"].dataType.simpleString()
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = runs(common.values(batch.column(2)), length)
-            at = pa.array(found[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *_arrays(found)], ["id_", "th_", "first", "windows", "key", "run", "twice"])
-
-    all_runs = common.stage(named.mapInArrow(find, f"id_ {kind}, th_ long, {_RUNS}"), "runs")
-    whole, mixed, settled = None, None, []
-    for level in range(1, 40):
-        one = F.struct("id_", "th_", "first", "windows")
-        distinct = common.stage(all_runs.groupBy("key", "run").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(one).alias("at")), "distinct")
-        keys = distinct.groupBy("key").agg(F.count("*").alias("strings"), F.sum("n").alias("met"), F.max("twice").alias("any")).where("met > 1 or any")
-        keys = common.stage(keys, "keys")
-        both = distinct.join(keys, "key")
-        alone = both.where("strings = 1 and not twice").select("key", "run")
-        several = both.where("strings > 1 or twice").select("key", "run", "n", "strings", "at.*")
-        whole = alone if whole is None else whole.unionByName(alone)
-        # runs that copies share are whole; comparing them still tells which others repeat within them
-        strings = _strings(docs, several, length, text, doc_id).join(several.select("key", "run", "n", "strings"), ["key", "run"])
-        strings = common.stage(strings, "strings", "zstd")
-        small = strings.where(F.col("strings") <= hot).drop("strings")
-        mixed = small if mixed is None else mixed.unionByName(small)
-        many = strings.where(F.col("strings") > hot)
-        if not many.limit(1).count():
-            break
-        done, all_runs = _split(all_runs, many, length, level)
-        settled.append(done)
-    else:
-        raise RuntimeError("a key could not be split")
-    total = mixed.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET))
+def _compared(strings: DataFrame, length: int) -> DataFrame:
+    """key, run, windows_: the repeated windows of the strings (key, run, n, bytes) of keys of bounded size, by their suffix order."""
+    total = strings.agg(F.sum(F.length("bytes"))).first()[0] or 0
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            masks = repeated_windows([r[3] for r in rows], length)
-            for mask, r in zip(masks, rows, strict=True):
-                if r[2] > 1:
+        held, size = [], 0  # strings of whole keys
+        # distinct stretches, and the strings (key, run, first window) that hold each
+        stretches: dict[bytes, list[tuple[int, int, int]]] = {}
+        width = 0
+
+        def sift() -> None:
+            nonlocal held, size, width
+            raw = [r[3] for r in held]
+            for i, begin, end in _again(raw, length):
+                piece = raw[i][begin : end + length - 1]
+                holders = stretches.setdefault(piece, [])
+                width += 0 if holders else len(piece)
+                holders.append((held[i][0], held[i][1], begin))
+            held, size = [], 0
+
+        def settle() -> pa.RecordBatch:
+            nonlocal stretches, width
+            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for mask, holders in zip(repeated_windows(list(stretches), length), stretches.values(), strict=True):
+                if len(holders) > 1:
                     mask[:] = True
-            out = [(r[0], r[1], s) for r, m in zip(rows, masks, strict=True) if (s := _spans(m))]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in x[2]] for x in out], spans)], ["key", "run", "windows_"])
+                own = _spans(mask)
+                for key, run, at in holders:
+                    found.setdefault((key, run), []).extend((a + at, b + at) for a, b in own)
+            stretches, width = {}, 0
+            keys = [k for k, v in found.items() if v]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([r for _, r in keys], pa.int64()), _as_spans([found[k] for k in keys])], ["key", "run", "windows_"])
 
-        spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-        size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and size >= BUCKET and row[0] != held[-1][0]:
-                    yield flush(held)
-                    held, size = [], 0
+                if held and size >= SIFT and row[0] != held[-1][0]:
+                    sift()
+                    if width >= BUCKET:
+                        yield settle()
                 held.append(row)
                 size += len(row[3])
         if held:
-            yield flush(held)
-
-    sorted_ = mixed.select("key", "run", "n", "bytes").repartition(min(buckets, 20_000), "key").sortWithinPartitions("key", "run")
-    compared = sorted_.mapInArrow(compare, "key long, run long, windows_ array<struct<begin:int,end:int>>")
-    covered = whole.withColumn("windows_", F.lit(None).cast("array<struct<begin:int,end:int>>")).unionByName(compared)
-    covered = common.stage(covered, "repeated")
-    for done in settled:
-        all_runs = all_runs.unionByName(done)
-    hit = all_runs.select("id_", "th_", "first", "windows", "key", "run").join(covered, ["key", "run"])
-    spans = F.coalesce(
-        F.transform("windows_", lambda w: F.struct((F.col("first") + w["begin"]).alias("begin"), (F.col("first") + w["end"] + (length - 1)).alias("end"))),
-        F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.col("windows") + (length - 1)).alias("end"))),
-    )
-    return hit.select("id_", "th_", spans.alias("s")).groupBy("id_", "th_").agg(F.flatten(F.collect_list("s")).alias("spans"))
+            sift()
+        if stretches:
+            yield settle()
+        common.release()
+
+    # copies of a run repeat whole; their string still tells which other strings repeat within it
+    dealt = strings.select("key", "run", "n", "bytes").repartition(max(1, min(-(-total // TASK), 50_000)), "key").sortWithinPartitions("key", "run")
+    return dealt.mapInArrow(compare, f"key long, run long, windows_ {_SPANS}")
+
 
+def _window_hashes(strings: DataFrame, length: int) -> DataFrame:
+    """key, run, windows_ of strings of keys that too many distinct strings share: each window by a hash of 128 bits of its bytes, counted over all."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, run, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.frombuffer(raw, np.uint8)
+                pair = [_gram_hashes(data, length, seed).view(np.int64) for seed in (0, 1)]
+                n = len(pair[0])
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(n, key)), pa.array(np.full(n, run)), pa.array(np.arange(n), pa.int32())], ["h", "g", "key", "run", "at"])
+
+    each = strings.select("key", "run", "bytes").mapInArrow(split, "h long, g long, key long, run long, at int")
+    again = each.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
+    # a run's windows are bounded by ``RUN``
+    found = each.join(again, ["h", "g"], "left_semi").groupBy("key", "run").agg(F.collect_list(F.struct(F.col("at").alias("begin"), (F.col("at") + 1).alias("end"))).alias("windows_"))
+    return found.select("key", "run", "windows_")
 
-def _split(all_runs: DataFrame, many: DataFrame, length: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Runs of other keys; and those of the hot keys replaced by runs of finer keys: the smallest hash under another seed, joined with the key so far."""
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(found: DataFrame) -> DataFrame:
+    """id_, th_ and spans in order, overlapping and adjacent ones joined."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = runs(batch.column(2).to_pylist(), length, seed)
-            at = pa.array(found[0])
-            old = np.array(batch.column(0).take(at).to_pylist(), np.int64).view(np.uint64)
-            finer = (*found[:3], common.mix64(old * np.uint64(_BASE) + found[3]), *found[4:])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *_arrays(finer)], ["old_key", "old_run", "first", "windows", "key", "run", "twice"])
-
-    finer = common.stage(many.select("key", "run", "bytes").mapInArrow(again, f"old_key long, old_run long, {_RUNS}"), "finer")
-    renamed = finer.select("old_key", "old_run", F.col("first").alias("by"), F.col("windows").alias("w"), F.col("key").alias("k"), F.col("run").alias("r"), F.col("twice").alias("tw"))
-    old = (F.col("key") == F.col("old_key")) & (F.col("run") == F.col("old_run"))
-    moved = all_runs.join(renamed, old).select("id_", "th_", (F.col("first") + F.col("by")).alias("first"), F.col("w").alias("windows"), F.col("k").alias("key"), F.col("r").alias("run"), F.col("tw").alias("twice"))
-    rest = all_runs.join(finer.select("old_key", "old_run").distinct(), old, "left_anti")
-    return common.stage(rest, "runs"), common.stage(moved, "runs")
-
-
-def remove(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_id", whole: bool = False) -> DataFrame:
-    """``docs`` with kept_ (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs).
-
-    ``whole``: runs are widened to whole UTF-8 characters."""
-    found = repeats(docs, length, text, doc_id)
-    rows = docs.withColumns({"th_": F.xxhash64(text), "raw_": F.coalesce(common.text_bytes(text), F.lit(b""))})
-    found = found.select(F.col("id_"), F.col("th_").alias("t_"), "spans")
-    joined = rows.join(found, rows[doc_id].eqNullSafe(F.col("id_")) & (F.col("th_") == F.col("t_")), "left").drop("id_", "t_", "th_")
+            flat, out = batch.column(2), []
+            begins, ends = (flat.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            offsets = flat.offsets.to_numpy() - flat.offsets[0].as_py()
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                by = np.lexsort((ends[a:b], begins[a:b]))
+                low, high = begins[a:b][by], np.maximum.accumulate(ends[a:b][by])
+                cut = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+                out.append(list(zip(low[cut].tolist(), high[np.append(cut[1:], len(low)) - 1].tolist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _as_spans(out)], ["id_", "th_", "spans"])
+
+    return found.mapInArrow(merge, f"id_ {found.schema['id_'].dataType.simpleString()}, th_ long, spans {_SPANS}")
+
+
+def repeats(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_id", hot: int | None = None) -> DataFrame:
+    """id_, th_ (hash of the text) and spans (array of begin, end, in order, disjoint): bytes covered by repeated windows. Texts without any have no row."""
+    hot = HOT if hot is None else hot
+    named = _named(docs, text, doc_id).where(F.octet_length("text_") >= length)
+    kind = named.schema["id_"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, stop in common.groups_of(pc.binary_length(batch.column(2)).to_pylist(), 8_000_000):
+                part = batch.slice(begin, stop - begin)
+                own, first, count, key, run, twice = runs(part.column(2).to_pylist(), length)
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), pa.array(twice)], ["id_", "th_", "first", "windows", "key", "run", "twice"])
+        common.release()
+
+    every = common.stage(named.mapInArrow(find, f"id_ {kind}, th_ long, {_RUNS}"), "runs", "lz4")
+    again = every.groupBy("key").agg(F.count("*").alias("met"), F.max("twice").alias("any")).where("met > 1 or any").select("key")
+    met = common.stage(every.join(again, "key", "left_semi"), "met-runs", "lz4")
+    common.drop_stage(every)
+    distinct = common.stage(met.groupBy("key", "run").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("id_", "th_", "first", "windows")).alias("at")), "distinct", "lz4")
+    keys = distinct.groupBy("key").agg(F.count("*").alias("strings"))
+    both = distinct.join(keys, "key")
+    # a key whose runs are all one string
+    whole = both.where("(strings = 1 or n > 1) and not twice").select("key", "run")
+    several = common.stage(both.where("strings > 1 or twice").select("key", "run", "n", "twice", "strings", "at.*"), "several", "lz4")
+    strings = _strings(docs, several, length, text, doc_id).join(several.select("key", "run", "n", "strings"), ["key", "run"])
+    strings = common.stage(strings, "strings", "zstd")
+    found = _compared(strings.where(F.col("strings") <= hot), length)
+    many = strings.where(F.col("strings") > hot)
+    if not many.isEmpty():
+        found = found.unionByName(_window_hashes(many, length))
+    # windows of a run that copies share are all repeated
+    whole = whole.unionByName(several.where("n > 1 and twice").select("key", "run")).withColumn("windows_", F.lit(None).cast(_SPANS))
+    covered = common.stage(whole.unionByName(found), "repeated", "lz4")
+    common.drop_stage(strings)
+    hit = met.select("id_", "th_", "first", "windows", "key", "run").join(covered, ["key", "run"])
+    spans = F.coalesce(
+        F.transform("windows_", lambda w: F.struct((F.col("first") + w["begin"]).alias("begin"), (F.col("first") + w["end"] + (length - 1)).alias("end"))),
+        F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.col("windows") + (length - 1)).alias("end"))),
+    )
+    out = common.stage(_merged(hit.select("id_", "th_", spans.alias("s")).groupBy("id_", "th_").agg(F.flatten(F.collect_list("s")).alias("spans"))), "spans")
+    for one in (met, distinct, several, covered):
+        common.drop_stage(one)
+    return out
+
+
+def repeats_within(docs: DataFrame, found: DataFrame, length: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """As ``repeats``, where ``found`` holds the spans of a smaller length: a longer repeated string lies within one of those."""
+    wide = found.select(F.col("id_").alias("i"), F.col("th_").alias("t"), F.filter("spans", lambda s: s["end"] - s["begin"] >= length).alias("wide")).where(F.size("wide") > 0)
+    named = _named(docs, text, doc_id).where(F.octet_length("text_") >= length)
+    joined = named.join(wide, F.col("id_").eqNullSafe(F.col("i")) & (F.col("th_") == F.col("t"))).select("id_", "th_", "text_", F.explode("wide").alias("s"))
+    piece = F.struct("id_", "th_", F.col("s.begin").alias("begin"))
+    pieces = common.stage(joined.select(piece.alias("piece"), F.expr("substring(text_, s.begin + 1, s.end - s.begin)").alias("bytes")), "pieces", "zstd")
+    own = repeats(pieces, length, "bytes", "piece")
+    moved = own.select(F.col("id_").alias("piece"), "spans").select("piece.id_", "piece.th_", F.transform("spans", lambda s: F.struct((s["begin"] + F.col("piece.begin")).alias("begin"), (s["end"] + F.col("piece.begin")).alias("end"))).alias("s"))
+    out = common.stage(moved.groupBy("id_", "th_").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")), "spans")
+    common.drop_stage(pieces)
+    common.drop_stage(own)
+    return out
+
+
+def _cut(docs: DataFrame, found: DataFrame, text: str, doc_id: str, names: tuple[str, ...], whole: bool) -> DataFrame:
+    """``docs`` with four more columns of the given names: remaining bytes, bytes, removed bytes, removed runs; and the other columns of ``found``."""
+    th, raw, spans, i, t = common.fresh([*docs.columns, *found.columns, *names], "th", "raw", "spans", "i", "t")
+    kept, n_bytes, n_removed, n_spans = names
+    rows = docs.withColumns({th: F.xxhash64(text), raw: F.coalesce(common.text_bytes(text), F.lit(b""))})
+    found = found.withColumnsRenamed({"id_": i, "th_": t, "spans": spans})
+    joined = rows.join(found, rows[doc_id].eqNullSafe(F.col(i)) & (F.col(th) == F.col(t)), "left").drop(i, t, th)
+    joined = joined.withColumn(spans, F.coalesce(spans, F.array().cast(_SPANS)))
     if whole:
-        inner = lambda place: f"hex(substring(raw_, {place}, 1)) between '80' and 'BF'"
+        inner = lambda place: f"hex(substring({raw}, {place}, 1)) between '80' and 'BF'"
         more = lambda places: "case " + " ".join(f"when not ({inner(p)}) then {i}" for i, p in enumerate(places)) + " else 3 end"
         begin, end = more(["s.begin + 1", "s.begin", "s.begin - 1"]), more(["s.end + 1", "s.end + 2", "s.end + 3"])
-        joined = joined.withColumn("spans", F.expr(f"transform(spans, s -> named_struct('begin', cast(greatest(s.begin - {begin}, 0) as int), 'end', cast(s.end + {end} as int)))"))
-    # spans in order, overlapping and adjacent ones joined
-    merged = F.expr("""aggregate(array_sort(coalesce(spans, array())), cast(array() as array<struct<begin:int,end:int>>), (m, s) ->
-        if(size(m) > 0 and element_at(m, -1).end >= s.begin,
-           concat(slice(m, 1, size(m) - 1), array(named_struct('begin', element_at(m, -1).begin, 'end', greatest(element_at(m, -1).end, s.end)))),
-           concat(m, array(s))))""")
-    joined = joined.withColumn("spans", merged)
-    size = F.octet_length("raw_").cast("long")
-    pieces = F.expr("transform(sequence(0, size(spans)), i -> substring(raw_, if(i = 0, 0, spans[i - 1].end) + 1, if(i = size(spans), octet_length(raw_), spans[i].begin) - if(i = 0, 0, spans[i - 1].end)))")
-    joined = joined.withColumn("kept_", F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p)), "")))
-    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["begin"]), F.lit(0).cast("long"))
-    return joined.withColumns({"n_bytes": size, "n_removed": removed, "n_spans": F.size("spans").cast("long")}).drop("raw_", "spans")
-
-
-def digest(docs: DataFrame, length: int = 400) -> DataFrame:
-    found = remove(docs.select("doc_id", "text"), length)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_", 256).alias("kept_sha256"))
+        joined = joined.withColumn(spans, F.expr(f"transform({spans}, s -> named_struct('begin', cast(greatest(s.begin - {begin}, 0) as int), 'end', cast(s.end + {end} as int)))"))
+        # spans are in order and disjoint, so two that meet after widening meet in one character
+        joined = joined.withColumn(spans, F.expr(f"transform({spans}, (s, i) -> named_struct('begin', if(i > 0, greatest(s.begin, {spans}[i - 1].end), s.begin), 'end', s.end))"))
+    pieces = F.expr(f"transform(sequence(0, size({spans})), i -> hex(substring({raw}, if(i = 0, 0, {spans}[i - 1].end) + 1, greatest(0, if(i = size({spans}), octet_length({raw}), {spans}[i].begin) - if(i = 0, 0, {spans}[i - 1].end)))))")
+    cut = F.when(F.size(spans) == 0, F.col(raw)).otherwise(F.unhex(F.array_join(pieces, "")))
+    removed = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    runs_ = F.size(F.filter(spans, lambda s, i: (i == 0) | (s["begin"] > F.element_at(spans, F.when(i == 0, 1).otherwise(i))["end"]))).cast("long")
+    return joined.withColumns({kept: cut, n_bytes: F.octet_length(raw).cast("long"), n_removed: removed, n_spans: runs_}).drop(raw, spans)
+
+
+def remove(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_id", whole: bool = False, names: tuple[str, ...] = ("kept_", "n_bytes", "n_removed", "n_spans")) -> DataFrame:
+    """``docs`` with the remaining bytes, the bytes, the removed bytes and the maximal removed runs of each text in columns ``names``,
+    which take the place of columns of the same names. ``whole``: runs are widened to whole UTF-8 characters."""
+    return _cut(docs.drop(*names), repeats(docs, length, text, doc_id), text, doc_id, names, whole)
+
+
+def digest(docs: DataFrame, length: int = 400, passage: int = 200) -> DataFrame:
+    """Beside what ``length`` removes, the bytes that repeated strings of ``passage`` bytes (about fifty short words) cover."""
+    docs = docs.select("doc_id", "text")
+    covered = repeats(docs, passage)
+    found = covered.join(repeats_within(docs, covered, length).withColumnsRenamed({"id_": "i", "th_": "t", "spans": "own"}), F.col("id_").eqNullSafe(F.col("i")) & (F.col("th_") == F.col("t")), "left")
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    found = found.select("id_", "th_", n.alias("passage_bytes"), F.size("spans").cast("long").alias("n_passages"), F.col("own").alias("spans"))
+    out = _cut(docs, found, "text", "doc_id", ("kept", "n_bytes", "n_removed", "n_spans"), False)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), zero("passage_bytes"), zero("n_passages"))
