@@ -417,7 +417,7 @@ def remove(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_
 def digest(docs: DataFrame, length: int = 400, passage: int = 200) -> DataFrame:
     """Beside what ``length`` removes, the bytes that repeated strings of ``passage`` bytes (about fifty short words) cover."""
     docs = docs.select("doc_id", "text")
-    covered = repeats(docs, passage)
+    covered = repeats(docs, min(passage, length))
     found = covered.join(repeats_within(docs, covered, length).withColumnsRenamed({"id_": "i", "th_": "t", "spans": "own"}), F.col("id_").eqNullSafe(F.col("i")) & (F.col("th_") == F.col("t")), "left")
     n = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
     found = found.select("id_", "th_", n.alias("passage_bytes"), F.size("spans").cast("long").alias("n_passages"), F.col("own").alias("spans"))
