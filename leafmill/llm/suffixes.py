@@ -33,8 +33,6 @@ from . import common
 GRAM, HOT, RUN = 32, 1000, 1024
 #: Bytes of strings that are sifted at once; of distinct stretches in one suffix order; of strings dealt to a task.
 SIFT, BUCKET, TASK = 500_000, 300_000, 2_000_000
-#: Most entries of a table of ranks (four bytes each).
-TABLE = 24_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -118,74 +116,83 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by doubling; ``text`` ends with a value that occurs once."""
+def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
+    """Order of all suffixes by their first ``length`` signs at least, by doubling; ``text`` ends with a value that occurs once."""
+    n, step = len(text), 1
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step, n = 1, len(text)
-    while step < 4 and int(rank.max()) < (1 << 31) - 1:  # the first signs joined in one number, without a sort
-        wide = int(rank.max()) + 2
-        if wide * wide >= 1 << 62:
-            break
-        rank[: n - step] = rank[: n - step] * wide + rank[step:] + 1
-        rank[n - step :] *= wide
-        step *= 2
-    if step > 1:
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+    top = int(rank.max())
+    while step < 8 and (top + 2) ** 2 < 1 << 62:  # the first signs joined in one number, without a sort
+        wide = top + 2
+        joined = rank * wide
+        joined[: n - step] += rank[step:] + 1
+        rank, top, step = joined, wide * wide, step * 2
+    order = np.argsort(rank)
+    # the rank of a group of equals is the place where it begins
+    slots = np.arange(n)
+    ranked = rank[order]
     while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - step] = rank[step:] + 1
-        pair = rank * (n + 1) + follow
-        order = np.argsort(pair, kind="stable")
-        ranked = pair[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        if rank[order[-1]] == n - 1:
+        begins = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        group = slots[np.maximum.accumulate(np.where(begins, np.arange(len(slots)), 0))]
+        if step == 1 or len(slots) == n:
+            rank = np.empty(n, np.int64)
+        rank[order[slots]] = group
+        alone = begins & np.append(begins[1:], True)
+        slots, group = slots[~alone], group[~alone]
+        if not len(slots) or step >= length:
             return order
+        own = order[slots]
+        follow = own + step
+        second = np.where(follow < n, rank[np.minimum(follow, n - 1)] + 1, 0)
+        ranked = group * (n + 1) + second
+        by = np.argsort(ranked)
+        order[slots], ranked = own[by], ranked[by]
         step *= 2
 
 
 def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     """For each string a mask of its windows of ``length`` bytes that start elsewhere in the strings, too."""
     marks = len(strings)
+    if not marks:
+        return []
     sizes = np.array([len(s) for s in strings])
-    text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int64) + marks, i) for i, s in enumerate(strings)])
-    order = suffix_order(text)
-    before = text[order - 1]  # the Burrows-Wheeler transform
+    ends = np.cumsum(sizes + 1) - 1
+    text = np.empty(int(ends[-1]) + 1, np.int64)
+    inner = np.ones(len(text), bool)
+    inner[ends] = False
+    text[inner], text[ends] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + marks, np.arange(marks)
     n = len(text)
-    alphabet, counts = np.unique(text, return_counts=True)
-    begins = np.cumsum(counts) - counts
+    order = suffix_order(text, length)
+    before = text[order - 1]  # the Burrows-Wheeler transform
+    # a place of the transform and the place of the suffix that is longer by its letter; neighbours of one letter in the transform
+    back = np.argsort(before, kind="stable")
+    forward = np.empty(n, np.int64)
+    forward[back] = np.arange(n)
+    same = before[back[1:]] == before[back[:-1]]
+    following, previous = np.full(n, n), np.full(n, -1)
+    following[back[:-1][same]], previous[back[1:][same]] = back[1:][same], back[:-1][same]
+    letter = before >= marks
+    # unset[i]: suffix i and the one before it are not known to differ yet
     unset = np.ones(n + 1, bool)
-    unset[begins] = unset[n] = False  # prefixes of length 0 end at the first signs' bounds
-    letters = np.flatnonzero(alphabet >= marks)
-    # how often each letter stands in the transform before each place: a table, or for large texts a search among the letter's places
-    ranks = np.zeros((len(letters), n if len(letters) * n <= TABLE else 0), np.int32)
-    if tabled := ranks.size > 0:
-        for row, c in zip(ranks, letters, strict=True):
-            np.cumsum(before[:-1] == alphabet[c], out=row[1:])
-    places = [] if tabled else [np.flatnonzero(before == alphabet[c]) for c in letters]
-    first, count = begins[letters][:, None], counts[letters][:, None]
-    bounds = np.flatnonzero(~unset[:n])
-    for _ in range(1, length):
-        # a bound between suffixes is a bound between those that a letter extends, one sign longer
-        if tabled:
-            to = ranks[:, bounds]
-            to = (to + first)[(to > 0) & (to < count)]
-        else:  # letter by letter, so that only bounds not seen yet are held
-            found = []
-            for own, start, most in zip(places, first[:, 0], count[:, 0], strict=True):
-                to = np.searchsorted(own, bounds)
-                to = to[(to > 0) & (to < most)] + start
-                found.append(to[unset[to]])
-            to = np.concatenate([np.empty(0, np.int64), *found])
-        bounds = np.unique(to[unset[to]])
-        if not len(bounds):
+    unset[0] = unset[n] = False
+    low, high = np.array([0]), np.array([n - 1])
+    for depth in range(length):
+        # intervals of suffixes that share a prefix of ``depth`` signs, extended backwards by each letter that stands before one
+        size = high - low + 1
+        place = np.repeat(high + 1 - np.cumsum(size), size) + np.arange(int(size.sum()))
+        keep = letter[place] if depth else np.ones(n, bool)
+        place, own = place[keep], np.repeat(np.arange(len(low)), size)[keep]
+        low = np.sort(forward[place[previous[place] < low[own]]])
+        high = np.sort(forward[place[following[place] > high[own]]])
+        # where the extended prefix ends, suffixes agree in ``depth`` signs; values come in increasing order, so the first one stays
+        new = unset[high + 1]
+        low, high = low[new], high[new]
+        if not len(low):
             break
-        unset[bounds] = False
+        unset[high + 1] = False
     shared = np.zeros(n, bool)
     same = np.flatnonzero(unset[:n])  # suffix i and the one before it agree in ``length`` signs
     shared[order[same]] = shared[order[same - 1]] = True
-    at = np.cumsum(sizes + 1) - sizes - 1
-    return [shared[a : a + max(0, s - length + 1)] for a, s in zip(at, sizes, strict=True)]
+    return [shared[a : a + max(0, s - length + 1)] for a, s in zip(ends - sizes, sizes, strict=True)]
 
 
 def _again(strings: list[bytes], length: int) -> list[tuple[int, int, int]]:
