@@ -20,8 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .tokens import tokenizer
+from . import common, tokens
 
 
 def balance(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 1024) -> list[tuple[int, int, int, int, int]]:
@@ -72,7 +71,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, bl
         return pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], [*names, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]), made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = tokenizer(vocabulary).encode, TaskContext.get().partitionId() << 40
+        encode, base = tokens.tokenizer(vocabulary).encode, TaskContext.get().partitionId() << 40
         keys, ids, size = [], [], 0
         for batch in batches:
             texts = batch.column(len(names))
@@ -82,12 +81,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, bl
                 ends = np.cumsum(counts)
                 ids += [flat[e - n : e].tobytes() + end for e, n in zip(ends, counts, strict=True)]
                 size += 4 * len(flat)
-                if len(ids) >= block or size >= 32_000_000:
+                if len(ids) >= block or size >= 8_000_000:
                     out, base = pieces(keys, ids, base)
                     yield out
                     keys, ids, size = [], [], 0
         if ids:
             yield pieces(keys, ids, base)[0]
+        common.release()
 
     return rows.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 

@@ -17,7 +17,6 @@ count as empty; null doc_ids come last; rows with equal doc_id are ordered by th
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .tokens import tokenizer
+from . import common, tokens
 
 MAX_BITS, STEP, BLOCK_IDS = 20, 64, 1 << 18
 MAGIC = b"LMTK"
@@ -137,7 +135,7 @@ def _filesystem(path: str):
     """Where the shared folder is a mounted path, tasks write to it; other stores go through pyarrow."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
 NULL_ID = -(1 << 63)
@@ -151,7 +149,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, text: str =
     names = ["part", "row", "doc_id", "ids", "tally"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, own, row = TaskContext.get().partitionId(), tokenizer(vocabulary), 0
+        part, own, row = TaskContext.get().partitionId(), tokens.tokenizer(vocabulary), 0
         seen = np.zeros(own.vocab, np.int64)
         for batch in batches:
             for begin, stop in common.groups_of(pc.binary_length(batch.column(1)).to_pylist(), 4_000_000):
@@ -167,11 +165,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, text: str =
                 row += m
         if row:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names)
+        common.release()
 
     staged = common.stage(ordered.mapInArrow(encode, "part int, row long, doc_id long, ids binary, tally binary"), "ids", "zstd")
-    del ordered
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle before the files are written
 
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -189,7 +185,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, text: str =
     counts[[r.id for r in rows]] = [r.n for r in rows]
     lengths = code_lengths(counts)
     words = canonical(lengths)
-    narrow = "<u2" if tokenizer(vocabulary).vocab <= 1 << 16 else "<u4"
+    narrow = "<u2" if tokens.tokenizer(vocabulary).vocab <= 1 << 16 else "<u4"
     files, base = _filesystem(path)
     files.create_dir(base, recursive=True)
     with files.open_output_stream(f"{base}/code") as out:
@@ -198,6 +194,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, text: str =
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One file for each run of consecutive rows of a part: scans may split what one task has staged."""
+        tokens.release()
         files, base = _filesystem(path)
         stream, part, first, row, at = None, -1, 0, 0, ""
         docs = n_ids = n_bytes = size = 0
@@ -217,21 +214,26 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, text: str =
             files.move(at, f"{base}/{(name := f'part-{part:06d}-{first:012d}.lmtk')}")
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([n_bytes], pa.int64())], made)
 
-        for batch in batches:
-            for p, r, d, cell in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if stream is None or p != part or r != row:
-                    if stream is not None:
-                        yield close()
-                    part, first, docs, n_ids, n_bytes = p, r, 0, 0, 0
-                    at = f"{base}/_{p}-{r}.{TaskContext.get().taskAttemptId()}"
-                    stream = files.open_output_stream(at)
-                one = np.frombuffer(cell, narrow)
-                held.append((NULL_ID if d is None else d, one))
-                row, docs, n_ids, size = r + 1, docs + 1, n_ids + len(one), size + len(one)
-                if size >= BLOCK_IDS:
-                    flush()
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 500):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(begin, 500).columns), strict=True)
+
+        for p, r, d, cell in rows():
+            if stream is None or p != part or r != row:
+                if stream is not None:
+                    yield close()
+                part, first, docs, n_ids, n_bytes = p, r, 0, 0, 0
+                at = f"{base}/_{p}-{r}.{TaskContext.get().taskAttemptId()}"
+                stream = files.open_output_stream(at)
+            one = np.frombuffer(cell, narrow)
+            held.append((NULL_ID if d is None else d, one))
+            row, docs, n_ids, size = r + 1, docs + 1, n_ids + len(one), size + len(one)
+            if size >= BLOCK_IDS:
+                flush()
         if stream is not None:
             yield close()
+        common.release()
 
     blocks = staged.where("row >= 0").select("part", "row", "doc_id", "ids")
     out = common.stage(blocks.mapInArrow(put, "part int, first_row long, name string, n_docs long, n_ids long, n_bytes long"), "files")
@@ -239,12 +241,6 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, text: str =
     return out
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
-
-
 def read(files: DataFrame, path: str) -> DataFrame:
     """Decode the files that ``write`` listed: doc_id, start (ids before it in all files), n_tokens, ids (little-endian 32-bit)."""
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
@@ -254,6 +250,7 @@ def read(files: DataFrame, path: str) -> DataFrame:
     listed = files.withColumn("own", own).join(before, "part").select("name", (F.col("own") + F.col("before")).alias("start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         files, base = _filesystem(path)
         decoder = None
         for batch in batches:

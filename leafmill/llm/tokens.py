@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space beside space and line feed, and signs that some pattern engines take for it.
@@ -45,6 +47,9 @@ class _Table:
         self.keys = pa.array([], pa.string())
         self.values, self.begin, self.length = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def size(self) -> int:
+        return self.keys.nbytes + self.values.nbytes + self.begin.nbytes + self.length.nbytes
+
     def find(self, words: pa.Array) -> np.ndarray:
         """Places of ``words`` in the table."""
         at = pc.index_in(words, value_set=self.keys)
@@ -63,9 +68,9 @@ class _Table:
 
 
 class TextTokenizer:
-    """Encodes texts. ``cache`` bounds the number of distinct words that are kept between batches."""
+    """Encodes texts. ``cache`` bounds the bytes of the words and ids that each table keeps between batches."""
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int = 20_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -153,7 +158,7 @@ class TextTokenizer:
         """Ids of all texts joined, and the number of ids of each. Null counts as empty."""
         texts = pc.fill_null(texts, "")
         for table in (self.spaced, self.bare, self.other):
-            if len(table.keys) > self.most:
+            if table.size() > self.most:
                 table.clear()
         plain = pc.invert(pc.match_substring_regex(texts, _UNEVEN)).to_numpy(zero_copy_only=False) if self.leading or self.spaceless else np.zeros(len(texts), bool)
         even = texts.filter(pa.array(plain))
@@ -195,7 +200,14 @@ _made: dict[str, TextTokenizer] = {}
 
 
 def tokenizer(path: str) -> TextTokenizer:
-    """One for each Python worker and file."""
+    """One for each Python worker, of the file asked for last."""
     if path not in _made:
+        _made.clear()
         _made[path] = TextTokenizer(path)
     return _made[path]
+
+
+def release() -> None:
+    """Drop the tokenizers and their tables: workers are reused, and later stages don't need them."""
+    _made.clear()
+    common.release()
