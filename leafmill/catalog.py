@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill import catalog_more
 from leafmill.functions import text as T
 from leafmill.operators import documents as D
 from leafmill.operators import layout as P
@@ -40,15 +41,14 @@ _DRAFTS = """drafts as (select doc_id, case doc_id % 4 when 0 then '# ' || repla
 _SPOKEN = "spoken as (select conv_id, turn, 10 * turn + 0.5 as s, 10 * turn + 5 + length(text) % 20 + 0.25 as e, case when turn % 3 <> 0 then role end as speaker, trim(text, ' ') as text from conversations)"
 
 QUERIES: dict[str, Query] = {
-    "quality_gate": lambda s, d: A.candidates(s, d).select("doc_id", F.coalesce(D.quality_reason(F.col("md")), F.lit("ok")).alias("reason")),
+    "quality_gate": lambda s, d: D.gated(A.candidates(s, d), "md").select("doc_id", F.coalesce("reason", F.lit("ok")).alias("reason")),
     "content_words": lambda s, d: table(s, d, "documents").select("doc_id", F.size(T.content_words(F.col("text"))).alias("n_words")),
     "escape_markdown": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.escape_markdown(F.col("text")).cast("binary")).alias("escaped")),
     "cell_text": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.cell_text(F.col("text")).cast("binary")).alias("cell")),
-    "recurring_images": lambda s, d: D.recurring_images(A.images(s, d)),
+    "recurring_images": lambda s, d: D.recurring_images(A.images(s, d), A.image_pages(s, d)),
     "content_override": lambda s, d: A.images(s, d).withColumn("is_content", D.looks_like_content(F.col("width"), F.col("height"))).groupBy("is_content").agg(F.count("*").alias("n")),
-    "repeated_footers": lambda s, d: D.repeated_footers(A.layout(s, d)),
-    "complex_pages": lambda s, d: D.complex_pages(A.layout(s, d).withColumn("page", F.floor(F.col("page") / 4))),
-    "split_slides": lambda s, d: D.split_slides(A.decks(s, d)).groupBy("document_id").agg(F.count("*").alias("slides"), F.sum("n_lines").alias("n_lines"), F.countDistinct("content_hash").alias("hashes")),
+    "repeated_footers": lambda s, d: D.repeated_footers(A.layout(s, d), A.page_sizes(s, d)),
+    "split_slides": lambda s, d: D.split_slides(A.decks(s, d)),
     "assign_speakers": lambda s, d: R.assign_speakers(A.segments(s, d), A.turns(s, d)),
     "audio_beside": lambda s, d: R.audio_beside(A.files(s, d)),
     "nearest_chunks": lambda s, d: R.nearest_chunks(
@@ -75,7 +75,7 @@ QUERIES: dict[str, Query] = {
     "transcript_srt": lambda s, d: S.to_srt(A.spoken(s, d)).select("conv_id", F.md5(F.col("srt").cast("binary")).alias("srt")),
     "same_duration": lambda s, d: table(s, d, "orders").select("o_orderkey", S.same_duration(F.when(F.expr("o_orderkey % 5 > 0"), (F.col("o_orderkey") % 23 + 90).cast("double")), (F.col("o_custkey") % 7 * 20).cast("double")).alias("accepted")),
     "unused_audio": lambda s, d: S.unused_audio(A.files(s, d).where("ext <> 'md'"), A.files(s, d).where("ext = 'md'").select("dir", "stem")),
-    "page_numbers": lambda s, d: A.layout(s, d).withColumn("text", (F.col("page") % 1500).cast("string")).where(P.is_page_number(F.col("text"), F.col("size"), F.col("y0"))).select("page", "n"),
+    "page_numbers": lambda s, d: A.layout(s, d).withColumn("text", F.concat(F.lit("\t"), (F.col("page") % 1500).cast("string"), F.lit(" "))).where(P.is_page_number(F.col("text"), F.col("size"), F.col("y0"))).select("page", "n"),
     "backgrounds": lambda s, d: P.backgrounds(A.images(s, d).withColumn("is_full", F.col("width") >= 200)),
     "readability": lambda s, d: A.images(s, d).groupBy(F.coalesce(P.readability(F.col("width"), F.col("height")), F.lit("readable")).alias("verdict")).agg(F.count("*").alias("n")),
     "outside_tables": lambda s, d: P.outside_tables(
@@ -83,20 +83,26 @@ QUERIES: dict[str, Query] = {
         table(s, d, "orders").where("o_orderkey % 2 = 0").selectExpr("o_orderkey as page", "10D as x0", "35D as y0", "60D as x1", "48D as y1"),
     ).select("page", "n"),
     "windowed_counts": lambda s, d: windowed_counts(table(s, d, "events")),
-}
+} | catalog_more.QUERIES
 FLAGSHIP = "quality_gate"
 
-_NORMAL = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(x, ' '), '\*\*+|\*', '', 'g'), '^[-+]\s+', ''), '\s*[0-9]+\s*$', ''), '\s+', ' ', 'g')))"""
+_W = T.WHITE
+_TRIM = lambda x: f"regexp_replace({x}, '^[{_W}]+|[{_W}]+$', '', 'g')"
+_SPLIT = f"string_split_regex(md, '{T.LINE_ENDS}')"
+_CUT = f"case when {_SPLIT}[-1] = '' then {_SPLIT}[:-2] else {_SPLIT} end"
+_BARE = f"regexp_replace({_TRIM("replace(" + _TRIM('x') + ", '*', '')")}, '^[-+][{_W}]+|[{_W}]*[0-9]+$', '', 'g')"
+_NORMAL = f"lower({_TRIM(f"regexp_replace({_BARE}, '[{_W}]+', ' ', 'g')")})"
+_LEFT = f"regexp_replace(x, '^[{_W}]+', '')"
 
 ORACLE: dict[str, str] = {
     "quality_gate": rf"""with c as (select doc_id, case doc_id % 8 when 0 then text when 1 then rtrim(repeat('- **' || substr(split_part(text, chr(10), 1), 1, 12) || '**' || chr(10), 12), chr(10))
         when 2 then text || ' ...' when 3 then repeat(' ', 50) || '- ' || split_part(text, chr(10), 1) when 4 then '' when 5 then repeat('process ', 60)
         when 6 then (select string_agg('- item ' || k, chr(10) order by k) from range(400) t(k)) else '- ' || replace(text, chr(10), chr(10) || '- ') end as md from documents),
-      l as (select doc_id, x, {_NORMAL} as y from (select doc_id, unnest(string_split(md, chr(10))) as x from c) where trim(x) <> ''),
+      l as (select doc_id, x, {_NORMAL} as y from (select doc_id, unnest({_CUT}) as x from c) where {_TRIM('x')} <> ''),
       k as (select doc_id, y, count(*) n from l group by all), m as (select doc_id, max(n) most, count(*) kinds, sum(n) lines from k group by 1),
-      depth as (select doc_id, max(case when regexp_matches(ltrim(x), '^[-*+] ') then (length(x) - length(ltrim(x))) // 2 else 0 end) depth from l group by 1),
+      depth as (select doc_id, max(case when regexp_matches({_LEFT}, '^[-*+] ') then (length(x) - length({_LEFT})) // 2 else 0 end) depth from l group by 1),
       w as (select doc_id, regexp_extract_all(lower(md), '[a-z0-9]+') w from c)
-      select c.doc_id, case when trim(md) = '' then 'empty' when lines > 300 then 'runaway length'
+      select c.doc_id, case when {_TRIM('md')} = '' then 'empty' when lines > 300 then 'runaway length'
         when regexp_matches(md, '\.\.\.|\[(?:specific|your|insert|placeholder)[^\]]*\]') then 'placeholder' when depth > 12 then 'excessive nesting'
         when most > 8 or (lines >= 20 and kinds::double / lines < 0.5) then 'repetitive'
         when len(w) >= 50 and len(list_distinct(w))::double / len(w) < 0.05 then 'low information' else 'ok' end as reason
@@ -104,11 +110,10 @@ ORACLE: dict[str, str] = {
     "content_words": f"select doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')), lambda x: x not in ({STOP})))::int as n_words from documents",
     "escape_markdown": r"select doc_id, md5(case when t like '#%' then chr(92) || t else t end) as escaped from (select doc_id, regexp_replace(text, '([\\`*_])', '\\\1', 'g') t from documents)",
     "cell_text": r"select doc_id, md5(trim(replace(replace(coalesce(text, ''), '|', '\|'), chr(10), '<br>'), ' ')) as cell from documents",
-    "recurring_images": f"with {_IMAGES}, p as (select document_id, count(distinct page) pages from images group by 1), i as (select document_id, digest, count(distinct page) on_pages from images group by 1, 2) select document_id, digest, on_pages from i join p using (document_id) where on_pages >= greatest(2, ceil(pages * 0.8::double))",
+    "recurring_images": f"with {_IMAGES}, p as (select o_custkey % 100 as document_id, count(distinct o_orderkey) pages from orders group by 1), i as (select document_id, digest, count(distinct page) on_pages from images group by 1, 2) select document_id, digest, on_pages from i join p using (document_id) where on_pages >= greatest(2, ceil(pages * 0.8::double))",
     "content_override": f"with {_IMAGES} select (width * height >= 150000 and greatest(width, height)::double / least(width, height) >= 2.0) as is_content, count(*) as n from images group by 1",
-    "repeated_footers": f"with {_LINES}, p as (select document_id, count(distinct page) pages from lines group by 1), k as (select document_id, trim(regexp_replace(lower(regexp_replace(text, '[0-9]', '', 'g')), '\\s+', ' ', 'g')) footer, count(*) n from lines where y0 >= 470 and size <= 16 group by 1, 2) select document_id, footer, n from k join p using (document_id) where footer <> '' and n >= greatest(2, floor(pages * 0.5))",
-    "complex_pages": f"with {_LINES} select page // 4 as page, count(distinct round_even(x0 / 5, 0) * 5) as edges, count(distinct round_even(x0 / 5, 0) * 5) >= 8 as is_complex from lines group by 1",
-    "split_slides": "select conv_id as document_id, count(*) as slides, sum(2 + len(string_split(text, chr(10))) + case when turn < last then 3 else 0 end)::bigint as n_lines, count(distinct md5(trim('# ' || role || ' — Slide ' || (turn + 1) || chr(10) || chr(10) || text || case when turn < last then chr(10) || chr(10) || '---' else '' end))) as hashes from (select *, max(turn) over (partition by conv_id) as last from conversations) group by 1",
+    "repeated_footers": f"with {_LINES}, p as (select o_orderkey % 40 as document_id, count(distinct o_orderkey) pages from orders group by 1), k as (select document_id, trim(regexp_replace(lower(regexp_replace(text, '[0-9]', '', 'g')), '\\s+', ' ', 'g')) footer, count(*) n from lines where y0 >= 470 and size <= 16 group by 1, 2) select document_id, footer, n from k join p using (document_id) where n >= greatest(2, floor(pages * 0.5::double))",
+    "split_slides": "select conv_id as document_id, (turn + 1)::int as slide, role as title, (2 + len(string_split(text, chr(10))) + case when turn < last then 3 else 0 end)::bigint as n_lines, md5(trim('# ' || role || ' — Slide ' || (turn + 1) || chr(10) || chr(10) || text || case when turn < last then chr(10) || chr(10) || '---' else '' end)) as content_hash from (select *, max(turn) over (partition by conv_id) as last from conversations)",
     "assign_speakers": f"with {_SEGMENTS} select s.conv_id, s.turn, arg_min(speaker, turn_ord) as speaker from segments s left join turns t on s.conv_id = t.conv_id and (s + e) / 2.0 >= t_start and (s + e) / 2.0 < t_end group by 1, 2",
     "audio_beside": "with f as (select c_nationkey as dir, 'lec' || (c_custkey % 200) as stem, (['md', 'mp3', 'wav', 'm4a', 'flac', 'wma'])[c_custkey % 6 + 1] as ext from customer), a as (select dir, stem, arg_min(ext, list_position(['wav', 'm4a', 'mp3', 'flac', 'wma'], ext)) as audio from f where ext <> 'md' group by 1, 2) select distinct f.dir, f.stem, audio from f left join a using (dir, stem) where ext = 'md'",
     "nearest_chunks": "with r as (select q.vec_id as query_id, c.vec_id as chunk_id, row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], c.embedding::double[]), c.vec_id)::int as rank from embeddings q join embeddings c on q.label = c.label where q.vec_id % 20 = 0) select * from r where rank <= 5",
@@ -130,8 +135,8 @@ ORACLE: dict[str, str] = {
     "same_duration": "select o_orderkey, case when o_custkey % 7 > 0 and o_orderkey % 5 > 0 then abs(o_orderkey % 23 + 90 - o_custkey % 7 * 20)::double / (o_custkey % 7 * 20) < 0.05 else true end as accepted from orders",
     "unused_audio": "with f as (select c_nationkey as dir, 'lec' || (c_custkey % 200) as stem, (['md', 'mp3', 'wav', 'm4a', 'flac', 'wma'])[c_custkey % 6 + 1] as ext from customer) select dir, stem, ext from f where ext <> 'md' and (dir, stem) not in (select (dir, stem) from f where ext = 'md')",
     "page_numbers": f"with {_LINES} select page, n from lines where page % 1500 < 1000 and size <= 16 and y0 < 40",
-    "backgrounds": f"with {_IMAGES} select document_id, digest, count(distinct page) as pages from images group by 1, 2 having count(distinct page) > 1 and bool_and(width >= 200)",
+    "backgrounds": f"with {_IMAGES}, f as (select document_id, digest, page, bool_or(width >= 200) as filled from images group by all) select document_id, digest, count(*) as pages from f group by 1, 2 having count(*) > 1 and bool_and(filled)",
     "readability": f"with {_IMAGES} select case when least(width, height) < 250 then 'low resolution' else 'readable' end as verdict, count(*) as n from images group by 1",
     "outside_tables": f"with {_LINES}, o as (select distinct o_orderkey from orders where o_orderkey % 2 = 0) select page, n from lines left join o on page = o_orderkey where not (o_orderkey is not null and greatest(0, least(x0 + 40, 60) - greatest(x0, 10)) * greatest(0, least(y0 + 10, 48) - greatest(y0, 35)) >= 200)",
     "windowed_counts": "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2",
-}
+} | catalog_more.ORACLE

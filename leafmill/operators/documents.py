@@ -8,38 +8,65 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 
 
+#: Fixed values of the quality gate: most lines, deepest item, most equal lines, lines from which variety counts and its least share, words and least share.
+LINES, DEPTH, EQUAL, MANY, VARIETY, WORDS, RICHNESS = 300, 12, 8, 20, 0.5, 50, 0.05
+#: Fixed value: what a model leaves where it had nothing to say.
+PLACEHOLDER = r"\.\.\.|\[(?:specific|your|insert|placeholder)[^\]]*\]"
+
+
+def _longest_run(sorted_: Column) -> Column:
+    """Most equal neighbours in a sorted array."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = F.when(s["last"].eqNullSafe(x), s["n"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), n.alias("n"), F.greatest(s["most"], n).alias("most"))
+
+    return F.aggregate(sorted_, start, step, lambda s: s["most"])
+
+
+def gated(rows: DataFrame, markdown: str, reason: str = "reason") -> DataFrame:
+    """``rows`` with why a transcription is refused, or null. Lines are normalised once, and a run of equal ones is found in their order."""
+    lines = F.filter(T.lines(F.col(markdown)), lambda x: T.strip(x) != "")
+    once = rows.withColumn("lines_", lines).withColumn("normal_", F.array_sort(F.transform("lines_", T.normalize_line)))
+    return once.withColumn(reason, _reason(F.col(markdown), F.col("lines_"), F.col("normal_"))).drop("lines_", "normal_")
+
+
 def quality_reason(markdown: Column) -> Column:
     """Why a transcription is refused, or null; the first rule that holds names the reason."""
-    lines = F.filter(F.split(markdown, "\n"), lambda x: F.trim(x) != "")
-    normal = F.transform(lines, T.normalize_line)
-    kinds = F.array_distinct(normal)
-    most = F.array_max(F.transform(kinds, lambda k: F.size(F.filter(normal, lambda x: x == k))))
-    depth = F.coalesce(F.array_max(F.transform(F.filter(lines, T.is_bullet), lambda x: F.floor((F.length(x) - F.length(F.ltrim(x))) / 2))), F.lit(0))
+    lines = F.filter(T.lines(markdown), lambda x: T.strip(x) != "")
+    return _reason(markdown, lines, F.array_sort(F.transform(lines, T.normalize_line)))
+
+
+def _reason(markdown: Column, lines: Column, normal: Column) -> Column:
+    depth = F.coalesce(F.array_max(F.transform(F.filter(lines, T.is_bullet), lambda x: F.floor((F.length(x) - F.length(T.lstrip(x))) / 2))), F.lit(0))
     words = F.regexp_extract_all(F.lower(markdown), F.lit("([a-z0-9]+)"), F.lit(1))
     share = lambda part, whole: F.size(part).cast("double") / F.size(whole)
     return (
-        F.when(F.coalesce(F.trim(markdown), F.lit("")) == "", "empty")
-        .when(F.size(lines) > 300, "runaway length")
-        .when(markdown.rlike(r"\.\.\.|\[(?:specific|your|insert|placeholder)[^\]]*\]"), "placeholder")
-        .when(depth > 12, "excessive nesting")
-        .when((most > 8) | ((F.size(lines) >= 20) & (share(kinds, lines) < 0.5)), "repetitive")
-        .when((F.size(words) >= 50) & (share(F.array_distinct(words), words) < 0.05), "low information")
+        F.when(~F.coalesce(markdown, F.lit("")).rlike(f"[^{T.WHITE}]"), "empty")
+        .when(F.size(lines) > LINES, "runaway length")
+        .when(markdown.rlike(PLACEHOLDER), "placeholder")
+        .when(depth > DEPTH, "excessive nesting")
+        .when((_longest_run(normal) > EQUAL) | ((F.size(lines) >= MANY) & (share(F.array_distinct(normal), lines) < VARIETY)), "repetitive")
+        .when((F.size(words) >= WORDS) & (share(F.array_distinct(words), words) < RICHNESS), "low information")
     )
 
 
-def recurring_images(images: DataFrame) -> DataFrame:
-    """Digests on at least max(2, 80 %) of their document's pages. Columns: document_id, page, digest."""
-    pages = images.groupBy("document_id").agg(F.countDistinct("page").alias("pages"))
-    seen = images.groupBy("document_id", "digest").agg(F.countDistinct("page").alias("on_pages"))
+def recurring_images(images: DataFrame, pages: DataFrame) -> DataFrame:
+    """Digests on at least max(2, 80 %) of their document's pages, with or without images. Columns: document_id, page, digest; pages: document_id, page."""
+    n = pages.groupBy("document_id").agg(F.countDistinct("page").alias("pages"))
+    seen = images.select("document_id", "digest", "page").distinct().groupBy("document_id", "digest").agg(F.count("*").alias("on_pages"))
     least = F.greatest(F.lit(2), F.ceil(F.col("pages") * F.lit(0.8).cast("double")))
-    return seen.join(pages, "document_id").where(F.col("on_pages") >= least).select("document_id", "digest", "on_pages")
+    return seen.join(n, "document_id").where(F.col("on_pages") >= least).select("document_id", "digest", "on_pages")
 
 
-def repeated_footers(lines: DataFrame, height: float = 540.0) -> DataFrame:
-    """Footer keys of small lines in the bottom band on at least max(2, half) of the pages. Columns: document_id, page, y0, size, text."""
-    pages = lines.groupBy("document_id").agg(F.countDistinct("page").alias("pages"))
-    keys = lines.where((F.col("y0") >= height - 70) & (F.col("size") <= 16)).groupBy("document_id", T.footer_key(F.col("text")).alias("footer")).agg(F.count("*").alias("n"))
-    return keys.join(pages, "document_id").where((F.col("footer") != "") & (F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") * 0.5)))).select("document_id", "footer", "n")
+def repeated_footers(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Footer keys of small lines in the bottom band, where at least max(2, half of the pages) lines have them; the empty key counts, too.
+    Columns: document_id, page, y0, size, text; pages: document_id, page, height."""
+    n = pages.groupBy("document_id").agg(F.countDistinct("page").alias("pages"))
+    low = lines.join(pages, ["document_id", "page"]).where((F.col("y0") >= F.col("height") - 70) & (F.col("size") <= 16))
+    keys = low.groupBy("document_id", T.footer_key(F.col("text")).alias("footer")).agg(F.count("*").alias("n"))
+    return keys.join(n, "document_id").where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") * F.lit(0.5).cast("double")))).select("document_id", "footer", "n")
 
 
 def looks_like_content(width: Column, height: Column) -> Column:
@@ -49,27 +76,24 @@ def looks_like_content(width: Column, height: Column) -> Column:
 
 def image_placement(images: DataFrame) -> DataFrame:
     """inline at an image's first place in its document, else link; assets are numbered by first appearance. Columns: document_id, page, n, digest."""
-    nth = F.row_number().over(Window.partitionBy("document_id", "digest").orderBy("page", "n"))
-    first = images.withColumn("nth", nth)
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "n"))
-    assets = first.where("nth = 1").select("document_id", "digest", number.alias("asset"))
-    return first.join(assets, ["document_id", "digest"]).select("document_id", "page", "n", "digest", "asset", F.when(F.col("nth") == 1, "inline").otherwise("link").alias("placement"))
-
-
-def complex_pages(lines: DataFrame) -> DataFrame:
-    """Pages with many distinct left edges. Columns: page, x0."""
-    return lines.groupBy("page").agg(F.countDistinct(T.round_to_five(F.col("x0"))).alias("edges")).withColumn("is_complex", F.col("edges") >= 8)
+    first = F.min(F.struct("page", "n")).over(Window.partitionBy("document_id", "digest"))
+    placed = images.select("document_id", "page", "n", "digest").withColumn("first", first)
+    placed = placed.withColumn("asset", F.dense_rank().over(Window.partitionBy("document_id").orderBy("first")))
+    return placed.withColumn("placement", F.when(F.col("first") == F.struct("page", "n"), "inline").otherwise("link")).drop("first")
 
 
-def split_slides(markdown: DataFrame) -> DataFrame:
-    """Slides at level-one headings outside fences. Columns in: document_id, md; out: document_id, slide, title, n_lines, content_hash."""
+def slides(markdown: DataFrame) -> DataFrame:
+    """Slides at level-one headings outside fences. Columns in: document_id, md; out: document_id, slide (from 1), content, n_lines."""
     lines = markdown.select("document_id", F.posexplode(F.split("md", "\n")).alias("n", "line"))
     upto = Window.partitionBy("document_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.sum(F.ltrim("line").startswith("```").cast("int")).over(upto)
+    fence = F.sum(T.lstrip(F.col("line")).startswith("```").cast("int")).over(upto)
     lines = lines.withColumn("fence", fence % 2)
     starts = ((F.col("n") > 0) & (F.col("fence") == 0) & F.col("line").startswith("# ")).cast("int")
-    lines = lines.withColumn("slide", F.sum(starts).over(upto) + 1)
+    lines = lines.withColumn("slide", (F.sum(starts).over(upto) + 1).cast("int"))
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    out = lines.groupBy("document_id", "slide").agg(content.alias("content"), F.count("*").alias("n_lines"), F.min_by(F.when(F.col("line").startswith("# "), F.expr("substring(line, 3)")), "n").alias("title"))
-    stripped = F.regexp_replace("content", r"^\s+|\s+$", "")
-    return out.select("document_id", "slide", F.coalesce(F.regexp_replace("title", r" — (?:Slide|Page) \d+$", ""), F.lit("")).alias("title"), "n_lines", F.md5(stripped.cast("binary")).alias("content_hash"))
+    return lines.groupBy("document_id", "slide").agg(content.alias("content"), F.count("*").alias("n_lines"))
+
+
+def split_slides(markdown: DataFrame) -> DataFrame:
+    """document_id, slide, title, n_lines, content_hash of each slide."""
+    return slides(markdown).select("document_id", "slide", T.slide_title(F.col("content")).alias("title"), "n_lines", F.md5(T.strip(F.col("content")).cast("binary")).alias("content_hash"))

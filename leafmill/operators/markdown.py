@@ -9,14 +9,15 @@ from leafmill.functions import text as T
 
 #: Most topics, takeaways and terms of a summary, and the fewest (fixed values).
 TARGETS = {"n_topics": ("concepts", 3, 16), "n_takeaways": ("concepts", 3, 12), "n_terms": ("terms", 0, 8)}
-STRUCTURAL = r"^\s*(?:!\[|\[Page\s+\d+\]\(|\[image\]\(|>|<div|<details|</details>|```|\||---)"
+#: What a line that a rewrite must keep begins with, behind white space.
+KEPT = ("#", "![", "[image](", ">", "<div", "<details", "</details>", "```", "|", "---")
 
 
 def fenced_lines(markdown: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lines of ``md`` with their number n and whether a fence is open behind each (the line of a fence counts)."""
-    lines = markdown.select(key, F.posexplode(F.split("md", "\n")).alias("n", "raw")).withColumn("line", F.regexp_replace("raw", r"\s+$", ""))
+    lines = markdown.select(key, F.posexplode(F.split("md", "\n")).alias("n", "raw")).withColumn("line", F.regexp_replace("raw", f"[{T.WHITE}]+$", ""))
     upto = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    is_fence = F.ltrim("line").startswith("```")
+    is_fence = T.lstrip(F.col("line")).startswith("```")
     return lines.withColumn("is_fence", is_fence).withColumn("fence", F.sum(is_fence.cast("int")).over(upto) % 2 == 1)
 
 
@@ -34,13 +35,18 @@ def polish(markdown: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def is_structural(line: Column) -> Column:
-    return F.trim(line).startswith("#") | line.rlike(STRUCTURAL)
+    """Headings, images, links to pages, quotes, blocks, fences, tables and rules."""
+    begin = T.lstrip(line)
+    out = begin.rlike(r"^\[Page\s+\d+\]\(")
+    for prefix in KEPT:
+        out = out | begin.startswith(prefix)
+    return out
 
 
 def line_kinds(markdown: DataFrame, key: str = "doc_id") -> DataFrame:
     """How many lines are structural, editable, begin in bold, or are list items."""
     lines = markdown.select(key, F.explode(F.split("md", "\n")).alias("line"))
-    kinds = {"structural": is_structural(F.col("line")), "editable": (F.trim("line") != "") & ~is_structural(F.col("line")), "leads": F.ltrim("line").startswith("**"), "bullets": T.is_bullet(F.col("line"))}
+    kinds = {"structural": is_structural(F.col("line")), "editable": (T.strip(F.col("line")) != "") & ~is_structural(F.col("line")), "leads": T.lstrip(F.col("line")).startswith("**"), "bullets": T.is_bullet(F.col("line"))}
     return lines.groupBy(key).agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
 
 
@@ -48,7 +54,9 @@ def summary_targets(markdown: DataFrame, key: str = "doc_id") -> DataFrame:
     """List items without indent, and bold lead-ins with a colon, outside fences, tables, quotes and headings; and how many points a summary gets."""
     open_ = ~F.col("fence") & ~F.col("is_fence")
     item = open_ & F.col("line").rlike(r"^(?:[-*]\s+|[0-9]+\.\s+)\S")
-    term = open_ & F.trim("line").rlike(r"^\*\*[^*]+(?::\*\*|\*\*\s*:)")
+    # a bold name, the colon before or behind its closing mark
+    bold = F.regexp_extract(T.strip(F.col("line")), r"^\*\*([^*]+)\*\*", 1)
+    term = open_ & (bold != "") & ((bold.endswith(":") & (F.length(bold) > 1)) | T.strip(F.col("line")).rlike(r"^\*\*[^*]+\*\*\s*:"))
     counted = fenced_lines(markdown, key).groupBy(key).agg(F.count_if(item).alias("concepts"), F.count_if(term).alias("terms"))
     return counted.withColumns({name: F.greatest(F.lit(low), F.least(F.lit(high), F.col(of))) for name, (of, low, high) in TARGETS.items()})
 

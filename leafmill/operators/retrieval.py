@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 AUDIO = ("wav", "m4a", "mp3", "aac", "flac", "ogg", "aiff", "aif", "m4b", "mp4", "mov", "webm", "wma")
 
 
-def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k chunks of a query's document nearest by Euclidean distance. Inputs: chunk_id, document_id, embedding; query_id, document_id, vector."""
-    both = queries.join(chunks, "document_id")
+def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int, salts: int = 8) -> DataFrame:
+    """The k chunks of a query's document nearest by Euclidean distance. Inputs: chunk_id, document_id, embedding; query_id, document_id, vector.
+    A document's chunks are dealt over ``salts`` keys and the k nearest of each are merged, so that a large document isn't one task's."""
+    asked = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = asked.join(chunks.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int")), ["document_id", "salt"])
     square = F.aggregate(F.zip_with("vector", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda t, x: t + x)
-    ranked = both.withColumn("distance", F.sqrt(square)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank")
+    near = both.select("query_id", "salt", "chunk_id", F.sqrt(square).alias("distance"))
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy("distance", "chunk_id"))).where(F.col("nth") <= k)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank")
 
 
 def assign_speakers(segments: DataFrame, turns: DataFrame, bucket: float = 60.0) -> DataFrame:

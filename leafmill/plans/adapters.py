@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.sources.readers import table
@@ -24,8 +24,25 @@ def images(spark: SparkSession, d: str) -> DataFrame:
 
 def layout(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
-    last = rows.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last"))
-    return rows.join(last, "l_orderkey").selectExpr("l_orderkey as page", "l_orderkey % 40 as document_id", "l_linenumber as n", "(p % 9) * 12.5D as x0", "if(l_linenumber = last, 500.0D, 30.0D + 4 * l_linenumber) as y0", "cast(8 + s % 14 as double) as size", "if(l_linenumber = last, concat('Footer ', l_orderkey), concat('line ', p)) as text")
+    rows = rows.withColumn("last", F.max("l_linenumber").over(Window.partitionBy("l_orderkey")))
+    return rows.selectExpr("l_orderkey as page", "l_orderkey % 40 as document_id", "l_linenumber as n", "(p % 9) * 12.5D as x0", "if(l_linenumber = last, 500.0D, 30.0D + 4 * l_linenumber) as y0", "cast(8 + s % 14 as double) as size", "if(l_linenumber = last, concat('Footer ', l_orderkey), concat('line ', p)) as text")
+
+
+def page_sizes(spark: SparkSession, d: str, documents: int = 40) -> DataFrame:
+    """All pages, with or without lines."""
+    return table(spark, d, "orders").selectExpr(f"o_orderkey % {documents} as document_id", "o_orderkey as page", "540.0D as height")
+
+
+def image_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").selectExpr("o_custkey % 100 as document_id", "o_orderkey as page")
+
+
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that share rows, bullets (some alone on their line), bold lead-ins, numbers and titles of several sizes."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    rows = rows.selectExpr("l_orderkey as page", "l_orderkey % 40 as document_id", "l_linenumber as n", "p", "(p % 9) * 12.5D as x0", "20.0D + l_linenumber * (4 + s % 6) as y0", "cast(8 + s % 14 as double) as size")
+    md = "case cast(p % 5 as int) when 0 then concat('\u2022 item ', p) when 1 then '\u2022' when 2 then concat('**Term ', p, '** is') when 3 then concat(' ', p % 1200, ' ') else concat('12 line ', p) end"
+    return rows.selectExpr("document_id", "page", "n", "x0", "y0", "x0 + 20 + p % 50 as x1", "y0 + size as y1", "size", f"{md} as md", f"{md} as text")
 
 
 def decks(spark: SparkSession, d: str) -> DataFrame:
