@@ -299,8 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
     return Scorer(model((0, 2)), weights, share)
 
 
-def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """``docs`` with a column toxicity (0 to 1, higher: label 1 likelier)."""
+def score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1, higher: label 1 likelier), which takes the place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by max_terms
 
     @F.pandas_udf("double")
@@ -309,7 +309,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
         for t in texts:
             yield pd.Series(own([x or b"" for x in t]))
 
-    return docs.withColumn("toxicity", run(common.text_bytes(text)))
+    return docs.withColumn(name, run(common.text_bytes(text)))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -313,3 +313,46 @@ def test_ids_of_odd_words_equal_the_librarys():
             ids, counts = own.encode(pa.array(texts))
             ends = counts.cumsum()
             assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [x.tolist() for x in own.library([t or "" for t in texts])]
+
+
+def test_columns_may_clash(spark):
+    import corpus_pipeline
+
+    texts = [f"w{i} x{i} y{i} z{i} " * 30 for i in range(8)] + ["w1 x1 y1 z1 " * 30 + "end", None, ""]
+    docs = frame(spark, texts)
+    for name in ("th_", "t_", "id_", "i_", "toxicity", "toxicity_", "kept_", "raw_", "spans", "n_bytes", "row_", "copy_", "taken", "taken_", "size", "fingerprint"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    docs = docs.withColumn("facts", F.create_map(F.lit("a"), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id long, toxic int, quality int")
+    labels.write.mode("overwrite").parquet(f"{common.shared_dir(spark)}/clash/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, f"{common.shared_dir(spark)}/clash")
+        assert made.columns == docs.columns, name
+        assert made.where("th_ <> 'own th_' or toxicity <> 'own toxicity' or size <> 'own size'").count() == 0
+
+
+def test_pipeline_by_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    vocabulary = [f"v{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, 60)) for _ in range(60)]
+    passage = " ".join(f"passage{i}" for i in range(60))
+    texts += [texts[0], texts[1] + " more", texts[2] + " " + passage, texts[3] + " " + passage, "", None]
+    docs = frame(spark, texts).withColumn("doc_id", F.coalesce("doc_id", F.lit(3)))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, 0) for i in range(20)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(66))
+    lone = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in lone.collect()} == set(range(66)) - {60, 61, 65}
+    cut = {r.doc_id: r for r in corpus_pipeline.cut_repeated_passages(spark, lone, str(tmp_path)).collect()}
+    assert all("passage5 " not in cut[i].text for i in (62, 63)) and cut[10].text == texts[10] and cut[62].n_chars == len(cut[62].text)
+    mixed = corpus_pipeline.mix_sources(spark, lone, str(tmp_path)).collect()
+    words = lambda t: len((t or "").split())
+    assert abs(sum(words(r.text) for r in mixed) - 1.5 * sum(words(r.text) for r in lone.collect())) <= 4 and max(Counter(r.doc_id for r in mixed).values()) <= 2
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0 and out.groupBy("sequence_id", "offset").count().where("count > 1").count() == 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
