@@ -195,16 +195,22 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     return [shared[a : a + max(0, s - length + 1)] for a, s in zip(ends - sizes, sizes, strict=True)]
 
 
+def _valid(sizes: np.ndarray, length: int) -> np.ndarray:
+    """Places of windows in texts that stand one behind the other."""
+    starts = np.cumsum(sizes) - sizes
+    edge = np.zeros(int(sizes.sum()) + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + sizes - length + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+
+
 def _again(strings: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """Stretches (string, first window, window after the last) of windows whose hash occurs again among the strings; equal windows have equal hashes."""
     raw = b"".join(strings)
     sizes = np.array([len(s) for s in strings])
     starts = np.cumsum(sizes) - sizes
     h = _gram_hashes(np.frombuffer(raw, np.uint8), length, 0)
-    edge = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + sizes - length + 1, -1)
-    place = np.flatnonzero(np.cumsum(edge)[: len(h)] > 0)
+    place = _valid(sizes, length)
     order = np.argsort(h[place], kind="stable")
     ranked = h[place][order]
     same = ranked[1:] == ranked[:-1]
@@ -296,22 +302,69 @@ def _compared(strings: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(compare, f"key long, run long, windows_ {_SPANS}")
 
 
+#: A window of a hot key on its way: 128 bits of hash, the string and place it is at, and whether it is known to repeat.
+_WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("key", "<i8"), ("run", "<i8"), ("at", "<i4"), ("known", "?")])
+
+
 def _window_hashes(strings: DataFrame, length: int) -> DataFrame:
-    """key, run, windows_ of strings of keys that too many distinct strings share: each window by a hash of 128 bits of its bytes, counted over all."""
+    """key, run, windows_ of strings of keys that too many distinct strings share: windows are told apart by hashes of 128 bits.
+    What repeats within a slice of strings is settled there; one of each distinct window of a slice goes, packed, to the bucket of its hash,
+    so a window that all strings hold meets itself once a slice."""
+    total = strings.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    buckets = max(1, -(-total * _WINDOW.itemsize // 8_000_000))
+    names = ["bucket", "packed", "key", "run", "windows_"]
+
+    def found(rows: np.ndarray) -> list[pa.Array]:
+        """Arrays key, run, windows_ of packed windows."""
+        own: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for key, run, at in zip(rows["key"].tolist(), rows["run"].tolist(), rows["at"].tolist(), strict=True):
+            spans = own.setdefault((key, run), [])
+            if spans and spans[-1][1] == at:
+                spans[-1] = (spans[-1][0], at + 1)
+            else:
+                spans.append((at, at + 1))
+        return [pa.array([k for k, _ in own], pa.int64()), pa.array([r for _, r in own], pa.int64()), _as_spans(list(own.values()))]
+
+    def same(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in order of their hash, which of them begin a group, and which are not alone in theirs."""
+        rows = rows[np.lexsort((rows["at"], rows["run"], rows["g"], rows["h"]))]
+        first = np.ones(len(rows), bool)
+        first[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])
+        return rows, first, ~(first & np.append(first[1:], True))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, run, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                pair = [_gram_hashes(data, length, seed).view(np.int64) for seed in (0, 1)]
-                n = len(pair[0])
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(n, key)), pa.array(np.full(n, run)), pa.array(np.arange(n), pa.int32())], ["h", "g", "key", "run", "at"])
-
-    each = strings.select("key", "run", "bytes").mapInArrow(split, "h long, g long, key long, run long, at int")
-    again = each.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    # a run's windows are bounded by ``RUN``
-    found = each.join(again, ["h", "g"], "left_semi").groupBy("key", "run").agg(F.collect_list(F.struct(F.col("at").alias("begin"), (F.col("at") + 1).alias("end"))).alias("windows_"))
-    return found.select("key", "run", "windows_")
+            for begin, stop in common.groups_of(pc.binary_length(batch.column(2)).to_pylist(), 1_000_000):
+                part = batch.slice(begin, stop - begin)
+                raw = part.column(2).to_pylist()
+                sizes = np.array([len(x) for x in raw])
+                data, place, starts = np.frombuffer(b"".join(raw), np.uint8), _valid(sizes, length), np.cumsum(sizes) - sizes
+                own = np.searchsorted(starts, place, side="right") - 1
+                rows = np.zeros(len(place), _WINDOW)
+                rows["h"], rows["g"] = (_gram_hashes(data, length, seed)[place] for seed in (0, 1))
+                rows["key"], rows["run"], rows["at"] = part.column(0).to_numpy()[own], part.column(1).to_numpy()[own], place - starts[own]
+                rows, first, several = same(rows)
+                here = rows[several]
+                here = found(here[np.lexsort((here["at"], here["run"], here["key"]))])
+                n = len(here[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1), pa.int64()), pa.nulls(n, pa.binary()), *here], names)
+                rows["known"] = several
+                one = rows[first]
+                to = (one["h"] % np.uint64(buckets)).astype(np.int64)
+                one, to = one[by := np.argsort(to, kind="stable")], to[by]
+                cut = np.flatnonzero(np.diff(to, prepend=-1))
+                sent = [one[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(one)), strict=True)]
+                m = len(sent)
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int64()), pa.array(sent, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, _ARROW_SPANS)], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, _, several = same(np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), _WINDOW))
+        here = rows[several & ~rows["known"]]
+        yield pa.RecordBatch.from_arrays(found(here[np.lexsort((here["at"], here["run"], here["key"]))]), names[2:])
+
+    staged = common.stage(strings.select("key", "run", "bytes").mapInArrow(split, f"bucket long, packed binary, key long, run long, windows_ {_SPANS}"), "windows")
+    met = staged.where("bucket >= 0").select("bucket", "packed").repartition(min(buckets, 50_000), "bucket").mapInArrow(meet, f"key long, run long, windows_ {_SPANS}")
+    return staged.where("bucket < 0").select("key", "run", "windows_").unionByName(met)
 
 
 def _merged(found: DataFrame) -> DataFrame:
