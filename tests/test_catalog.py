@@ -19,7 +19,11 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_rows(spark, duck, name):
-    mine, theirs = catalog.QUERIES[name](spark, DIR).toPandas(), duck.sql(catalog.ORACLE[name]).df()
+    mine = catalog.QUERIES[name](spark, DIR).toPandas()
+    if name not in catalog.ORACLE:  # compared with a sequential model in test_engine.py
+        assert len(mine) and len(mine.columns)
+        return
+    theirs = duck.sql(catalog.ORACLE[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     rows = lambda df: sorted(str([None if x is None or x != x else x for x in map(lambda v: v.item() if hasattr(v, "item") else v, r)]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert rows(mine) == rows(theirs)
