@@ -6,15 +6,18 @@ runs only where all its keywords occur. Detections are then resolved by priority
 of words lies within the interval of a kept detection of better priority is suppressed. Rules of
 priority 0 (the base rules) are always kept. The scan is map-only: no shuffle, memory for one text.
 
-Null and empty texts have no words and no detections; repeated rows give repeated results.
+Null and empty texts have no words and no detections; repeated rows give repeated results; an empty table gives an empty one. The time for a text
+grows with its length and its detections, not with their product. ``keep`` names the columns that are carried along; others don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,6 +131,90 @@ SENTENCES = (
     ("boost-1", "boost", "distributed under the boost software license"),
     ("cc-by", "attribution", "licensed under a creative commons attribution"),
     ("proprietary", "confidential", "proprietary and confidential"),
+    ("mit", "merge", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit", "noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("x11", "consortium", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("isc", "disclaims", "the author disclaims all warranties with regard to this software"),
+    ("isc", "hereby", "with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-2", "reproduce", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-2", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd-3", "neither", "neither the name of (?:the )?[a-z0-9 ]{1,60} nor the names of its contributors may be used"),
+    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-0", "without", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software"),
+    ("apache-2", "perpetual", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2", "unless", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "foundation", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    ("gpl-2", "either", "published by the free software foundation either version 2 of the license"),
+    ("gpl-3", "either", "published by the free software foundation either version 3 of the license"),
+    ("gpl-any", "hope", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-any", "received", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl-any", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("lgpl", "library", "this library is free software you can redistribute it and or modify it under the terms of the gnu"),
+    ("lgpl", "received", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("lgpl-2.1", "either", "gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("agpl", "remotely", "interacting with it remotely through a computer network"),
+    ("agpl-3", "affero", "gnu affero general public license as published by the free software foundation either version 3"),
+    ("fdl-1.3", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("fdl-1.3", "document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2", "obtain", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "initial", "the initial developer of the original code is"),
+    ("mpl-1.1", "contents", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cddl-1", "contents", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "eupl", "licensed under the eupl"),
+    ("artistic-2", "package", "this package is free software you can redistribute it and or modify it under the terms of the artistic license"),
+    ("artistic-1", "package", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such"),
+    ("libpng", "libpng", "this code is released under the libpng license"),
+    ("boost-1", "machine", "unless such copies or derivative works are solely in the form of machine executable object code"),
+    ("unlicense", "dedication", "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors"),
+    ("wtfpl", "everyone", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights"),
+    ("cc0", "jurisdictions", "statement of purpose the laws of most jurisdictions throughout the world automatically confer exclusive copyright"),
+    ("cc-by-nc-nd", "noncommercial", "licensed under a creative commons attribution noncommercial no ?derivatives"),
+    ("cc-by-nc-sa", "commercial", "licensed under a creative commons attribution non ?commercial share ?alike"),
+    ("cc-by-nc", "commercial", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", "transform", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-sa", "contributions", "you must distribute your contributions under the same license as the original"),
+    ("cc-by", "appropriate", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("odbl", "database", "this database is made available under the open database license"),
+    ("odc-by", "commons", "this data is made available under the open data commons attribution license"),
+    ("pddl", "dedication", "this data is made available under the public domain dedication and license"),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "reserved", "with reserved font name"),
+    ("ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("afl-3", "academic", "licensed under the academic free license version 3 0"),
+    ("osl-3", "open", "licensed under the open software license version 3 0"),
+    ("python-2", "psf", "psf is making python available to licensee on an as is basis"),
+    ("php-3", "php", "products derived from this software may not be called php"),
+    ("php-3", "php", "this product includes php software freely available from"),
+    ("ruby", "verbatim", "you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("curl", "distribute", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("postgresql", "university", "in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
+    ("ncsa", "deal", "to deal with the software without restriction"),
+    ("w3c", "holders", "this work is being provided by the copyright holders under the following license by obtaining using and or copying this work"),
+    ("sleepycat", "accompanied", "redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("beerware", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("busl-1.1", "licensor", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("busl-1.1", "change", "effective on the change date"),
+    ("sspl-1", "service", "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2", "hosted", "you may not provide the software to third parties as a hosted or managed service"),
+    ("upl-1", "larger", "any software distributed with the software or a larger work to which the software is contributed"),
+    ("blueoak-1", "contributor", "each contributor licenses you to do everything with this software that would otherwise infringe that contributor s copyright"),
+    ("openrail", "use", "use based restrictions as referenced in paragraph 5 must be included as an enforceable provision"),
+    ("public-domain", "domain", "the authors? ha(?:s|ve) placed this work in the public domain"),
+    ("public-domain", "domain", "has been dedicated to the public domain by the authors?"),
+    ("public-domain", "disclaims", "the author disclaims copyright to this source code"),
+    ("proprietary", "unauthori", "unauthori[sz]ed copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "reproduced", "no part of this (?:publication|document|work) may be reproduced (?:distributed )?(?:or transmitted )?in any form"),
+    ("proprietary", "written", "may not be (?:copied|reproduced|used|redistributed) without (?:the )?(?:prior |express )?written (?:permission|consent)"),
+    ("proprietary", "trade", "contains trade secrets and confidential information"),
+    ("proprietary", "evaluation", "for evaluation purposes only"),
 )
 
 
@@ -169,17 +256,29 @@ class Scanner:
         """Kept detections as first word, word after the last, rule; in order of place and priority."""
         joined = b" " + b" ".join(words) + b" "
         present = {k for k in self.keywords if k in joined}
-        found = []
-        for rule, pattern, keys in self.rules:
-            if keys <= present:
-                for m in pattern.finditer(joined):
-                    first = joined.count(b" ", 0, m.start()) - 1
-                    found.append((first, first + 1 + m.group().count(b" "), rule))
-        found.sort(key=lambda d: (d[2].priority, d[0], -d[1], d[2].name))
+        spans = [(m.start(), m.end(), rule) for rule, pattern, keys in self.rules if keys <= present for m in pattern.finditer(joined)]
+        if not spans:
+            return []
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # of the space behind each word
+        first = np.searchsorted(ends, [a for a, *_ in spans], side="right")
+        last = np.searchsorted(ends, [b for _, b, _ in spans], side="left")
+        found = sorted(((int(a), int(b) + 1, rule) for a, b, (*_, rule) in zip(first, last, spans, strict=True)), key=lambda d: (d[2].priority, d[0], -d[1], d[2].name))
         kept: list[tuple[int, int, Rule]] = []
+        # kept intervals that lie in no other, in order of begin and so of end
+        begins: list[int] = []
+        stops: list[int] = []
         for begin, end, rule in found:
-            if not rule.priority or not any(b <= begin and end <= e for b, e, _ in kept):
-                kept.append((begin, end, rule))
+            i = bisect_right(begins, begin) - 1
+            inside = i >= 0 and stops[i] >= end
+            if inside and rule.priority:
+                continue
+            kept.append((begin, end, rule))
+            if not inside:
+                i = bisect_left(begins, begin)
+                j = i
+                while j < len(stops) and stops[j] <= end:
+                    j += 1
+                begins[i:j], stops[i:j] = [begin], [end]
         return sorted(kept, key=lambda d: (d[0], d[1], d[2].priority, d[2].name))
 
 
@@ -211,8 +310,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
                 rows = scanner.scan(words)
                 at = _offsets(raw) if rows else []
                 spans = [(at[b][0], at[e - 1][1]) for b, e, _ in rows]
+                # characters before each byte
+                chars = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)]) if rows else None
                 found.append([
-                    {"rule": r.name, "label": r.label, "priority": r.priority, "confidence": r.confidence, "first_word": b, "last_word": e - 1, "first_char": (i := len(raw[:x].decode(errors="replace"))), "end_char": i + len(s := raw[x:y].decode(errors="replace")), "span": s}
+                    {"rule": r.name, "label": r.label, "priority": r.priority, "confidence": r.confidence, "first_word": b, "last_word": e - 1, "first_char": int(chars[x]), "end_char": int(chars[y]), "span": raw[x:y].decode(errors="replace")}
                     for (b, e, r), (x, y) in zip(rows, spans, strict=True)
                 ])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(found, arrow)], [*(f"k{i}" for i in range(len(keep))), "n_words", "detections"])

@@ -356,3 +356,35 @@ def test_pipeline_by_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_license_base_places_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    bits = ["under", "the", "mit", "license", "apache", "version", "2", "cc", "by", "nc", "é", "x-y", "2.0"]
+    texts = [" ".join(rng.choice(bits, 80)) for _ in range(40)] + ["Under the MIT-License; " * 300, "cc by nc " * 200]
+    rows = {r.doc_id: r for r in licenses.digest(frame(spark, texts).withColumn("doc_id", F.coalesce("doc_id", F.lit(3)))).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        at = [(k, label) for label, phrase in licenses.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(at), ",".join(sorted({x for _, x in at})))
+        assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None)) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+
+
+def test_license_suppression_equals_all_pairs():
+    scanner = licenses.Scanner(licenses.default_rules())
+    rng = np.random.default_rng(2)
+    names = ["licensed under the", "mit license", "apache license version 2", "gnu general public license", "gpl 2 0 only", "bsd 3 clause", "spdx license identifier", "cc by nc sa 4 0", "the", "attribution share alike"]
+    for _ in range(60):
+        words = " ".join(rng.choice(names, 25)).encode().split()
+        joined = b" " + b" ".join(words) + b" "
+        found = []
+        for rule, pattern, keys in scanner.rules:
+            if all(k in joined for k in keys):
+                found += [(joined.count(b" ", 0, m.start()) - 1, joined.count(b" ", 0, m.end()), rule) for m in pattern.finditer(joined)]
+        found.sort(key=lambda d: (d[2].priority, d[0], -d[1], d[2].name))
+        kept = []
+        for b, e, rule in found:
+            if not rule.priority or not any(x <= b and e <= y for x, y, _ in kept):
+                kept.append((b, e, rule))
+        assert {(b, e, r.name) for b, e, r in scanner.scan(words)} == {(b, e, r.name) for b, e, r in kept}
