@@ -388,3 +388,85 @@ def test_license_suppression_equals_all_pairs():
             if not rule.priority or not any(x <= b and e <= y for x, y, _ in kept):
                 kept.append((b, e, rule))
         assert {(b, e, r.name) for b, e, r in scanner.scan(words)} == {(b, e, r.name) for b, e, r in kept}
+
+
+def test_packed_pieces_equal_the_librarys_ids(spark):
+    texts = [*ODD, None, "word and " * 900, "same", "same"]
+    own = TextTokenizer(BYTES)
+    want = {}
+    for i, t in enumerate(texts):
+        want[i] = np.array([*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+    docs = frame(spark, texts).withColumn("doc_id", F.coalesce("doc_id", F.lit(3)))
+    covered = {i: np.zeros(len(w), int) for i, w in want.items()}
+    for r in packing.digest(docs, BYTES).collect():
+        piece = want[r.doc_id][r.start : r.start + r.length]
+        assert (r.ids_crc32, r.doc_tokens) == (zlib.crc32(piece.tobytes()), len(want[r.doc_id]))
+        covered[r.doc_id][r.start : r.start + r.length] += 1
+    assert all((c == 1).all() for c in covered.values())
+
+
+def test_simhash_components_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(12):
+        a = list(rng.choice([f"v{i}" for i in range(300)], 400))
+        for _ in range(5):
+            own = list(a)
+            own[rng.integers(400)] = f"z{rng.integers(1 << 30)}"
+            texts.append(" ".join(own))
+    docs = frame(spark, [*texts, texts[0], "", None]).withColumn("doc_id", F.coalesce("doc_id", F.lit(3)))
+    rows = simhash.digest(docs).collect()
+    root = {r.doc_id: r.doc_id for r in rows}
+    bits = {r.doc_id: int(r.fingerprint, 16) for r in rows}
+    for _ in root:
+        for a in root:
+            for b in root:
+                if (bits[a] ^ bits[b]).bit_count() <= 2:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {r.doc_id: r.component_id for r in rows} == root
+
+
+def test_likeness_is_near_the_true_similarity():
+    rng = np.random.default_rng(4)
+    errors = []
+    for share in (0.0, 0.2, 0.5, 0.8, 0.95, 1.0):
+        for _ in range(20):
+            n = 3000
+            same = rng.integers(0, 1 << 63, int(n * share), dtype=np.uint64)
+            a, b = (np.concatenate([same, rng.integers(0, 1 << 63, n - len(same), dtype=np.uint64)]) for _ in range(2))
+            true = len(same) / (2 * n - len(same))
+            errors.append(fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) - true)
+    assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.12
+    sparse = [fingerprints.fingerprint(rng.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(2)]
+    assert fingerprints.likeness(sparse[0], sparse[0]) == 1 and fingerprints.likeness(*sparse) < 0.2
+
+
+def test_tilts_equal_a_brute_force_dual(spark):
+    sizes = [3, 9, 27, 81, 40, 5, 12]
+
+    def total(tilt):
+        return sum(s * min(np.exp(min(tilt * s / np.mean(sizes), 2.0)), 2.0) for s in sizes)
+
+    cells = spark.createDataFrame([("a", s, 1) for s in sizes], "source string, size long, n long")
+    for share in (0.2, 0.9, 1.5, 1.9):
+        low, high = -64.0, 64.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if total(mid) < share * sum(sizes) else (low, mid)
+        sources = spark.createDataFrame([("a", sum(sizes), share * sum(sizes), False)], "source string, source_size long, target double, full boolean")
+        found = mixing.tilts(cells, sources).first()
+        assert abs(total(found.tilt) - total(low)) <= 0.51 and abs(found.mean - np.mean(sizes)) < 1e-9
+
+
+def test_resampling_weights_equal_brute_force(spark):
+    texts = ["good text here", "bad junk zz", "good good", "", "other words stand here"]
+    docs, labels = frame(spark, texts).where("doc_id is not null"), spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    ratio, share = quality.fit(docs, labels)
+    ids = [0, 1, 2, 4]
+    own = {i: [b for _, _, buckets, _ in quality._features([texts[i].encode()]) for b in buckets.tolist()] for i in ids}
+    t, r = (Counter(b for i in which for b in own[i]) for which in ((0, 2), ids))
+    nt, nr = (sum(c.values()) + quality.BUCKETS for c in (t, r))
+    for row in quality.weigh(docs, ratio).collect():
+        want = sum(np.log((t[b] + 1) / nt) - np.log((r[b] + 1) / nr) for b in own[row.doc_id])
+        assert abs(row.log_weight - want) < 1e-9 and row.n_grams == len(own[row.doc_id])
+    assert abs(share - 2 / 3) < 1e-12
