@@ -25,22 +25,15 @@ def _longest_run(sorted_: Column) -> Column:
     return F.aggregate(sorted_, start, step, lambda s: s["most"])
 
 
-def gated(rows: DataFrame, markdown: str, reason: str = "reason") -> DataFrame:
-    """``rows`` with why a transcription is refused, or null. Lines are normalised once, and a run of equal ones is found in their order."""
-    lines = F.filter(T.lines(F.col(markdown)), lambda x: T.strip(x) != "")
-    once = rows.withColumn("lines_", lines).withColumn("normal_", F.array_sort(F.transform("lines_", T.normalize_line)))
-    return once.withColumn(reason, _reason(F.col(markdown), F.col("lines_"), F.col("normal_"))).drop("lines_", "normal_")
-
-
 def quality_reason(markdown: Column) -> Column:
-    """Why a transcription is refused, or null; the first rule that holds names the reason."""
-    lines = F.filter(T.lines(markdown), lambda x: T.strip(x) != "")
-    return _reason(markdown, lines, F.array_sort(F.transform(lines, T.normalize_line)))
+    """Why a transcription is refused, or null; the first rule that holds names the reason. Lines are cut and normalised once, and a run of equal ones is found in their order."""
+    lines = F.filter(T.lines(markdown), lambda x: x.rlike(f"[^{T.WHITE}]"))
+    normal = lambda own: F.array_sort(F.transform(own, T.normalize_line))
+    return T.let(lines, lambda own: T.let(normal(own), lambda kinds: _reason(markdown, own, kinds)))
 
 
 def _reason(markdown: Column, lines: Column, normal: Column) -> Column:
     depth = F.coalesce(F.array_max(F.transform(F.filter(lines, T.is_bullet), lambda x: F.floor((F.length(x) - F.length(T.lstrip(x))) / 2))), F.lit(0))
-    words = F.regexp_extract_all(F.lower(markdown), F.lit("([a-z0-9]+)"), F.lit(1))
     share = lambda part, whole: F.size(part).cast("double") / F.size(whole)
     return (
         F.when(~F.coalesce(markdown, F.lit("")).rlike(f"[^{T.WHITE}]"), "empty")
@@ -48,7 +41,7 @@ def _reason(markdown: Column, lines: Column, normal: Column) -> Column:
         .when(markdown.rlike(PLACEHOLDER), "placeholder")
         .when(depth > DEPTH, "excessive nesting")
         .when((_longest_run(normal) > EQUAL) | ((F.size(lines) >= MANY) & (share(F.array_distinct(normal), lines) < VARIETY)), "repetitive")
-        .when((F.size(words) >= WORDS) & (share(F.array_distinct(words), words) < RICHNESS), "low information")
+        .when(T.let(F.regexp_extract_all(F.lower(markdown), F.lit("([a-z0-9]+)"), F.lit(1)), lambda words: (F.size(words) >= WORDS) & (share(F.array_distinct(words), words) < RICHNESS)), "low information")
     )
 
 
