@@ -7,7 +7,7 @@ strongest words, the strongest window of ``WINDOW`` words and the text; a logist
 
 Class counts are of texts: each text counts once for a word and once for each different pair of words. Labels come from at most ``max_docs`` labelled rows of each class (lowest hash of doc_id first), equal texts once.
 The rates at which the classes were sampled are taken out of the logistic constant, so that a score means the same at every size.
-Each model keeps its ``max_terms`` most frequent words and pairs among those of at least ``LEAST`` texts of a class. The shared counts cover every document: for each word of the model
+Each model keeps every word and pair of at least ``LEAST`` texts of a class; their number is bounded by the labelled rows alone. The shared counts cover every document: for each word of the model
 and for all words together, the different pairs with the word before, estimated by HyperLogLog (9 % and 1 % of standard error at any size).
 
 Null and empty texts have no evidence and get the score of none. Rows are scored by their text alone; repeated rows alike.
@@ -29,8 +29,10 @@ from . import common
 from .words import hashed
 
 DISCOUNT, WINDOW, TOP, FEATURES, LEAST = 0.75, 8, 4, 4, 4
-#: Registers of a word and of all words; words of a message.
-REGISTERS, ALL, CHUNK = 1 << 7, 1 << 14, 512
+#: Registers of a word and of all words; words of a message; registers a task holds before it sends them.
+REGISTERS, ALL, CHUNK, HELD = 1 << 7, 1 << 14, 512, 2_000_000
+#: Bytes of texts that are taken apart at once.
+GROUP = 1_000_000
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
@@ -48,30 +50,52 @@ def distinct_of(registers: np.ndarray) -> np.ndarray:
 
 def shared_continuations(docs: DataFrame, keys: np.ndarray, text: str = "text") -> tuple[np.ndarray, float]:
     """For each of the sorted hashes of words an estimate of the different words before it, over all documents; the sum of these over all words there are."""
-    sent = docs.sparkSession.sparkContext.broadcast(keys)  # at most max_terms
+    sent = docs.sparkSession.sparkContext.broadcast(keys)  # 8 bytes a word of the model
+    size = CHUNK * REGISTERS
+
+    def joined(places: np.ndarray) -> np.ndarray:
+        """The highest rank of each register, from sorted or unsorted register * 64 + rank."""
+        places = np.sort(places)
+        return places[np.append(places[1:] >> 6 != places[:-1] >> 6, True)] if len(places) else places
+
+    def messages(places: np.ndarray, keys_of: np.ndarray) -> Iterator[pa.RecordBatch]:
+        chunk = (places >> 6) // size
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        for cut, end in zip(cuts, np.append(cuts[1:], len(places)), strict=True):
+            part = np.zeros(min(size, len(keys_of) * REGISTERS - int(chunk[cut]) * size), np.uint8)
+            part[(places[cut:end] >> 6) % size] = places[cut:end] & 63
+            yield _message(int(chunk[cut]), part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        seen, every = np.zeros(len(own) * REGISTERS, np.uint8), np.zeros(ALL, np.uint8)
+        # registers that have been met: what a task holds follows its texts, not the model
+        seen, fresh, every = np.empty(0, np.int64), [], np.zeros(ALL, np.uint8)
         for batch in batches:
             texts = common.values(batch.column(0))
-            for begin, stop in common.groups_of([len(t) for t in texts], 1_000_000):
+            for begin, stop in common.groups_of([len(t) for t in texts], GROUP):
                 h, offsets = hashed(texts[begin:stop])
                 before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
                 before = before.copy()
                 before[offsets[:-1][offsets[:-1] < len(h)]] = 0
-                code = _pair(before, h)
+                code = np.unique(_pair(before, h), return_index=True)
+                code, h = code[0], h[code[1]]
                 # low bits choose the register, the others give the rank of their lowest one
                 high = code >> np.uint64(14)
                 rank = np.frexp((high & (~high + np.uint64(1))).astype(np.float64))[1].astype(np.uint8)
                 rank[high == 0] = 51
                 np.maximum.at(every, (code % np.uint64(ALL)).astype(np.int64), rank)
                 at, known = _find(own, h)
-                np.maximum.at(seen, at[known] * REGISTERS + (code[known] % np.uint64(REGISTERS)).astype(np.int64), rank[known])
-        size = CHUNK * REGISTERS
-        parts = [(-1, every), *((i // size, seen[i : i + size]) for i in range(0, len(seen), size))]
-        parts = [(i, zlib.compress(part.tobytes(), 1)) for i, part in parts if part.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([part for _, part in parts], pa.binary())], ["chunk", "registers"])
+                places = (at[known] * REGISTERS + (code[known] % np.uint64(REGISTERS)).astype(np.int64)) * 64 + rank[known]
+                fresh.append(joined(places))
+                if sum(map(len, fresh)) > HELD // 2:
+                    seen, fresh = joined(np.concatenate([seen, *fresh])), []
+                    if len(seen) > HELD:
+                        yield from messages(seen, own)
+                        seen = np.empty(0, np.int64)
+            common.release()
+        yield from messages(joined(np.concatenate([seen, *fresh])), own)
+        if every.any():
+            yield _message(-1, every)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most: dict[int, np.ndarray] = {}
@@ -91,6 +115,10 @@ def shared_continuations(docs: DataFrame, keys: np.ndarray, text: str = "text")
     return out, float(n[at < 0].sum())
 
 
+def _message(chunk: int, registers: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(registers.tobytes(), 1)], pa.binary())], ["chunk", "registers"])
+
+
 def labelled(labels: DataFrame, label: str) -> DataFrame:
     """doc_id, y and fold of all rows that may be learned from."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -112,7 +140,7 @@ def class_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ys, folds, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.values(batch.column(2))
-            for begin, stop in common.groups_of([len(t) for t in texts], 4_000_000):
+            for begin, stop in common.groups_of([len(t) for t in texts], GROUP):
                 h, offsets = hashed(texts[begin:stop])
                 own = np.repeat(np.array(ys[begin:stop]) * 4 + np.array(folds[begin:stop]), np.diff(offsets))
                 before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
@@ -125,6 +153,7 @@ def class_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 alone = places.drop_duplicates(["text", "word"]).groupby(["own", "word"], sort=False).size().reset_index(name="n")
                 for frame, of in ((pair, pa.array(pair.before, pa.int64())), (alone, pa.nulls(len(alone), pa.int64()))):
                     yield pa.RecordBatch.from_arrays([pa.array(frame.own // 4, pa.int32()), pa.array(frame.own % 4, pa.int32()), pa.array(frame.word, pa.int64()), of, pa.array(frame.n, pa.int64())], ["y", "fold", "word", "before", "n"])
+            common.release()
 
     distinct = rows.groupBy("y", "fold", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("y", "fold", "text")
     # before is null in the counts of words alone
@@ -190,7 +219,7 @@ class Model:
     def features(self, texts: list[bytes]) -> np.ndarray:
         """For each text the evidence per word of its strongest word, its ``TOP`` strongest words, its strongest window and all of it."""
         out = np.zeros((len(texts), FEATURES))
-        for begin, stop in common.groups_of([len(t) for t in texts], 4_000_000):
+        for begin, stop in common.groups_of([len(t) for t in texts], GROUP):
             h, offsets = hashed(texts[begin:stop])
             if not len(h):
                 continue
@@ -247,7 +276,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = 10_000, max_terms: int = 1 << 18) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = 10_000) -> Scorer:
     rows = common.stage(training_rows(docs, labels, label, max_docs), "training")
     found = {(r.y, r.fold): r["count"] for r in rows.groupBy("y", "fold").count().collect()}
     n = [sum(v for (y, _), v in found.items() if y == c) for c in (0, 1)]
@@ -261,12 +290,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
     sums = words.groupBy("y", "fold").agg(F.sum("precedes").alias("continued")).collect()
 
     def frequent(df: DataFrame, keys: list[str]) -> pd.DataFrame:
-        # a term of fewer than LEAST texts of a class has no part in that class's model
-        shown = df.groupBy("y", *keys).agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST)
-        top = shown.groupBy(*keys).agg(F.sum("all").alias("all")).orderBy(F.desc("all"), *keys).limit(max_terms).drop("all")  # a bound of the model
-        kept = common.stage(shown.drop("all").join(F.broadcast(top), keys), "terms")
-        # Arrow columns: rows as Python objects would take a kilobyte each; at most two rows a term
-        return df.join(F.broadcast(kept), ["y", *keys]).toArrow().to_pandas()
+        # a term of fewer than LEAST texts of either class has no part in the model
+        shown = df.groupBy("y", *keys).agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).drop("all")
+        # Arrow columns: rows as Python objects would take a kilobyte each; at most two rows a term and class
+        return df.join(common.stage(shown, "terms"), ["y", *keys]).toArrow().to_pandas()
 
     words_kept, pairs_kept = frequent(words, ["hash"]), frequent(both, ["word", "before"])
 
@@ -290,6 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
             for f, own in across.items():
                 at = np.flatnonzero(fs == f)
                 x[at] = own.features([texts[i] for i in at])
+            common.release()
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), *(pa.array(c) for c in x.T)], ["y", *names])
 
     seen = rows.mapInArrow(features, ", ".join(["y int", *(f"{c} double" for c in names)])).toArrow().to_pandas().sort_values(["y", *names])  # at most 2 * max_docs rows
@@ -301,13 +329,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "toxicity") -> DataFrame:
     """``docs`` with a column ``name`` (0 to 1, higher: label 1 likelier), which takes the place of one of that name."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by max_terms
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # as large as the labelled rows make it
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for t in texts:
             yield pd.Series(own([x or b"" for x in t]))
+            common.release()
 
     return docs.withColumn(name, run(common.text_bytes(text)))
 

@@ -242,6 +242,18 @@ def test_shared_continuations_grow_with_the_data(spark):
     assert abs(total / (5000 + 5000 + 40 + 40 + 3 * 40 + 3) - 1) < 0.05
 
 
+def test_toxicity_keeps_every_term_of_enough_texts(spark):
+    # more words than any bound of a table: all of them are in four texts of label 1
+    n = (1 << 18) + 1000
+    common_words = " ".join(f"w{i}" for i in range(n))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:8]
+    docs = spark.createDataFrame([(i, f"{common_words} own{i}" if k < 4 else f"plain text {i}") for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k < 4)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels).model
+    assert len(set(toxicity.hashed([common_words.encode()])[0].tolist()) - set(model.keys.tolist())) == 0
+    assert len(model.pairs) >= n and (model.precedes[1] > 0).sum() >= n
+
+
 def test_keep_one(spark):
     a = [f"w{i}" for i in range(100)]
     near = [*a[:50], "changed", *a[51:]]
