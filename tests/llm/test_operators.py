@@ -176,6 +176,46 @@ def test_hamming_search(spark):
         assert [got[q, k + 1] for k in range(4)] == [(i, d) for d, i in near]
 
 
+@pytest.mark.parametrize("kind", ["random", "near", "far", "few"])
+def test_hamming_index_equals_brute_force(kind):
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 1 << 63, 3 if kind == "few" else 3000, dtype=np.uint64)
+    if kind == "near":  # one value in two segments
+        codes = codes & np.uint64(0x3FF) | np.uint64(5 << 40)
+    codes = rng.permutation(np.unique(codes))
+    held = rng.integers(1, 4, len(codes)).astype(np.int32)
+    queries = np.concatenate([codes[:40], rng.integers(0, 1 << 63, 20, dtype=np.uint64)])
+    if kind == "far":
+        queries = ~codes[:40]
+    q, found, d = hamming.Index(codes, held).nearest(queries, 10)
+    for i, query in enumerate(queries):
+        true = np.bitwise_count(codes ^ query).astype(int)
+        order = np.lexsort((np.arange(len(codes)), true))
+        enough = int(np.searchsorted(np.cumsum(held[order]), 11)) if held.sum() > 10 else len(codes)
+        want = [j for j in order if enough == len(codes) or true[j] <= true[order[enough]]][:11]
+        assert found[q == i].tolist() == want and d[q == i].tolist() == true[want].tolist()
+
+
+def test_hamming_search_by_slices_makes_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "SLICE", 1500)
+    monkeypatch.setattr(hamming, "BLOCK", 70)
+    staged, plain = {}, common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name, *more: staged.setdefault(f"{name}{len(staged)}", plain(df, name, *more)))
+    monkeypatch.setattr(common, "drop_stage", lambda df: None)
+    rng = np.random.default_rng(9)
+    codes = rng.integers(-(1 << 63), 1 << 63 - 1, 4000)
+    codes[100:130], codes[2000:2004] = codes[0], codes[20]
+    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "id long, code long")
+    got = {(r.query_id, r["rank"]): (r.neighbor_id, r.distance) for r in hamming.search(rows, rows.where("id % 20 = 0")).collect()}
+    assert len(got) == 2000
+    for q in range(0, 4000, 20):
+        d = np.bitwise_count((codes ^ codes[q]).view(np.uint64)).astype(int)
+        near = [(int(j), int(d[j])) for j in np.lexsort((np.arange(4000), d)) if j != q][:10]
+        assert [got[q, k + 1] for k in range(10)] == near
+    # what candidates are met stays in a task: of each slice a query has k + 1 codes at most
+    assert sum(df.count() for df in staged.values()) < 2 * 4000 + 200 + 200 * 3 * 11 + 100
+
+
 def test_fingerprints(spark):
     texts = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(6)] + ["", None, "one two"]
     rows = {r.doc_id: r for r in fingerprints.digest(frame(spark, texts)).collect()}
