@@ -25,6 +25,8 @@ from . import common
 from .words import hashed, shingles
 
 BINS, BITS, WORDS = 512, 4, 5
+#: Bytes of texts that are taken apart at once.
+GROUP = 500_000
 
 
 def _donors(attempts: int = 64) -> np.ndarray:
@@ -70,7 +72,7 @@ def likeness(a: bytes, b: bytes) -> float:
 
 def of_texts(texts: list[bytes]) -> list[bytes]:
     out: list[bytes] = []
-    for begin, stop in common.groups_of([len(t) for t in texts], 4_000_000):
+    for begin, stop in common.groups_of([len(t) for t in texts], GROUP):
         h, offsets = hashed(texts[begin:stop], signs=True)
         out += [fingerprint(shingles(h[a:b], WORDS)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     return out
@@ -91,6 +93,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(of_texts(common.values(batch.column(len(names)))), pa.binary())], [*names, "fingerprint"])
+            common.release()
 
     return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
@@ -120,7 +123,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         edge = lambda kind, i, t: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind]), pa.array([t]), pa.array([i], pa.int64()), *(pa.nulls(1, t) for t in types[1:])], names)
         for batch in batches:
-            for begin, stop in common.groups_of(pc.binary_length(batch.column(1)).to_pylist(), 4_000_000):
+            for begin, stop in common.groups_of(pc.binary_length(batch.column(1)).to_pylist(), GROUP):
                 ids, texts = batch.column(0).slice(begin, stop - begin).to_pylist(), batch.column(1).slice(begin, stop - begin).to_pylist()
                 if held is None:
                     yield edge("first", ids[0], texts[0])
@@ -129,6 +132,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 if len(ids) > 1:
                     yield plain(_compared(ids[:-1], texts[:-1], texts[1:]), len(ids) - 1)
                 held_id, held = ids[-1], texts[-1]
+            common.release()
         if held is not None:
             yield edge("last", held_id, held)
 

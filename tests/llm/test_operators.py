@@ -478,6 +478,17 @@ def test_simhash_components_equal_brute_force(spark):
     assert {r.doc_id: r.component_id for r in rows} == root
 
 
+def test_fingerprints_take_bounded_memory():
+    import tracemalloc
+
+    texts = [" ".join(f"w{i % 50}x{j % 70}" for j in range(700)).encode() for i in range(1000)]  # 4 MB and more
+    tracemalloc.start()
+    fingerprints.of_texts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000
+
+
 def test_likeness_is_near_the_true_similarity():
     rng = np.random.default_rng(4)
     errors = []
