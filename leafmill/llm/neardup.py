@@ -28,6 +28,9 @@ from . import common, simhash
 from .words import hashed, shingles
 
 SIMILAR, WIDTH, PARITIES, SAMPLE, FREQUENT, BLOCK = 0.8, 5, 4, 5_000, 1 << 17, 1_000
+#: Share of the texts that the sample holds at least, however many there are: a shingle of one text in a thousand would be rare in a sample
+#: of fixed size, and its pairs grow with the square of the table.
+SHARE = 0.1
 #: Classes of shingles of a sketch, whose parities rule out pairs of sets up to some thousand shingles.
 CLASSES = 4096
 _BITS = [f"b{i}" for i in range(PARITIES)]
@@ -64,7 +67,7 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample hold (sorted) and in how many: only their order depends on it."""
-    share = min(1.0, SAMPLE / max(1, sets.count()))
+    share = min(1.0, max(SHARE, SAMPLE / max(1, sets.count())))
     sample = sets.where(F.pmod(F.xxhash64("th_"), F.lit(1 << 20)) < int(share * (1 << 20))).select("set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -316,6 +316,15 @@ def test_keep_one_of_a_star(spark, length, replaced, variants):
     assert [r.doc_id for r in neardup.keep_one(frame(spark, texts)).collect()] == [0]
 
 
+def test_sample_of_shingles_grows_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SAMPLE", 10)
+    # one text in twenty holds a shingle that ten texts would not show
+    docs = spark.createDataFrame([(f"a b c d e own{i} more{i}" if i % 20 == 0 else f"x{i} y{i} z{i} u{i} v{i} w{i}",) for i in range(2000)], "text string")
+    tokens, n = neardup._frequent(common.stage(neardup._sets(docs, "text"), "sets"))
+    shingle = neardup.shingles(neardup.hashed([b"a b c d e"], signs=True)[0], 5)[0]
+    assert shingle in tokens and n[tokens == shingle][0] > 2
+
+
 def test_near_duplicate_links_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     line = " ".join(f"c{i}" for i in range(12))
