@@ -60,8 +60,8 @@ def shared_continuations(docs: DataFrame, keys: np.ndarray, text: str = "text")
 
     def messages(places: np.ndarray, keys_of: np.ndarray) -> Iterator[pa.RecordBatch]:
         chunk = (places >> 6) // size
-        cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
-        for cut, end in zip(cuts, np.append(cuts[1:], len(places)), strict=True):
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))  # none where no word of the model was met
+        for cut, end in zip(cuts[:-1], cuts[1:], strict=True):
             part = np.zeros(min(size, len(keys_of) * REGISTERS - int(chunk[cut]) * size), np.uint8)
             part[(places[cut:end] >> 6) % size] = places[cut:end] & 63
             yield _message(int(chunk[cut]), part)

@@ -294,6 +294,13 @@ def test_toxicity_keeps_every_term_of_enough_texts(spark):
     assert len(model.pairs) >= n and (model.precedes[1] > 0).sum() >= n
 
 
+def test_shared_continuations_of_a_task_without_a_word_of_the_model(spark):
+    docs = spark.createDataFrame([(i, "many words" if i < 4 else "other") for i in range(8)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    keys = np.sort(toxicity.hashed([b"many words"])[0])
+    n, total = toxicity.shared_continuations(docs, keys)
+    assert n.round().tolist() == [1, 1] and round(total) == 3
+
+
 def test_keep_one(spark):
     a = [f"w{i}" for i in range(100)]
     near = [*a[:50], "changed", *a[51:]]
