@@ -2,12 +2,13 @@
 
 Two bigram models, of toxic and of ordinary texts, are interpolated down to continuation counts of all documents, which
 both share, so that a rare word of one class differs from the other only by what its class has shown. A word's evidence
-is the difference of its two log-likelihoods. Evidence is normalised by length over the strongest word, the ``TOP``
-strongest words, the strongest window of ``WINDOW`` words and the text; a logistic curve fitted across two folds gives the score.
+is the difference of its two log-likelihoods, once after the word before it and once alone (the lower order: pairs are rarer and
+vary more). Either evidence is normalised by length over the strongest word, the ``TOP`` strongest words, the strongest window of
+``WINDOW`` words and the text; a logistic curve over these eight, fitted across two folds, gives the score.
 
 Class counts are of texts: each text counts once for a word and once for each different pair of words. Labels come from at most ``max_docs`` labelled rows of each class (lowest hash of doc_id first), equal texts once.
 The rates at which the classes were sampled are taken out of the logistic constant, so that a score means the same at every size.
-Each model keeps every word and pair of at least ``LEAST`` texts of a class; their number is bounded by the labelled rows alone. The shared counts cover every document: for each word of the model
+Each model keeps every word and pair of at least ``LEAST`` texts of a class, with its counts in both classes; their number is bounded by the labelled rows alone. The shared counts cover every document: for each word of the model
 and for all words together, the different pairs with the word before, estimated by HyperLogLog (9 % and 1 % of standard error at any size).
 
 Null and empty texts have no evidence and get the score of none. Rows are scored by their text alone; repeated rows alike.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 from .words import hashed
 
-DISCOUNT, WINDOW, TOP, FEATURES, LEAST = 0.75, 8, 4, 4, 4
+DISCOUNT, WINDOW, TOP, FEATURES, LEAST = 0.75, 8, 4, 8, 4
 #: Registers of a word and of all words; words of a message; registers a task holds before it sends them.
 REGISTERS, ALL, CHUNK, HELD = 1 << 7, 1 << 14, 512, 2_000_000
 #: Bytes of texts that are taken apart at once.
@@ -181,23 +182,24 @@ class Model:
         y, at = words.y.to_numpy(int), np.searchsorted(self.keys, words.hash.to_numpy(np.int64).view(np.uint64))
         for table, column in ((n, words.n), (self.precedes, words.precedes), (self.begins, words.begins)):
             np.add.at(table, (y, at), column.to_numpy(float))
-        # a word of fewer than LEAST texts of a class leaves its mass to the counts that both classes share
-        self.precedes = np.where(n >= LEAST, np.maximum(self.precedes - DISCOUNT, 0), 0)
+        # a word of fewer than LEAST texts of either class leaves its mass to the counts that both classes share; any other has its
+        # counts in both, as four texts against three are no evidence and four against none are
+        self.precedes = np.where(n.max(axis=0) >= LEAST, np.maximum(self.precedes - DISCOUNT, 0), 0)
         before, word = (both[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word"))
         code, y = _pair(before, word), both.y.to_numpy(int)
         self.pairs, first, back = np.unique(code, return_index=True, return_inverse=True)
         n = np.zeros((2, len(self.pairs)))
         np.add.at(n, (y, back), both.n.to_numpy(float))
-        self.pair_n = np.where(n >= LEAST, n - DISCOUNT, 0)
+        self.pair_n = np.where(n.max(axis=0) >= LEAST, np.maximum(n - DISCOUNT, 0), 0)
         self.rest = self.begins.copy()
         at, known = _find(self.keys, before[first])
         for c in (0, 1):
             np.subtract.at(self.rest[c], at[known], self.pair_n[c][known])
 
-    def log_ratio(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log P(word | word before, toxic) - log P(word | word before, ordinary) at each place."""
+    def log_ratios(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | word before, toxic) - log P(word | word before, ordinary) at each place, and the same of the word alone."""
         if not len(self.keys):
-            return np.zeros(len(h))
+            return np.zeros(len(h)), np.zeros(len(h))
         own, back = np.unique(h, return_inverse=True)
         at, known = _find(self.keys, own)
         base = np.where(known, self.base[at], self.none)
@@ -205,7 +207,7 @@ class Model:
         before[starts] = -1
         code = np.where(before >= 0, _pair(own[before], h), np.uint64(0))
         pair_at, pair_known = _find(self.pairs, code)
-        out = []
+        out, alone = [], []
         for y in (0, 1):
             continued = max(self.totals[y], 1.0)
             low = np.where(known, self.precedes[y][at], 0) / continued + max(1 - self.precedes[y].sum() / continued, 1e-3) * base
@@ -214,30 +216,32 @@ class Model:
             begins = np.maximum(begins, 1)
             high = np.where(pair_known, self.pair_n[y][pair_at], 0) if len(self.pairs) else np.zeros(len(h))
             out.append(np.log(np.where(seen, np.minimum(high / begins, 1), 0) + np.where(seen, np.clip(rest / begins, 1e-3, 1), 1) * low[back]))
-        return out[1] - out[0]
+            alone.append(np.log(low))
+        return out[1] - out[0], (alone[1] - alone[0])[back]
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """For each text the evidence per word of its strongest word, its ``TOP`` strongest words, its strongest window and all of it."""
+        """For each text the evidence per word of its strongest word, its ``TOP`` strongest words, its strongest window and all of it: after the words before, then of words alone."""
         out = np.zeros((len(texts), FEATURES))
         for begin, stop in common.groups_of([len(t) for t in texts], GROUP):
             h, offsets = hashed(texts[begin:stop])
             if not len(h):
                 continue
-            ratio = self.log_ratio(h, offsets[:-1][offsets[:-1] < len(h)])
-            total = np.concatenate([[0.0], np.cumsum(ratio)])
+            ratios = self.log_ratios(h, offsets[:-1][offsets[:-1] < len(h)])
             size = np.diff(offsets)
             full = np.flatnonzero(size)
             rows, first = begin + full, offsets[:-1][full]
             own = np.repeat(np.arange(len(size)), size)
-            by = np.lexsort((-ratio, own))  # strongest first within each text
-            ranked = np.concatenate([[0.0], np.cumsum(ratio[by])])
-            out[rows, 0] = ratio[by][first]
-            out[rows, 1] = (ranked[np.minimum(first + TOP, offsets[1:][full])] - ranked[first]) / TOP
-            # windows end at every word and begin at most WINDOW words before, within the text
             ends = np.arange(1, len(h) + 1)
-            window = (total[ends] - total[np.maximum(ends - WINDOW, offsets[:-1][own])]) / WINDOW
-            out[rows, 2] = np.maximum.reduceat(window, first)
-            out[rows, 3] = (total[offsets[1:]] - total[offsets[:-1]])[full] / size[full]
+            for k, ratio in zip((0, FEATURES // 2), ratios, strict=True):
+                total = np.concatenate([[0.0], np.cumsum(ratio)])
+                by = np.lexsort((-ratio, own))  # strongest first within each text
+                ranked = np.concatenate([[0.0], np.cumsum(ratio[by])])
+                out[rows, k] = ratio[by][first]
+                out[rows, k + 1] = (ranked[np.minimum(first + TOP, offsets[1:][full])] - ranked[first]) / TOP
+                # windows end at every word and begin at most WINDOW words before, within the text
+                window = (total[ends] - total[np.maximum(ends - WINDOW, offsets[:-1][own])]) / WINDOW
+                out[rows, k + 2] = np.maximum.reduceat(window, first)
+                out[rows, k + 3] = (total[offsets[1:]] - total[offsets[:-1]])[full] / size[full]
         return out
 
 
@@ -290,10 +294,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
     sums = words.groupBy("y", "fold").agg(F.sum("precedes").alias("continued")).collect()
 
     def frequent(df: DataFrame, keys: list[str]) -> pd.DataFrame:
-        # a term of fewer than LEAST texts of either class has no part in the model
-        shown = df.groupBy("y", *keys).agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).drop("all")
+        # a term of fewer than LEAST texts of either class has no part in the model; others have their counts in both
+        most = F.greatest(*[F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)) for y in (0, 1)])
+        shown = df.groupBy(*keys).agg(most.alias("most")).where(F.col("most") >= LEAST).drop("most")
         # Arrow columns: rows as Python objects would take a kilobyte each; at most two rows a term and class
-        return df.join(common.stage(shown, "terms"), ["y", *keys]).toArrow().to_pandas()
+        return df.join(common.stage(shown, "terms"), keys).toArrow().to_pandas()
 
     words_kept, pairs_kept = frequent(words, ["hash"]), frequent(both, ["word", "before"])
 

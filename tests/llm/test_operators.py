@@ -294,6 +294,17 @@ def test_toxicity_keeps_every_term_of_enough_texts(spark):
     assert len(model.pairs) >= n and (model.precedes[1] > 0).sum() >= n
 
 
+def test_a_term_of_one_class_keeps_its_count_in_the_other(spark):
+    # "even" is in four texts of label 1 and in three of label 0, "lone" in four of label 1 only
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:8]
+    docs = spark.createDataFrame([(i, f"own{i} even" + f" own{i} lone" * (k < 4) if k < 7 else "own other") for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k < 4)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels).model
+    at = {w: int(np.searchsorted(model.keys, toxicity.hashed([w.encode()])[0][0])) for w in ("even", "lone")}
+    assert model.precedes[:, at["even"]].tolist() == [3 - toxicity.DISCOUNT, 4 - toxicity.DISCOUNT]
+    assert model.precedes[:, at["lone"]].tolist() == [0, 4 - toxicity.DISCOUNT]
+
+
 def test_shared_continuations_of_a_task_without_a_word_of_the_model(spark):
     docs = spark.createDataFrame([(i, "many words" if i < 4 else "other") for i in range(8)], "doc_id long, text string").repartitionByRange(2, "doc_id")
     keys = np.sort(toxicity.hashed([b"many words"])[0])
