@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hamming, licenses, mixing, packing, quality, simhash, suffixes, tokenfiles, toxicity
+from . import alignment, dualtree, fingerprints, hamming, licenses, mixing, packing, quality, simhash, suffixes, tokenfiles, toxicity, winnowing
 
 
 def _vocabulary(name: str) -> str:
@@ -57,7 +57,19 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_importance_resampling, op4_cost_balanced_packing, op5_entropy_balanced_mix, op6_anchor_simhash, op7_multi_index_hashing, op8_one_permutation_minhash, op9_huffman_token_files, op10_kneser_ney_toxicity)}
+def op11_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_union_find_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_importance_resampling, op4_cost_balanced_packing, op5_entropy_balanced_mix, op6_anchor_simhash, op7_multi_index_hashing, op8_one_permutation_minhash, op9_huffman_token_files, op10_kneser_ney_toxicity, op11_winnowing_decontamination, op12_dual_tree_negatives, op13_union_find_alignment)}
 
 #: DuckDB SQL for the same rows, where it can express them.
-ORACLE: dict[str, str] = {"op7_multi_index_hashing": hamming.SQL}
+ORACLE: dict[str, str] = {"op7_multi_index_hashing": hamming.SQL, "op11_winnowing_decontamination": winnowing.SQL, "op12_dual_tree_negatives": dualtree.SQL}
