@@ -50,6 +50,9 @@ def fingerprints(rows: DataFrame, lengths: list[int], whole: bool) -> DataFrame:
 
     ``whole``: rows of fewer than SPAN words are one window each (items), else they give all windows of the lengths (documents).
     """
+    def printed(places: Column, length: int, grams: str) -> Column:
+        return F.transform(places, lambda p: F.struct(p.alias("p"), F.lit(length).alias("l"), F.get(F.col(grams), p).alias("f")))
+
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     found = []
     if SPAN in lengths:
@@ -65,11 +68,11 @@ def fingerprints(rows: DataFrame, lengths: list[int], whole: bool) -> DataFrame:
             return at
 
         kept = F.array_distinct(F.transform(_places(F.col("n"), SPAN), last_smallest))
-        found.append(F.transform(kept, lambda p: F.struct(p.alias("p"), F.lit(SPAN).alias("l"), F.get(F.col("grams"), p).alias("f"))))
+        found.append(printed(kept, SPAN, "grams"))
     for length in sorted(set(lengths) - {SPAN}):
         rows = rows.withColumn(f"grams{length}", _grams("hashes", "n", length))
         places = F.when((F.col("n") == length) | F.lit(not whole), _places(F.col("n"), length)).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(places, lambda p, n=length: F.struct(p.alias("p"), F.lit(n).alias("l"), F.get(F.col(f"grams{n}"), p).alias("f"))))
+        found.append(printed(places, length, f"grams{length}"))
     none = F.array().cast("array<struct<p: int, l: int, f: bigint>>")
     return rows.withColumn("prints", F.concat(none, *found)).drop("hashes", "grams", *[f"grams{n}" for n in lengths])
 
