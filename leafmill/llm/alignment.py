@@ -2,7 +2,7 @@
 
 Both tokenizers cut the UTF-8 bytes of a space and the text (A is given the space, B adds it). The tokens of a text are the nodes of
 a bipartite graph, with an edge where the byte ranges of an A and a B token overlap; every stretch between two neighbouring ends is
-such an edge. Union-find (hooking to the smaller root, then pointer jumping, over all texts of a batch at once) gives its connected
+such an edge. Union-find (hooking to the smaller root, then pointer jumping, over many texts at once) gives its connected
 components, which are exactly the minimal groups: the shortest runs of A and B tokens with the same bytes. Within a component every A and
 B token that end together are linked.
 
@@ -11,7 +11,7 @@ corpus with map-side sums, and joined back: by broadcast where there are at most
 salted by row, as a few pairs are in nearly all texts.
 
 Null and empty texts, and texts that the tokens of A or B don't give back byte for byte, have no tokens: counts 0, groups ''. Texts are
-encoded whole, however long; strings of special tokens are plain text. Repeated rows and equal or null ids count as rows of their own;
+aligned to their end, however long; strings of special tokens are plain text. Repeated rows and equal or null ids count as rows of their own;
 an empty table gives an empty one.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import ragged
+from .tokens import _ODD, ragged
 
 #: Distinct pairs that are broadcast at most, parts of a pair's rows beyond, and bytes of text that are aligned at once.
-MOST, SALTS, GROUP = 1 << 20, 16, 2_000_000
+MOST, SALTS, GROUP = 1 << 20, 16, 1_000_000
+
+
+#: Ids of texts, joined, and how many each has.
+Ids = tuple[np.ndarray, np.ndarray]
+
+
+def flat(ids: list[list[int]]) -> Ids:
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each run of ``counts`` values, which may be none."""
+    total, ends = np.concatenate([[0], np.cumsum(values)]), np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 class Vocabulary:
@@ -56,7 +72,7 @@ def byte_signs() -> dict[str, int]:
 
 @cache
 def byte_level(path: str) -> Vocabulary:
-    """A byte-level vocabulary file; a space goes before each text."""
+    """A byte-level vocabulary file; a space goes before texts that are to have one."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -66,8 +82,9 @@ def byte_level(path: str) -> Vocabulary:
     for name, i in names.items():
         tokens[i] = bytes(signs[c] for c in name) if all(c in signs for c in name) else name.encode()
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(texts: list[str], spaced: list[bool]) -> Ids:
+        led = [" " + t if s else t for t, s in zip(texts, spaced, strict=True)]
+        return flat([e.ids for e in tokenizer.encode_batch_fast(led, add_special_tokens=False)])
 
     return Vocabulary(tokens, encode)
 
@@ -80,7 +97,7 @@ def pieces(path: str) -> Vocabulary:
     model = SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     tokens = [bytes([int(model.id_to_piece(i)[1:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in ids]
-    return Vocabulary(tokens, lambda texts: [np.array(x, np.int64) for x in model.encode(texts, num_threads=1)])
+    return Vocabulary(tokens, lambda texts: flat(model.encode(texts, num_threads=1)))
 
 
 def components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -141,44 +158,139 @@ def _join(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *parts])
 
 
-def aligned(texts: list[str], first: Vocabulary, second: Vocabulary) -> dict[str, np.ndarray | list[bytes]]:
-    """n_a, n_b, n_groups, n_links and groups of each text, and its distinct links: how many (held) of ids (a, b), each n times."""
-    raw = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
-    a, b = first.encode(texts), second.encode(texts)
-    size = np.array([len(r) for r in raw], np.int64)
-    same = [len(t) > 0 and int(first.length[x].sum()) == n == int(second.length[y].sum()) for t, x, y, n in zip(texts, a, b, size, strict=True)]
-    good = [i for i, ok in enumerate(same) if ok]
-    if good:
-        want = np.frombuffer(b"".join(raw[i] for i in good), np.uint8)
-        starts = np.cumsum(size[good]) - size[good]
-        match = (first.bytes_of(_join([a[i] for i in good])) == want) & (second.bytes_of(_join([b[i] for i in good])) == want)
-        good = [i for i, ok in zip(good, np.logical_and.reduceat(match, starts), strict=True) if ok]
-    n = len(texts)
-    out = {k: np.zeros(n, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links", "held")} | {"groups": [b""] * n, "a": np.empty(0, np.int32), "b": np.empty(0, np.int32), "n": np.empty(0, np.int32)}
-    if not good:
+class Aligned:
+    """What is known of a list of texts: n_a, n_b, n_groups of each, its groups as text, and its links (codes a << 32 | b, held of each text). ``good``: whether the tokens of both give it back."""
+
+    def __init__(self, raw: list[bytes], a: Ids, b: Ids, first: Vocabulary, second: Vocabulary):
+        n = len(raw)
+        size = np.fromiter(map(len, raw), np.int64, n)
+        self.n_a, self.n_b, self.n_groups, self.held = (np.zeros(n, np.int64) for _ in range(4))
+        self.groups, self.codes = [b""] * n, np.empty(0, np.int64)
+        good = (size > 0) & (sums(first.length[a[0]], a[1]) == size) & (sums(second.length[b[0]], b[1]) == size)
+        if good.any():
+            want = np.frombuffer(b"".join(r for r, ok in zip(raw, good.tolist(), strict=True) if ok), np.uint8)
+            match = (first.bytes_of(a[0][np.repeat(good, a[1])]) == want) & (second.bytes_of(b[0][np.repeat(good, b[1])]) == want)
+            good[good] = sums(match, size[good]) == size[good]
+        self.good = good
+        if not good.any():
+            return
+        at = np.flatnonzero(good)
+        ids_a, ids_b = a[0][np.repeat(good, a[1])], b[0][np.repeat(good, b[1])]
+        self.n_a[at], self.n_b[at] = a[1][at], b[1][at]
+        end_a, end_b, ends = np.cumsum(first.length[ids_a]), np.cumsum(second.length[ids_b]), np.cumsum(size[at])
+        group_a, group_b = groups(end_a, end_b)
+        # members of a component that end together; all of them, where a token is empty
+        low, high = np.searchsorted(end_b, end_a, "left"), np.searchsorted(end_b, end_a, "right")
+        mine = np.repeat(np.arange(len(ids_a)), high - low)
+        self.codes = ids_a[mine] << 32 | ids_b[ragged(np.arange(len(ids_b)), low, high - low)]
+        self.held[at] = np.bincount(np.searchsorted(ends, end_a[mine], "left"), minlength=len(at))
+        last = group_a[np.searchsorted(end_a, ends, "right") - 1] + 1
+        self.n_groups[at] = np.diff(last, prepend=0)
+        for i, text in zip(at.tolist(), listed(group_a, group_b, ids_a, ids_b, last), strict=True):
+            self.groups[i] = text
+
+
+#: What a text can't be cut at (a run of white space that either tokenizer may take as one, white space that isn't a space or line feed, and the sign of the cut).
+_WHOLE = "  | \\n|\\n\\n\\n|\\n\\n |^[ \\n]| $|\\n\\n$|\x01|" + _ODD
+
+
+class Aligner:
+    """Aligns texts. Both tokenizers always cut before a single space and around a line feed, so a text there falls into parts (a word with the space before it, a line feed, a word behind one)
+    that are aligned once each and kept, up to ``cache`` bytes; groups and links never cross a cut. Texts with other arrangements of white space are aligned whole."""
+
+    def __init__(self, first: Vocabulary, second: Vocabulary, cache: int = 40_000_000):
+        self.first, self.second, self.most = first, second, cache
+        self.feed = int(second.encode(["\n"])[1][0])  # tokens of a space and a line feed
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.texts, self.size = pa.array([], pa.large_string()), [], 0
+        self.codes, self.columns = np.empty(0, np.int64), np.empty((0, 5), np.int64)
+
+    def parts(self, new: pa.Array) -> None:
+        """Align parts that are met for the first time."""
+        words = new.to_pylist()
+        led = [w[0] == " " for w in words]
+        a = self.first.encode([w[1:] if s else w for w, s in zip(words, led, strict=True)], led)
+        ids, counts = self.second.encode([w[1:] if s else "\n" + w for w, s in zip(words, led, strict=True)])
+        # what isn't led by a space goes behind a line feed, whose tokens are taken off
+        off = np.where(led, 0, self.feed)
+        b = ids[np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts) >= np.repeat(off, counts)], counts - off
+        got = Aligned([w.encode("utf-8", "surrogatepass") for w in words], a, b, self.first, self.second)
+        begin = len(self.codes) + np.cumsum(got.held) - got.held
+        self.columns = np.concatenate([self.columns, np.stack([got.n_a, got.n_b, got.n_groups, np.where(got.good, got.held, -1), begin], 1)])
+        self.codes = np.concatenate([self.codes, got.codes])
+        self.texts += [t.decode() for t in got.groups]
+        self.keys = pa.concat_arrays([self.keys, new])
+        self.size = self.keys.nbytes + self.columns.nbytes + self.codes.nbytes + sum(map(len, self.texts)) + 60 * len(self.texts)
+
+    def __call__(self, texts: pa.Array) -> dict[str, np.ndarray | list[str]]:
+        """n_a, n_b, n_groups, n_links and groups of each text, and its distinct links: how many (held) of ids (a, b), each n times. Null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        out = {k: np.zeros(n, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links", "held")} | {"groups": [""] * n}
+        codes, docs = [], []
+        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        full = pc.binary_length(texts).to_numpy() > 0
+        at = np.flatnonzero(full & ~whole)
+        if len(at):
+            self.cut(texts.take(pa.array(at)), at, out, codes, docs)
+        at = np.flatnonzero(full & whole)
+        if len(at):
+            plain = texts.take(pa.array(at)).to_pylist()
+            got = Aligned([b" " + t.encode("utf-8", "surrogatepass") for t in plain], self.first.encode(plain, [True] * len(plain)), self.second.encode(plain), self.first, self.second)
+            for c in ("n_a", "n_b", "n_groups"):
+                out[c][at] = getattr(got, c)
+            for i, t in zip(at.tolist(), got.groups, strict=True):
+                out["groups"][i] = t.decode()
+            codes.append(got.codes)
+            docs.append(np.repeat(at, got.held))
+        code, doc = _join(codes), _join(docs)
+        order = np.lexsort((code, doc))
+        code, doc = code[order], doc[order]
+        begins = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        out["n_links"] = np.bincount(doc, minlength=n)
+        out["n"] = np.diff(np.append(begins, len(code))).astype(np.int32)
+        out["a"], out["b"] = (code[begins] >> 32).astype(np.int32), (code[begins] & 0xFFFFFFFF).astype(np.int32)
+        out["held"] = np.bincount(doc[begins], minlength=n)
         return out
-    ids_a, ids_b = _join([a[i] for i in good]), _join([b[i] for i in good])
-    out["n_a"][good], out["n_b"][good] = [len(a[i]) for i in good], [len(b[i]) for i in good]
-    end_a, end_b, text_end = np.cumsum(first.length[ids_a]), np.cumsum(second.length[ids_b]), np.cumsum(size[good])
-    group_a, group_b = groups(end_a, end_b)
-    # members of a component that end together; all of them, where a token is empty
-    low, high = np.searchsorted(end_b, end_a, "left"), np.searchsorted(end_b, end_a, "right")
-    mine = np.repeat(np.arange(len(ids_a)), high - low)
-    other = ragged(np.arange(len(ids_b)), low, high - low)
-    doc = np.searchsorted(text_end, end_a[mine], "left")
-    ends = group_a[np.searchsorted(end_a, text_end, "right") - 1] + 1
-    out["n_groups"][good] = np.diff(ends, prepend=0)
-    out["n_links"][good] = np.bincount(doc, minlength=len(good))
-    for i, text in zip(good, listed(group_a, group_b, ids_a, ids_b, ends), strict=True):
-        out["groups"][i] = text
-    code = ids_a[mine] << 32 | ids_b[other]
-    order = np.lexsort((code, doc))
-    code, doc = code[order], doc[order]
-    begins = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-    out["n"] = np.diff(np.append(begins, len(code))).astype(np.int32)
-    out["a"], out["b"] = (code[begins] >> 32).astype(np.int32), (code[begins] & 0xFFFFFFFF).astype(np.int32)
-    out["held"][good] = np.bincount(doc[begins], minlength=len(good))
-    return out
+
+    def cut(self, texts: pa.Array, at: np.ndarray, out: dict, codes: list[np.ndarray], docs: list[np.ndarray]) -> None:
+        if self.size > self.most:
+            self.clear()
+        marked = pc.replace_substring(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())), " ", "\x01 "), "\n", "\x01\n\x01")
+        split = pc.split_pattern(marked, "\x01")
+        values = split.flatten()
+        some = pc.binary_length(values).to_numpy() > 0
+        ends = np.concatenate([[0], np.cumsum(some)])[np.cumsum(pc.list_value_length(split).to_numpy())]
+        coded = values.filter(pa.array(some)).dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.keys)
+        lacking = coded.dictionary.filter(pc.is_null(place))
+        if len(lacking):
+            known = len(self.keys)
+            self.parts(lacking)
+            place = pc.fill_null(place, -1).to_numpy().copy()
+            place[place < 0] = known + np.arange(len(lacking))
+        else:
+            place = place.to_numpy()
+        part = place[coded.indices.to_numpy()].astype(np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        own = self.columns[part]
+        good = np.minimum.reduceat(own[:, 3], starts) >= 0
+        for i, c in enumerate(("n_a", "n_b", "n_groups")):
+            out[c][at[good]] = np.add.reduceat(own[:, i], starts)[good]
+        texts_of, listed_parts = self.texts, part.tolist()
+        for i in np.flatnonzero(good).tolist():
+            out["groups"][at[i]] = ";".join([texts_of[p] for p in listed_parts[starts[i] : ends[i]]])
+        held = np.where(np.repeat(good, ends - starts), own[:, 3], 0)
+        codes.append(ragged(self.codes, own[:, 4], held))
+        docs.append(np.repeat(np.repeat(at, ends - starts), held))
+
+
+@cache
+def aligner(first: str, second: str) -> Aligner:
+    """One for each Python worker."""
+    return Aligner(byte_level(first), pieces(second))
 
 
 _FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a: int, b: int, n: int>>"
@@ -191,11 +303,11 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: tu
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names), _FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = byte_level(first), pieces(second)
+        align = aligner(first, second)
         for batch in batches:
             column = batch.column(len(names))
             for begin, stop in common.groups_of([n or 0 for n in pc.binary_length(column).to_pylist()], GROUP):
-                found = aligned([t or "" for t in column.slice(begin, stop - begin).to_pylist()], one, two)
+                found = align(column.slice(begin, stop - begin))
                 pairs = pa.StructArray.from_arrays([pa.array(found[c]) for c in "abn"], ["a", "b", "n"])
                 links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found["held"])]).astype(np.int32)), pairs)
                 counts = [pa.array(found[c]) for c in ("n_a", "n_b", "n_groups", "n_links")]
