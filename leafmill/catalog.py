@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill import catalog_more
+from leafmill import catalog_events, catalog_more
 from leafmill.functions import text as T
 from leafmill.operators import documents as D
 from leafmill.operators import layout as P
@@ -83,7 +83,7 @@ QUERIES: dict[str, Query] = {
         table(s, d, "orders").where("o_orderkey % 2 = 0").selectExpr("o_orderkey as page", "10D as x0", "35D as y0", "60D as x1", "48D as y1"),
     ).select("page", "n"),
     "windowed_counts": lambda s, d: windowed_counts(table(s, d, "events")),
-} | catalog_more.QUERIES
+} | catalog_more.QUERIES | catalog_events.QUERIES
 FLAGSHIP = "quality_gate"
 
 _W = T.WHITE
@@ -123,8 +123,8 @@ ORACLE: dict[str, str] = {
     "recent_sources": "select user_id, max(ts) as last_used from events group by 1 order by last_used desc, user_id limit 20",
     "image_placement": f"with {_IMAGES}, u as (select document_id, page, n, min(digest) as digest from images group by all), r as (select *, row_number() over (partition by document_id, digest order by page, n) nth from u), a as (select document_id, digest, row_number() over (partition by document_id order by page, n)::int as asset from r where nth = 1) select document_id, case when nth = 1 then 'inline' else 'link' end as placement, count(*) as n, max(asset) as asset from r join a using (document_id, digest) group by 1, 2",
     "polished": f"with {_DRAFTS}, h as (select *, not open and y like '#%' as h from fences), l as (select *, lag(y) over w as b, lag(y, 2) over w as bb, lag(h) over w as hb from h window w as (partition by doc_id order by n)) select doc_id, md5(rtrim(string_agg(case when coalesce(b <> '' and y <> '' and (h or hb), false) then chr(10) else '' end || y, chr(10) order by n), chr(10))) as polished from l where not (y = '' and coalesce(b = '' and bb = '', false)) group by 1",
-    "line_kinds": rf"with {_DRAFTS}, k as (select doc_id, x, ltrim(x, ' ') like '#%' or regexp_matches(x, '^\s*(!\[|\[Page\s+\d+\]\(|\[image\]\(|>|<div|<details|</details>|```|\||---)') as s from raw) select doc_id, count_if(s)::bigint as structural, count_if(trim(x, ' ') <> '' and not s)::bigint as editable, count_if(ltrim(x, ' ') like '**%')::bigint as leads, count_if(regexp_matches(ltrim(x, ' '), '^[-*+] '))::bigint as bullets from k group by 1",
-    "summary_targets": rf"with {_DRAFTS}, c as (select doc_id, count_if(not open and not f and regexp_matches(y, '^([-*]\s+|[0-9]+\.\s+)\S'))::bigint as concepts, count_if(not open and not f and regexp_matches(trim(y, ' '), '^\*\*[^*]+(:\*\*|\*\*\s*:)'))::bigint as terms from fences group by 1) select *, greatest(3, least(16, concepts)) as n_topics, greatest(3, least(12, concepts)) as n_takeaways, greatest(0, least(8, terms)) as n_terms from c",
+    "line_kinds": rf"with {_DRAFTS}, k as (select doc_id, x, regexp_matches({_LEFT}, '{M.STRUCTURAL}') as s from raw) select doc_id, count_if(s)::bigint as structural, count_if(trim(x, ' ') <> '' and not s)::bigint as editable, count_if(ltrim(x, ' ') like '**%')::bigint as leads, count_if(regexp_matches(ltrim(x, ' '), '^[-*+] '))::bigint as bullets from k group by 1",
+    "summary_targets": rf"with {_DRAFTS}, c as (select doc_id, count_if(not open and not f and regexp_matches(y, '^([-*]\s+|[0-9]+\.\s+)\S'))::bigint as concepts, count_if(not open and not f and regexp_matches(trim(y, ' '), '{M.TERM}'))::bigint as terms from fences group by 1) select *, greatest(3, least(16, concepts)) as n_topics, greatest(3, least(12, concepts)) as n_takeaways, greatest(0, least(8, terms)) as n_terms from c",
     "sections": "select conv_id, lower(role) as section, sum(len(string_split(text, chr(10))))::bigint as n_lines from conversations where turn > 0 group by all",
     "strip_transcript": "select conv_id as document_id, md5(case when conv_id % 2 = 0 then rtrim(md, chr(10)) || chr(10) else md end) as head from (select conv_id, string_agg('# ' || role || ' — Slide ' || (turn + 1) || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn) as md from conversations group by 1)",
     "omissions": f"with w as (select doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')), lambda x: x not in ({STOP})) as b, list_filter(list_distinct(regexp_extract_all(lower(substr(text, 1, length(text) // 2) || ' addedword'), '[a-z0-9]{{4,}}')), lambda x: x not in ({STOP})) as a from documents) select doc_id, len(b) - len(list_intersect(a, b)) as omitted, len(a) - len(list_intersect(a, b)) as added from w",
@@ -139,4 +139,4 @@ ORACLE: dict[str, str] = {
     "readability": f"with {_IMAGES} select case when least(width, height) < 250 then 'low resolution' else 'readable' end as verdict, count(*) as n from images group by 1",
     "outside_tables": f"with {_LINES}, o as (select distinct o_orderkey from orders where o_orderkey % 2 = 0) select page, n from lines left join o on page = o_orderkey where not (o_orderkey is not null and greatest(0, least(x0 + 40, 60) - greatest(x0, 10)) * greatest(0, least(y0 + 10, 48) - greatest(y0, 35)) >= 200)",
     "windowed_counts": "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2",
-} | catalog_more.ORACLE
+} | catalog_more.ORACLE | catalog_events.ORACLE

@@ -53,6 +53,11 @@ def _sections(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "conversations").selectExpr("conv_id * 1000 + turn as document_id", f"{md} as md")
 
 
+def _phrases(rows: DataFrame, id: str, name: str) -> DataFrame:
+    """All phrases between the signs of a text, under one key, which so holds all rows."""
+    return rows.select(id, F.posexplode(F.split("text", r"[.,;:!?\n]+")).alias("nth", name)).select(F.lit(1).alias("key"), F.struct(id, "nth").alias("id"), name)
+
+
 def _hits(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").selectExpr("label as document_id", "vec_id % 3 as query", "vec_id as rank", "(vec_id * 7) % 50 as chunk_id")
 
@@ -93,7 +98,7 @@ QUERIES: dict[str, Query] = {
     "retrieved_union": lambda s, d: U.first_hits(_hits(s, d), _hits(s, d).select("chunk_id").distinct().withColumn("chunk_index", F.col("chunk_id") * 3 % 50)).select("document_id", "chunk_id", "first_query", "place"),
     "statements": lambda s, d: G.statements(_replies(s, d)).select("reply_id", F.size("triples").alias("n"), "meaning"),
     "rendered_statements": lambda s, d: table(s, d, "nation").select("n_nationkey", G.rendered(F.array(F.array("n_name", F.lit("in"), F.col("n_regionkey").cast("string"))), F.expr("if(n_nationkey % 2 = 0, '', n_name)")).alias("md")),
-    "grounded_labels": lambda s, d: G.label_pairs(table(s, d, "documents").selectExpr("doc_id", "source", "substring(text, 1, 12) as text"), table(s, d, "documents").selectExpr("source", "substring(text, 3, 6) as label"), "source").select("doc_id"),
+    "grounded_labels": lambda s, d: G.label_pairs(_phrases(table(s, d, "documents"), "doc_id", "text"), _phrases(table(s, d, "benchmark"), "item_id", "label"), "key").groupBy(F.col("id.doc_id").alias("doc_id")).agg(F.count("*").alias("n")),
     "rewrite_gate": lambda s, d: G.rewrite_gate(_rewrites(s, d)).select("conv_id", "turn", "eligible", "lost", F.size("omitted").alias("omitted"), F.size("added").alias("added"), "accepted", F.md5(F.col("result").cast("binary")).alias("result")),
     "asset_names": lambda s, d: I.asset_names(A.images(s, d).groupBy("document_id", "page", "n").agg(F.min("digest").alias("digest")).selectExpr("document_id", "page", "n", "digest", "if(page % 2 = 0, '.png', null) as ext", "concat('deck', document_id) as stem")).groupBy("document_id", "filename").agg(F.count("*").alias("n")),
     "image_page_sets": lambda s, d: I.pages_of(A.images(s, d)).select("document_id", "digest", F.size("pages").alias("n"), F.array_min("pages").alias("first")),
@@ -177,7 +182,7 @@ ORACLE: dict[str, str] = {
     "fallback_topics": "select conv_id, coalesce(arg_min(role, turn) filter (turn % 3 <> 0), '') as abstract, count(*) filter (turn % 3 <> 0 and role <> '')::int as n from conversations group by 1",
     "retrieved_union": "with h as (select label as document_id, vec_id % 3 as query, vec_id as rank, (vec_id * 7) % 50 as chunk_id from embeddings), f as (select document_id, chunk_id, min(query) as first_query from h group by 1, 2) select *, row_number() over (partition by document_id order by chunk_id * 3 % 50)::int as place from f",
     "rendered_statements": "select n_nationkey, '**Relationships:**' || chr(10) || chr(10) || '- `' || n_name || '` —`in`→ `' || n_regionkey || '`' || case when n_nationkey % 2 = 0 then '' else replace('~~**Meaning:**~~', '~', chr(10)) || n_name end as md from nation",
-    "grounded_labels": f"with c as (select doc_id, source, {_KEY('substr(text, 1, 12)')} as c from documents), l as (select distinct source, {_KEY('substr(text, 3, 6)')} as k from documents) select doc_id from c where c <> '' and exists (select 1 from l where l.source = c.source and k <> '' and (c = k or (length(c) >= 4 and (contains(k, c) or contains(c, k)))))",
+    "grounded_labels": f"with c as (select doc_id, nth, {_KEY('x')} as c from (select doc_id, unnest(string_split_regex(text, '[.,;:!?{chr(92)}n]+')) as x, unnest(range(len(string_split_regex(text, '[.,;:!?{chr(92)}n]+')))) as nth from documents)), l as (select distinct {_KEY('x')} as k from (select unnest(string_split_regex(text, '[.,;:!?{chr(92)}n]+')) as x from benchmark)), u as (select distinct c from c where c <> ''), g as (select c from u where exists (select 1 from l where k <> '' and (c = k or (length(c) >= 4 and (contains(k, c) or contains(c, k)))))) select doc_id, count(*) as n from c join g using (c) group by 1",
     "asset_names": f"with {_IMAGES}, u as (select document_id, page, n, min(digest) as digest from images group by all), f as (select *, row_number() over (partition by document_id, digest order by page, n) as nth from u), a as (select document_id, digest, row_number() over (partition by document_id order by page, n) as asset, case when page % 2 = 0 then 'png' else 'bin' end as ext from f where nth = 1) select document_id, printf('deck%d_%02d_%s.%s', document_id, asset, digest, ext) as filename, count(*) as n from f join a using (document_id, digest) group by 1, 2",
     "image_page_sets": f"with {_IMAGES} select document_id, digest, count(distinct page)::int as n, min(page) as first from images group by 1, 2",
     "page_image_sets": f"with {_IMAGES}, u as (select distinct document_id, page, digest from images) select document_id, page, string_agg(digest, ',' order by digest) as digests from u group by 1, 2",

@@ -47,9 +47,13 @@ def convert(spark: SparkSession, paths: list[str], output: str | None = None, re
     listed = None
     for arg, path in enumerate(paths):
         folder = os.path.isdir(path)
-        one = inputs.listing(spark, path, recursive or not folder, arg).withColumn("from_folder", F.lit(folder))
+        if os.path.exists(path):
+            one = inputs.listing(spark, path, recursive or not folder, arg).withColumn("from_folder", F.lit(folder)).withColumn("missing", F.lit(False))
+        else:
+            one = spark.range(1).select(F.lit(arg).alias("arg"), F.lit(os.path.abspath(path)).alias("path"), F.lit(False).alias("from_folder"), F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("file_hash"), F.lit(True).alias("missing"))
         listed = one if listed is None else listed.unionByName(one)
     found = inputs.expand(listed.withColumn("path", local_path())).withColumnRenamed("path", "source")
+    found = found.withColumn("error", F.when(F.col("missing"), "no such file").otherwise(F.col("error")))
     shapes = pptx.shapes(found.where((F.col("error").isNull()) & (F.lower("source").endswith(".pptx"))))
     folder = F.lit(output) if output else T.output_folder(F.col("source"))
     decks = slides.deck_markdown(shapes.where("error is null")).withColumn("md_path", F.concat(folder, F.lit("/"), F.col("stem"), F.lit(".md")))
@@ -67,7 +71,11 @@ def convert(spark: SparkSession, paths: list[str], output: str | None = None, re
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    config(args)
+    asked = config(args)
+    wanted = [p for p in PASSES if getattr(asked, p)]
+    if wanted:  # rather than leave them out without a word
+        print(f"[ERR] passes with a model aren't run by this command: {', '.join(wanted)}", file=sys.stderr)
+        return 2
     own = spark or SparkSession.builder.appName("leafmill").getOrCreate()
     results = convert(own, args.paths, args.output, not args.no_recursive)
     # written once: what is reported is what was done

@@ -9,7 +9,9 @@ from leafmill.functions import text as T
 from leafmill.operators import markdown as M
 
 #: Fixed value: the line of a page break.
-PAGE_BREAK = '<div style="page-break-after: always"></div>'
+PAGE_BREAK = '<div style="page-break-after: always; break-after: page;"></div>'
+#: Signs of a gram; entries of the index that are broadcast at most, and parts of a gram's candidates beyond.
+GRAM, MOST, SALTS = 4, 200_000, 16
 
 
 def grounded(candidate: Column, labels: Column) -> Column:
@@ -65,7 +67,46 @@ def rewrite_gate(slides: DataFrame) -> DataFrame:
     return out.withColumn("result", F.when(F.col("accepted"), new).otherwise(F.col("md")))
 
 
-def label_pairs(candidates: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Candidates (key, text) that a label of the same key grounds. The labels of a key are one array, so no pairs are made."""
-    held = labels.groupBy(key).agg(F.collect_set("label").alias("labels"))
-    return candidates.join(held, key).where(grounded(F.col("text"), F.col("labels"))).drop("labels")
+def _grams(text: Column, width: Column | int) -> Column:
+    """The different runs of ``width`` signs of a text."""
+    n = F.length(text)
+    places = F.when(n >= width, F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, width)))
+
+
+def _smallest(grams: Column) -> Column:
+    """The gram of the smallest hash: one that texts agree on and that no language prefers."""
+    return F.array_min(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+
+
+def _met(asked: DataFrame, index: DataFrame, key: str, most: int) -> DataFrame:
+    """asked (id, key, c, g) with the entries of the index (key, g, k) of the same gram."""
+    entries = index.withColumnsRenamed({key: "key_", "g": "g_"})
+    same = (F.col(key) == F.col("key_")) & (F.col("g") == F.col("g_"))
+    if entries.count() <= most:
+        return asked.join(F.broadcast(entries), same)
+    salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return asked.join(salted, same & (F.pmod(F.xxhash64("id", "c"), F.lit(SALTS)).cast("int") == F.col("salt")))
+
+
+def label_pairs(candidates: DataFrame, labels: DataFrame, key: str, id: str = "id", most: int = MOST) -> DataFrame:
+    """The rows of candidates (id, key, text) that a label (key, label) of the same key grounds: key and id, once for each id.
+
+    Both sides are normalised once. Equal keys are an equi-join. A label within a candidate is found by an index that holds each label under one of its grams of four
+    signs, the one that fewest labels have (shorter labels under themselves), and that is asked for every gram of a candidate; a candidate within a label by
+    an index of all grams of the labels that is asked for one gram of the candidate. What an index gives is compared as text. Indexes of up to ``most``
+    entries are broadcast, larger ones joined by key and gram, salted. Null and blank texts match nothing.
+    """
+    held = labels.select(key, T.label_key(F.col("label")).alias("k")).where("k <> ''").distinct()
+    asked = candidates.select(F.col(id).alias("id"), key, T.label_key(F.col("text")).alias("c")).where("c <> ''")
+    long = asked.where(F.length("c") >= GRAM)
+    grams = held.select(key, "k", F.explode(_grams(F.col("k"), GRAM)).alias("g"))
+    common = grams.groupBy(key, "g").agg(F.count("*").alias("n"))
+    anchors = grams.join(common, [key, "g"]).groupBy(key, "k").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    widths = sorted(r[0] for r in held.select(F.length("k").alias("n")).where(F.col("n") < GRAM).distinct().collect())  # three at most
+    anchors = anchors.select(key, "g", "k").unionByName(held.where(F.length("k") < GRAM).select(key, F.col("k").alias("g"), "k"))
+    runs = F.concat(_grams(F.col("c"), GRAM), *[_grams(F.col("c"), n) for n in widths])
+    inside = _met(long.withColumn("g", F.explode(runs)), anchors, key, most).where(F.col("c").contains(F.col("k")))
+    within = _met(long.withColumn("g", _smallest(_grams(F.col("c"), GRAM))), grams.select(key, "g", "k"), key, most).where(F.col("k").contains(F.col("c")))
+    equal = _met(asked.where(F.length("c") < GRAM).withColumn("g", F.col("c")), held.select(key, F.col("k").alias("g"), "k"), key, most)
+    return inside.select(key, "id").unionByName(within.select(key, "id")).unionByName(equal.select(key, "id")).distinct()

@@ -27,3 +27,22 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 def recent(events: DataFrame, n: int) -> DataFrame:
     last = events.groupBy("user_id").agg(F.max("ts").alias("last_used"))
     return last.orderBy(F.desc("last_used"), "user_id").limit(n)
+
+
+def percentiles(events: DataFrame) -> DataFrame:
+    """Counts and exact percentiles of latency by stage, by day, by both and over all (``level``: which of the two are folded, as bits)."""
+    rows = events.withColumn("day", F.to_date("ts"))
+    held = rows.cube("event_type", "day").agg(F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("p"), F.grouping_id().alias("level"))
+    return held.select("event_type", F.col("day").cast("string").alias("day"), "n", *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{q}") for i, q in enumerate((50, 90, 99))], "level")
+
+
+def sketches(events: DataFrame) -> DataFrame:
+    """hour, event_type, n, users (HyperLogLog of 2^12 registers, standard error 1.6 %) and values (KLL of k = 200, rank error 1.33 % at 99 % confidence): what is kept of an hour, a few KB, and merged for any span."""
+    rows = events.withColumn("hour", F.date_trunc("hour", "ts"))
+    return rows.groupBy("hour", "event_type").agg(F.count("*").alias("n"), F.hll_sketch_agg("user_id", 12).alias("users"), F.kll_sketch_agg_double("value", 200).alias("values"))
+
+
+def spans(kept: DataFrame, span: Column, name: str) -> DataFrame:
+    """Hours merged into spans: name, event_type, n, users and percentiles, without reading an event again."""
+    held = kept.groupBy(span.alias(name), "event_type").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), F.kll_merge_agg_double("values").alias("k"))
+    return held.select(name, "event_type", "n", "users", *[F.kll_sketch_get_quantile_double("k", F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.99)])

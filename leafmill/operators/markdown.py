@@ -9,8 +9,9 @@ from leafmill.functions import text as T
 
 #: Most topics, takeaways and terms of a summary, and the fewest (fixed values).
 TARGETS = {"n_topics": ("concepts", 3, 16), "n_takeaways": ("concepts", 3, 12), "n_terms": ("terms", 0, 8)}
-#: What a line that a rewrite must keep begins with, behind white space.
-KEPT = ("#", "![", "[image](", ">", "<div", "<details", "</details>", "```", "|", "---")
+#: Fixed values (P7, A10 of the survey): how a line begins that a rewrite must keep, and a bold term with its colon.
+STRUCTURAL = r"^(#|!\[|\[Page\s+\d+\]\(|\[image\]\(|>|<div|<details|</details>|```|\||---)"
+TERM = r"^\*\*[^*]+(:\*\*|\*\*\s*:)"
 
 
 def fenced_lines(markdown: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -36,11 +37,7 @@ def polish(markdown: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def is_structural(line: Column) -> Column:
     """Headings, images, links to pages, quotes, blocks, fences, tables and rules."""
-    begin = T.lstrip(line)
-    out = begin.rlike(r"^\[Page\s+\d+\]\(")
-    for prefix in KEPT:
-        out = out | begin.startswith(prefix)
-    return out
+    return T.lstrip(line).rlike(STRUCTURAL)
 
 
 def line_kinds(markdown: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -54,9 +51,7 @@ def summary_targets(markdown: DataFrame, key: str = "doc_id") -> DataFrame:
     """List items without indent, and bold lead-ins with a colon, outside fences, tables, quotes and headings; and how many points a summary gets."""
     open_ = ~F.col("fence") & ~F.col("is_fence")
     item = open_ & F.col("line").rlike(r"^(?:[-*]\s+|[0-9]+\.\s+)\S")
-    # a bold name, the colon before or behind its closing mark
-    bold = F.regexp_extract(T.strip(F.col("line")), r"^\*\*([^*]+)\*\*", 1)
-    term = open_ & (bold != "") & ((bold.endswith(":") & (F.length(bold) > 1)) | T.strip(F.col("line")).rlike(r"^\*\*[^*]+\*\*\s*:"))
+    term = open_ & T.strip(F.col("line")).rlike(TERM)
     counted = fenced_lines(markdown, key).groupBy(key).agg(F.count_if(item).alias("concepts"), F.count_if(term).alias("terms"))
     return counted.withColumns({name: F.greatest(F.lit(low), F.least(F.lit(high), F.col(of))) for name, (of, low, high) in TARGETS.items()})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
@@ -72,11 +72,10 @@ def slide_markdown(shapes: DataFrame) -> DataFrame:
 
 
 def deck_markdown(shapes: DataFrame) -> DataFrame:
-    """source, stem, lines of whole decks: slides between page breaks."""
+    """source, stem, lines of whole decks: a page break behind each slide, the last one, too."""
     from leafmill.operators.grounding import PAGE_BREAK
 
-    last = F.max("slide").over(Window.partitionBy("source"))
-    broken = slide_markdown(shapes).withColumn("lines", F.concat("lines", F.when(F.col("slide") < last, F.array(F.lit(PAGE_BREAK), F.lit(""), F.lit("---"), F.lit(""))).otherwise(F.array().cast(_NONE))))
+    broken = slide_markdown(shapes).withColumn("lines", F.concat("lines", F.array(*map(F.lit, ("", PAGE_BREAK, "", "---", "")))))
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slide", "lines"))), lambda x: x["lines"]))
     return broken.groupBy("source").agg(joined.alias("lines")).withColumn("stem", F.regexp_extract("source", r"([^/]*?)(?:\.[^./]*)?$", 1))
 

@@ -45,6 +45,13 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("document_id", "page", "n", "x0", "y0", "x0 + 20 + p % 50 as x1", "y0 + size as y1", "size", f"{md} as md", f"{md} as text")
 
 
+def grid_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in up to three columns, a few of them as wide as all."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    rows = rows.selectExpr("l_orderkey % 40 as document_id", "l_orderkey as page", "l_linenumber as n", "p", "(l_linenumber % 3) * 120.0D + p % 5 as x0", "20.0D + (l_linenumber div 3) * 14 + s % 3 as y0")
+    return rows.selectExpr("document_id", "page", "n", "x0", "y0", "x0 + if(p % 37 = 0, 300, 40 + p % 50) as x1", "y0 + 8 as y1", "concat(' cell|', p) as md", "concat(' cell|', p) as text")
+
+
 def decks(spark: SparkSession, d: str) -> DataFrame:
     one = table(spark, d, "conversations").selectExpr("conv_id", "turn", "concat('# ', role, ' — Slide ', turn + 1, '\\n\\n', text) as md")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "md"))), lambda x: x["md"]), "\n\n---\n\n")

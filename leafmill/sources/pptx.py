@@ -1,6 +1,6 @@
 """Slide decks as rows: the package's XML is read with the standard library, a file to a row of ``binaryFile``.
 
-One row for each shape that isn't a group (groups are walked), and one for the notes of each slide. A deck that can't be read is a row with its error.
+One row for each slide (kind slide, so that a slide without shapes is one), for each of its shapes that isn't a group (groups are walked), and for its notes. A deck that can't be read is a row with its error.
 """
 
 from __future__ import annotations
@@ -50,6 +50,7 @@ class Deck:
     def rows(self) -> Iterator[dict]:
         for n, part in enumerate(self.slides, 1):
             links, ord_ = self.links(part), 0
+            yield {"slide": n, "ord": -1, "kind": "slide"}
             for shape in self.shapes(self.xml(part).find(f"{_P}cSld/{_P}spTree")):
                 yield self.row(shape, links) | {"slide": n, "ord": ord_}
                 ord_ += 1

@@ -182,7 +182,7 @@ def test_a_deck_becomes_markdown(spark, tmp_path):
     shown = f"![Pic 1](assets/d%20e/d%20e_01_{digest}.png)"
     assert (tmp_path / "out" / "d e.md").read_text() == "\n".join([
         "# A \\*t\\* — Slide 1", "", "- first", "- ***bold***", "", "  - under", "1. num", "plain", "", "*foot*", "", "| h\\| |", "| --- |", "| x<br>y |", "", "> **Notes:**", "> n1", "> n2", "",
-        grounding.PAGE_BREAK, "", "---", "", "# Slide 2", "", shown, "", shown, "",
+        "", grounding.PAGE_BREAK, "", "---", "", "# Slide 2", "", shown, "", shown, "", "", grounding.PAGE_BREAK, "", "---", "",
     ]).rstrip() + "\n"
     assert os.listdir(tmp_path / "out" / "assets" / "d e") == [f"d e_01_{digest}.png"]
     assert cli.main([str(tmp_path / "in" / "d e.pptx"), "-o", str(tmp_path / "o2"), "-q"], spark) == 0
