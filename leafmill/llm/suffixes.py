@@ -9,8 +9,10 @@ are joined, each with an end mark of its own; from their suffix order comes the
 Burrows-Wheeler transform, and common-prefix values are derived by increasing value, extending interval bounds backwards
 breadth-first and stopping at ``length``: bounds not reached by then separate suffixes that share a window.
 
-A key met by more than ``HOT`` distinct strings would be too much for one task: windows of such strings are told apart by hashes of
-128 bits, counted where they are before they meet. Texts are identified by doc_id and hash of the text; repeated rows are occurrences of
+A key met by more than ``HOT`` distinct strings would be too much for one task. Of such strings, too, only stretches of windows whose rolling hash occurs again stay, but that is
+found out by a shuffle on the hash: windows are counted where they are, and one of each distinct hash of a slice travels. What stays is mostly the same stretch
+again and again (a passage that many texts share); the distinct ones are few and go through the suffix order like all others, so hashes alone decide nothing. One task holds the
+distinct stretches of a key. Texts are identified by doc_id and hash of the text; repeated rows are occurrences of
 each other and get equal results. Null texts count as empty, and texts shorter than ``length`` have no window. Texts may be of any
 length: arrays are held for slices of a few megabytes, or one text. An empty table gives an empty one.
 Columns of the input with names that are used here are no harm: names of inner columns are chosen anew.
@@ -302,14 +304,17 @@ def _compared(strings: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(compare, f"key long, run long, windows_ {_SPANS}")
 
 
-#: A window of a hot key on its way: 128 bits of hash, the string and place it is at, and whether it is known to repeat.
-_WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("key", "<i8"), ("run", "<i8"), ("at", "<i4"), ("known", "?")])
+#: Bits of the rolling hash that sift windows of hot keys; fewer let more through, with the same result.
+MASK = (1 << 64) - 1
+#: A window of a hot key on its way: its hash, the string and place it is at, and whether the hash is known to occur again.
+_WINDOW = np.dtype([("h", "<u8"), ("key", "<i8"), ("run", "<i8"), ("at", "<i4"), ("known", "?")])
 
 
-def _window_hashes(strings: DataFrame, length: int) -> DataFrame:
-    """key, run, windows_ of strings of keys that too many distinct strings share: windows are told apart by hashes of 128 bits.
-    What repeats within a slice of strings is settled there; one of each distinct window of a slice goes, packed, to the bucket of its hash,
+def _met_again(strings: DataFrame, length: int) -> DataFrame:
+    """key, run, windows_ of strings of keys that too many distinct strings share: windows whose hash occurs again, in several rows for a string.
+    What is met twice within a slice of strings is known there; one window of each hash of a slice goes, packed, to the bucket of its hash,
     so a window that all strings hold meets itself once a slice."""
+    mask = np.uint64(MASK)
     total = strings.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-total * _WINDOW.itemsize // 8_000_000))
     names = ["bucket", "packed", "key", "run", "windows_"]
@@ -327,9 +332,9 @@ def _window_hashes(strings: DataFrame, length: int) -> DataFrame:
 
     def same(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows in order of their hash, which of them begin a group, and which are not alone in theirs."""
-        rows = rows[np.lexsort((rows["at"], rows["run"], rows["g"], rows["h"]))]
+        rows = rows[np.lexsort((rows["at"], rows["run"], rows["h"]))]
         first = np.ones(len(rows), bool)
-        first[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])
+        first[1:] = rows["h"][1:] != rows["h"][:-1]
         return rows, first, ~(first & np.append(first[1:], True))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +346,7 @@ def _window_hashes(strings: DataFrame, length: int) -> DataFrame:
                 data, place, starts = np.frombuffer(b"".join(raw), np.uint8), _valid(sizes, length), np.cumsum(sizes) - sizes
                 own = np.searchsorted(starts, place, side="right") - 1
                 rows = np.zeros(len(place), _WINDOW)
-                rows["h"], rows["g"] = (_gram_hashes(data, length, seed)[place] for seed in (0, 1))
+                rows["h"] = _gram_hashes(data, length, 0)[place] & mask
                 rows["key"], rows["run"], rows["at"] = part.column(0).to_numpy()[own], part.column(1).to_numpy()[own], place - starts[own]
                 rows, first, several = same(rows)
                 here = rows[several]
@@ -367,6 +372,23 @@ def _window_hashes(strings: DataFrame, length: int) -> DataFrame:
     return staged.where("bucket < 0").select("key", "run", "windows_").unionByName(met)
 
 
+def _hot(strings: DataFrame, length: int) -> DataFrame:
+    """key, run, windows_ of strings of keys that too many distinct strings share: stretches whose hashes occur again, each distinct one compared once, by suffix order."""
+    met = _met_again(strings, length).groupBy(F.col("key").alias("id_"), F.col("run").alias("th_")).agg(F.flatten(F.collect_list("windows_")).alias("s"))
+    spans = _merged(met).select(F.col("id_").alias("k"), F.col("th_").alias("r"), F.explode("spans").alias("w"))
+    bytes_ = F.expr(f"substring(bytes, w.begin + 1, w.end - w.begin + {length - 1})")
+    cut = strings.join(spans, (F.col("key") == F.col("k")) & (F.col("run") == F.col("r"))).select("key", F.col("run").alias("whole"), F.col("w.begin").alias("begin"), (F.col("w.end") - F.col("w.begin")).alias("windows"), bytes_.alias("bytes"))
+    cut = common.stage(cut.withColumn("run", F.xxhash64("bytes")), "stretches", "zstd")
+    # counted as bytes; a stretch that several strings hold is repeated in all its windows
+    distinct = common.stage(cut.groupBy("key", "run", "bytes").agg(F.count("*").alias("n")), "distinct-stretches", "zstd")
+    found = distinct.where("n > 1").select("key", "run", F.lit(None).cast(_SPANS).alias("windows_")).unionByName(_compared(distinct, length))
+    found = common.stage(found, "compared-stretches", "lz4").withColumnsRenamed({"key": "k", "run": "r"})
+    hit = cut.drop("bytes").join(found, (F.col("key") == F.col("k")) & (F.col("run") == F.col("r")))
+    moved = F.transform("windows_", lambda w: F.struct((w["begin"] + F.col("begin")).alias("begin"), (w["end"] + F.col("begin")).alias("end")))
+    whole = F.array(F.struct(F.col("begin").alias("begin"), (F.col("begin") + F.col("windows")).alias("end")))
+    return hit.select("key", F.col("whole").alias("run"), F.coalesce(moved, whole).alias("windows_"))
+
+
 def _merged(found: DataFrame) -> DataFrame:
     """id_, th_ and spans in order, overlapping and adjacent ones joined."""
 
@@ -415,7 +437,7 @@ def repeats(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc
     found = _compared(strings.where(F.col("strings") <= hot), length)
     many = strings.where(F.col("strings") > hot)
     if not many.isEmpty():
-        found = found.unionByName(_window_hashes(many, length))
+        found = found.unionByName(_hot(many, length))
     # windows of a run that copies share are all repeated
     whole = whole.unionByName(several.where("n > 1 and twice").select("key", "run")).withColumn("windows_", F.lit(None).cast(_SPANS))
     covered = common.stage(whole.unionByName(found), "repeated", "lz4")

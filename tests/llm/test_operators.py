@@ -90,6 +90,35 @@ def test_suffix_dedup(spark, length, hot, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("hot,mask", [(1000, None), (2, None), (2, 7), (0, 0)])
+def test_hot_keys_go_by_bytes(spark, hot, mask, monkeypatch):
+    """A length above the passage's, runs counted, equal doc_ids, and hashes of few bits, which different windows share."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    if mask is not None:
+        monkeypatch.setattr(suffixes, "MASK", mask)
+    rng = np.random.default_rng(2)
+    w = ["".join(rng.choice(list("abcdefgé"), 4)) for _ in range(200)]
+    passage, other = " ".join(rng.choice(w, 30)), " ".join(rng.choice(w, 14))
+    texts = [" ".join(rng.choice(w, 12)) + (passage[i : 90 + 3 * i] if i % 2 else other) + " ".join(rng.choice(w, 9)) + (other[:50] if i % 3 else "") for i in range(24)] + ["x" * 130, None, "", passage, passage]
+    raw = [(t or "").encode() for t in texts]
+
+    def covered(t, length):
+        mask = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - length + 1):
+            if seen[length][t[i : i + length]] > 1:
+                mask[i : i + length] = True
+        return mask, int((np.diff(mask.astype(int), prepend=0) == 1).sum())
+
+    seen = {n: Counter(t[i : i + n] for t in raw for i in range(len(t) - n + 1)) for n in (60, 40)}
+    want = []
+    for t in raw:
+        (own, runs), (wide, passages) = covered(t, 60), covered(t, 40)
+        want.append((len(t), int(own.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~own[:-1]])).hexdigest(), int(wide.sum()), passages))
+    rows = frame(spark, texts).withColumn("doc_id", F.col("doc_id") % 9)
+    got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.passage_bytes, r.n_passages) for r in suffixes.digest(rows, 60, 40).collect()]
+    assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 10
+
+
 def test_cut_passages_go_by_whole_characters(spark):
     import corpus_pipeline
 
