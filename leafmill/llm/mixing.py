@@ -16,12 +16,16 @@ Null text counts 0; documents of size 0 are taken 0 times; a null source is a so
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 WEIGHTS, UNIT, STEPS = (5, 2, 1), 1_000_000, 40
+#: Sources that are broadcast at most (some hundred bytes each); more are joined by a shuffle.
+SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -76,6 +80,8 @@ def tilts(cells: DataFrame, sources: DataFrame, most: float = 2.0) -> DataFrame:
         common.drop_stage(before)
         if not state.where("not done").limit(1).count():
             break
+    else:
+        warnings.warn(f"tilts of some sources have not settled in {STEPS} steps; their words are made up by rounding", stacklevel=2)
     return state.select("source_", "full", "mean", "tilt")
 
 
@@ -89,25 +95,27 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), total: float = 1.
     order = ["source", "size", "h"]
     dealt = rows.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).withColumn("part", F.spark_partition_id())
     solved = common.stage(solved.select("s", "source_size", "target", "full", "mean", "tilt"), "solved")
+    # a row for each source, or for each source and range: rows of the table needn't be dealt by their source
+    small = F.broadcast if solved.count() <= SOURCES else (lambda one: one)
     dealt = common.stage(dealt, "dealt")
-    rated = dealt.join(solved, _same("source", "s")).drop("s").withColumn("micro", F.round(rate * UNIT).cast("long"))
+    rated = dealt.join(small(solved), _same("source", "s")).drop("s").withColumn("micro", F.round(rate * UNIT).cast("long"))
     # how much of each source the ranges before hold: a row for each range and source in it
     sums = rated.groupBy("source", "part").agg(F.sum("micro").alias("own"))
     sums = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.sum("own").over(Window.partitionBy("source").orderBy("part")) - F.col("own")).alias("before"))
     within = Window.partitionBy("part", "source").orderBy("size", "h", *[F.col(f"c{i}") for i, _ in enumerate(carry) if i < 1]).rowsBetween(Window.unboundedPreceding, 0)
-    run = rated.withColumn("run", F.sum("micro").over(within)).join(sums, _same("source", "s") & (F.col("part") == F.col("p"))).drop("s", "p")
+    run = rated.withColumn("run", F.sum("micro").over(within)).join(small(sums), _same("source", "s") & (F.col("part") == F.col("p"))).drop("s", "p")
     copies = F.expr(f"(run + before + {UNIT // 2}) div {UNIT} - (run + before + {UNIT // 2} - micro) div {UNIT}")
     taken = common.stage(run.select(*[f"c{i}" for i in range(len(carry))], "source", "size", "h", "part", "source_size", "target", copies.alias("copies")), "copies")
     common.drop_stage(dealt)
     lacking = taken.groupBy(F.col("source").alias("s")).agg((F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("lack"))
-    able = taken.join(lacking, _same("source", "s")).where((F.col("lack") != 0) & (F.col("copies") * F.col("size") + F.col("lack")).between(0, 2 * F.col("size")))
+    able = taken.join(small(lacking), _same("source", "s")).where((F.col("lack") != 0) & (F.col("copies") * F.col("size") + F.col("lack")).between(0, 2 * F.col("size")))
     one = able.groupBy("source").agg(F.max(F.struct("size", "h", "part")).alias("who"), F.first("lack").alias("lack")).select(F.col("source").alias("s"), "who", "lack")
-    rows = taken.join(one, _same("source", "s"), "left").drop("s")
+    rows = taken.join(small(one), _same("source", "s"), "left").drop("s")
     # equal rows have equal hashes; only a row that is the only one of its kind bears the rest
     chosen = F.col("who").isNotNull() & (F.col("size") == F.col("who.size")) & (F.col("h") == F.col("who.h")) & (F.col("part") == F.col("who.part"))
     rows = rows.withColumn("chosen", chosen)
     bears = rows.where("chosen").groupBy("source").agg(F.count("*").alias("equal"))
-    rows = rows.join(bears.select(F.col("source").alias("s"), "equal"), _same("source", "s"), "left").drop("s")
+    rows = rows.join(small(bears.select(F.col("source").alias("s"), "equal")), _same("source", "s"), "left").drop("s")
     words_taken = F.col("copies") * F.col("size") + F.when(F.col("chosen") & (F.col("equal") == 1), F.col("lack")).otherwise(0)
     out = rows.withColumn("taken", words_taken.cast("long"))
     return out.select(*[f"c{i}" for i in range(len(carry))], "size", "source_size", "target", "copies", "taken")

@@ -37,8 +37,9 @@ _BITS = [f"b{i}" for i in range(PARITIES)]
 
 
 def _class(text: str):
-    """Names a text up to ASCII case and white space at its words' ends."""
-    return F.xxhash64(F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "))))
+    """Names a text up to ASCII case and white space at its words' ends, by 64 bits."""
+    bare = F.trim(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return F.xxhash64(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:

@@ -119,6 +119,24 @@ def test_hot_keys_go_by_bytes(spark, hot, mask, monkeypatch):
     assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 10
 
 
+def test_classes_ignore_ascii_case_alone(spark):
+    rows = spark.createDataFrame([("A  b\n",), ("a b",), ("É b",), ("é b",)], "text string").select(neardup._class("text").alias("h")).collect()
+    assert rows[0].h == rows[1].h and rows[2].h != rows[3].h
+
+
+@pytest.mark.parametrize("sources", [mixing.SOURCES, 0])
+def test_mix_by_broadcast_and_by_shuffle(spark, sources, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", sources)
+    rows = spark.createDataFrame([(i, "w " * (i % 7), ["a", "b", None][i % 3]) for i in range(90)], "doc_id long, text string, source string")
+    got = sorted(map(tuple, mixing.digest(rows).collect()), key=str)
+    words = {s: sum(r[4] for r in got if i_source(r[0]) == s) for s in ("a", "b", None)}
+    assert all(abs(words[i_source(r[0])] - r[3]) <= 0.5 for r in got) and all(r[4] <= 2 * r[1] for r in got)
+
+
+def i_source(i):
+    return ["a", "b", None][i % 3]
+
+
 def test_cut_passages_go_by_whole_characters(spark):
     import corpus_pipeline
 
