@@ -80,11 +80,11 @@ QUERIES: dict[str, Query] = {
     "bullet_split": lambda s, d: A.page_lines(s, d).select("page", "n", T.bullet_glyph(F.col("md")).alias("glyph"), T.after_bullet(F.col("md")).alias("rest")),
     "mime_types": lambda s, d: table(s, d, "part").select("p_partkey", T.mime_type(F.expr("element_at(array('.PNG', 'jpg', 'jpeg', '..gif', 'webp', 'xyz', null), 1 + cast(p_partkey % 7 as int))")).alias("mime")),
     "data_urls": lambda s, d: table(s, d, "nation").select("n_nationkey", T.data_url(F.col("n_name").cast("binary"), F.lit("jpg")).alias("url")),
-    "categories": lambda s, d: table(s, d, "documents").select("doc_id", T.category(F.expr("substring(text, 1, 400)")).alias("category")),
+    "categories": lambda s, d: table(s, d, "documents").select("doc_id", T.category(F.col("text")).alias("category")),
     "gated_categories": lambda s, d: A.images(s, d).groupBy(I.gated_category(F.expr("if(width % 3 = 0, 'A Chart', 'logo')"), F.expr("width % 7 = 0"), F.col("width"), F.col("height")).alias("category")).agg(F.count("*").alias("n")),
-    "gist_reasons": lambda s, d: A.drafts(s, d).select("doc_id", I.gist_reason(F.expr("concat('- ', replace(substring(md, 1, 200), ' ', '\\n- w'))"), F.expr("if(doc_id % 2 = 0, 'diagram', 'text')")).alias("reason")),
+    "gist_reasons": lambda s, d: A.drafts(s, d).select("doc_id", I.gist_reason(F.expr("concat('- ', replace(md, ' ', '\\n- w'))"), F.expr("if(doc_id % 2 = 0, 'diagram', 'text')")).alias("reason")),
     "blockquotes": lambda s, d: A.drafts(s, d).select("doc_id", F.md5(T.blockquote(F.col("md")).cast("binary")).alias("quote")),
-    "label_keys": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.label_key(F.expr("concat(' \"**', substring(text, 1, 60), '`\" ')")).cast("binary")).alias("label")),
+    "label_keys": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.label_key(F.expr("concat(' \"**', text, '`\" ')")).cast("binary")).alias("label")),
     "elapsed_times": lambda s, d: table(s, d, "orders").select("o_orderkey", T.elapsed(F.expr("(o_orderkey * 37) % 9000 + 0.75D")).alias("took")),
     "emu_points": lambda s, d: table(s, d, "part").select("p_partkey", F.round(T.points(F.expr("p_partkey * 12700L"), F.lit(12192000), F.lit(960.0)), 6).alias("pt")),
     "unit_vectors": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(F.aggregate(T.unit_vector(F.transform("embedding", lambda x: x * 3)), F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")), 4).alias("square")),
@@ -162,10 +162,10 @@ ORACLE: dict[str, str] = {
     "bullet_split": f"with {_PL} select page, n, case when starts_with(md, '•') then '•' end as glyph, case when starts_with(md, '•') then ltrim(substr(md, 2), ' ') else md end as rest from pl",
     "mime_types": "select p_partkey, (['image/png', 'image/jpeg', 'image/jpeg', 'image/gif', 'image/webp', 'image/png', 'image/png'])[p_partkey % 7 + 1] as mime from part",
     "data_urls": "select n_nationkey, 'data:image/jpeg;base64,' || base64(encode(n_name)) as url from nation",
-    "categories": f"select doc_id, {_CATEGORY('substr(text, 1, 400)')} as category from documents",
+    "categories": f"select doc_id, {_CATEGORY('text')} as category from documents",
     "gated_categories": f"with {_IMAGES}, c as (select case when width % 7 = 0 then 'decorative' when width % 3 = 0 then 'diagram' else 'decorative' end as c, width * height >= 150000 and greatest(width, height)::double / least(width, height) >= 2.0 as is_content from images) select case when c = 'decorative' and is_content then 'diagram' else c end as category, count(*) as n from c group by 1",
     "blockquotes": f"with {_DRAFTS}, l as (select doc_id, string_split(md, chr(10)) as a from drafts) select doc_id, md5(array_to_string(list_transform(case when a[-1] = '' then a[:-2] else a end, lambda x: case when {_TRIM('x')} = '' then '>' else '> ' || x end), chr(10))) as quote from l",
-    "label_keys": "select doc_id, md5(" + _KEY("' \"**' || substr(text, 1, 60) || '`\" '") + ") as label from documents",
+    "label_keys": "select doc_id, md5(" + _KEY("' \"**' || text || '`\" '") + ") as label from documents",
     "elapsed_times": "with t as (select o_orderkey, (o_orderkey * 37) % 9000 as s from orders) select o_orderkey, case when s >= 3600 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' when s >= 60 then (s // 60) || 'm ' || (s % 60) || 's' else s || 's' end as took from t",
     "emu_points": "select p_partkey, round(p_partkey * 12700::double / 12192000 * 960, 6) as pt from part",
     "unit_vectors": "select vec_id, 1.0::double as square from embeddings",
