@@ -10,8 +10,8 @@ from test_engine import deck
 
 from leafmill import cli
 from leafmill.functions import text as T
-from leafmill.models import client, memo
-from leafmill.operators import asof, grounding, log, slides, tables
+from leafmill.models import client, memo, summarise
+from leafmill.operators import asof, documents, grounding, log, slides, tables
 from leafmill.sinks.store import BUCKETS, Store
 from leafmill.sources import pptx
 from leafmill.streaming import events as S
@@ -227,3 +227,36 @@ def test_missing_inputs_and_passes(spark, tmp_path, capsys):
     rows = cli.convert(spark, [str(tmp_path / "none.pptx"), str(tmp_path / "d.pptx")], str(tmp_path / "out")).collect()
     assert [r.error for r in rows] == ["no such file", None]
     assert cli.main([str(tmp_path / "d.pptx"), "--all"], spark) == 2 and "summary" in capsys.readouterr().err
+
+
+def test_slides_are_looked_up_within_their_deck(spark):
+    md = "# Aims — Slide 1\n\nsubject and aims of the presentation\n\n# Slide 2\n\nzebra\n\n# Slide 3\n\nconclusions and main points"
+    decks = spark.createDataFrame([(1, "/x/a.pptx", md), (2, "/x/b.pptx", md)], "document_id int, source string, md string")
+    rows = documents.slides(decks.select("document_id", "md"))
+    pick = lambda k: sorted((r.document_id, r.slide) for r in summarise.retrieved(rows, client.embedding(width=64), k).collect())
+    assert pick(summarise.EVERY) == [(d, n) for d in (1, 2) for n in (1, 2, 3)]
+    assert {(1, 1), (1, 3), (2, 1), (2, 3)} <= set(pick(1))
+    reply = "## Abstract\nAll.\n## Key Topics\n- t\n## Key Takeaways\n- k"
+    out = summarise.headers(decks, F.lit("2024-01-02").cast("date"), client.answer(client.StandIn(reply)), client.embedding()).orderBy("document_id").collect()
+    assert [r.used for r in out] == ["reply", "reply"] and all(r.md.startswith("# Summary\n") and "- Source: " in r.md and "# Aims — Slide 1" in r.md for r in out)
+
+
+def test_decks_and_markdown_as_a_data_source(spark, tmp_path):
+    from leafmill.sources import datasource
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "b.pptx").write_bytes(deck())
+    (tmp_path / "in" / "bad.pptx").write_bytes(b"no zip")
+    (tmp_path / "in" / "deep" / "a.MD").write_text("# Text\n", encoding="utf-8")
+    (tmp_path / "in" / "x.txt").write_text("x")
+    datasource.register(spark)
+    read = lambda *paths, **more: spark.read.format("leafmill").options(paths="\n".join(map(str, paths)), **more).load()
+    df = read(tmp_path / "in", tmp_path / "gone.pptx", tmp_path / "in" / "x.txt", tmp_path / "in" / "b.pptx", files=1)
+    assert df.rdd.getNumPartitions() == 5
+    errors = {os.path.basename(r.source): r.error.split(":")[0] for r in df.where("error is not null").collect()}
+    assert errors == {"bad.pptx": "BadZipFile", "gone.pptx": "FileNotFoundError", "x.txt": "ValueError"}
+    texts = read(tmp_path / "in", files=1).where("suffix = '.md'")
+    assert [r.markdown for r in texts.collect()] == ["# Text\n"] and texts.rdd.getNumPartitions() == 1
+    assert read(tmp_path / "in", recursive="false").where("suffix = '.md'").count() == 0
+    lines = slides.deck_markdown(df.where("suffix = '.pptx'").drop("suffix", "markdown")).collect()
+    assert [x for x in lines[0].lines if x.startswith("# ")] == ["# A \\*t\\* — Slide 1", "# Slide 2"]
