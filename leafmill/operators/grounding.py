@@ -67,11 +67,11 @@ def rewrite_gate(slides: DataFrame) -> DataFrame:
     return out.withColumn("result", F.when(F.col("accepted"), new).otherwise(F.col("md")))
 
 
-def _grams(text: Column, width: Column | int) -> Column:
-    """The different runs of ``width`` signs of a text."""
+def _grams(text: Column, width: int) -> Column:
+    """The different runs of ``width`` signs of a text, whose signs are taken apart once: a substring would be counted from the begin each time."""
     n = F.length(text)
     places = F.when(n >= width, F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, width)))
+    return F.array_distinct(T.let(F.split(text, ""), lambda signs: F.transform(places, lambda i: F.array_join(F.slice(signs, i, F.lit(width)), ""))))
 
 
 def _smallest(grams: Column) -> Column:
@@ -80,13 +80,13 @@ def _smallest(grams: Column) -> Column:
 
 
 def _met(asked: DataFrame, index: DataFrame, key: str, most: int) -> DataFrame:
-    """asked (id, key, c, g) with the entries of the index (key, g, k) of the same gram."""
+    """asked (key, c, g) with the entries of the index (key, g, k) of the same gram."""
     entries = index.withColumnsRenamed({key: "key_", "g": "g_"})
     same = (F.col(key) == F.col("key_")) & (F.col("g") == F.col("g_"))
     if entries.count() <= most:
         return asked.join(F.broadcast(entries), same)
     salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return asked.join(salted, same & (F.pmod(F.xxhash64("id", "c"), F.lit(SALTS)).cast("int") == F.col("salt")))
+    return asked.join(salted, same & (F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int") == F.col("salt")))
 
 
 def label_pairs(candidates: DataFrame, labels: DataFrame, key: str, id: str = "id", most: int = MOST) -> DataFrame:
@@ -99,7 +99,9 @@ def label_pairs(candidates: DataFrame, labels: DataFrame, key: str, id: str = "i
     """
     held = labels.select(key, T.label_key(F.col("label")).alias("k")).where("k <> ''").distinct()
     asked = candidates.select(F.col(id).alias("id"), key, T.label_key(F.col("text")).alias("c")).where("c <> ''")
-    long = asked.where(F.length("c") >= GRAM)
+    # each text once; the aggregation also keeps the normalised text from being worked out anew for every gram
+    texts = asked.select(key, "c").distinct()
+    long = texts.where(F.length("c") >= GRAM)
     grams = held.select(key, "k", F.explode(_grams(F.col("k"), GRAM)).alias("g"))
     common = grams.groupBy(key, "g").agg(F.count("*").alias("n"))
     anchors = grams.join(common, [key, "g"]).groupBy(key, "k").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
@@ -108,5 +110,6 @@ def label_pairs(candidates: DataFrame, labels: DataFrame, key: str, id: str = "i
     runs = F.concat(_grams(F.col("c"), GRAM), *[_grams(F.col("c"), n) for n in widths])
     inside = _met(long.withColumn("g", F.explode(runs)), anchors, key, most).where(F.col("c").contains(F.col("k")))
     within = _met(long.withColumn("g", _smallest(_grams(F.col("c"), GRAM))), grams.select(key, "g", "k"), key, most).where(F.col("k").contains(F.col("c")))
-    equal = _met(asked.where(F.length("c") < GRAM).withColumn("g", F.col("c")), held.select(key, F.col("k").alias("g"), "k"), key, most)
-    return inside.select(key, "id").unionByName(within.select(key, "id")).unionByName(equal.select(key, "id")).distinct()
+    equal = _met(texts.where(F.length("c") < GRAM).withColumn("g", F.col("c")), held.select(key, F.col("k").alias("g"), "k"), key, most)
+    found = inside.select(key, "c").unionByName(within.select(key, "c")).unionByName(equal.select(key, "c"))
+    return asked.join(found.distinct(), [key, "c"], "left_semi").select(key, "id").distinct()
