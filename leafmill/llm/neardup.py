@@ -82,7 +82,7 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
-    """token, th_, size and place: the first shingles of each set, as many as any similar set must share one of."""
+    """token, th_ and place: the first shingles of each set, as many as any similar set must share one of."""
     shared = sets.sparkSession.sparkContext.broadcast(_frequent(sets))  # at most FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +97,11 @@ def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
                     own = own[np.argsort(np.where(tokens[at] == own, n[at], 0), kind="stable")]
                 found.append(own[:first])
                 places.append(np.arange(first))
-            counts, sizes = [len(f) for f in found], np.array([len(r) // 8 for r in common.values(batch.column(1))], np.int64)
+            counts = [len(f) for f in found]
             if sum(counts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ths, counts)), pa.array(np.repeat(sizes, counts)), pa.array(np.concatenate(places))], ["token", "th_", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ths, counts)), pa.array(np.concatenate(places).astype(np.int32))], ["token", "th_", "place"])
 
-    return sets.select("th_", "set").mapInArrow(run, "token long, th_ long, size long, place long")
+    return sets.select("th_", "set").mapInArrow(run, "token long, th_ long, place int")
 
 
 def _possible(similar: float) -> Column:
@@ -185,9 +185,13 @@ def links(docs: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
     """Pairs a < b of similar classes, enough of them that their components are those of all similar pairs."""
     sets = common.stage(_sets(docs, text), "sets")
     firsts = common.stage(_prefixes(sets, similar), "prefixes")
-    several = firsts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    at = common.stage(firsts.join(several, "token").join(sets.select("th_", *_BITS), "th_"), "shared-shingles")
+    # most shingles are in one text alone: they travel once, by themselves, and their shuffle files go before the rows of the others travel
+    several = common.stage(firsts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
+    shared = common.stage(firsts.join(several, "token"), "shared")
     common.drop_stage(firsts)
+    common.drop_stage(several)
+    at = common.stage(shared.join(sets.select("th_", "size", *_BITS), "th_"), "shared-shingles")
+    common.drop_stage(shared)
     pair = [F.least("x.th_", "y.th_").alias("a"), F.greatest("x.th_", "y.th_").alias("b")]
     whole = F.struct("th_", "size", "place", *_BITS)
     hubs = at.groupBy("token").agg(F.min(whole).alias("low"), F.max(whole).alias("high"))
