@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ from leafmill.operators import markdown as M
 PAGE_BREAK = '<div style="page-break-after: always; break-after: page;"></div>'
 #: Signs of a gram; entries of the index that are broadcast at most, and parts of a gram's candidates beyond.
 GRAM, MOST, SALTS = 4, 200_000, 16
+#: How a text and a label may meet: the label is inside the text, the text within the label, or both are short and equal.
+INSIDE, WITHIN, WHOLE = range(3)
 
 
 def grounded(candidate: Column, labels: Column) -> Column:
@@ -67,49 +74,101 @@ def rewrite_gate(slides: DataFrame) -> DataFrame:
     return out.withColumn("result", F.when(F.col("accepted"), new).otherwise(F.col("md")))
 
 
-def _grams(text: Column, width: int) -> Column:
-    """The different runs of ``width`` signs of a text, whose signs are taken apart once: a substring would be counted from the begin each time."""
-    n = F.length(text)
-    places = F.when(n >= width, F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(T.let(F.split(text, ""), lambda signs: F.transform(places, lambda i: F.array_join(F.slice(signs, i, F.lit(width)), ""))))
-
-
-def _smallest(grams: Column) -> Column:
-    """The gram of the smallest hash: one that texts agree on and that no language prefers."""
-    return F.array_min(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-
-
-def _met(asked: DataFrame, index: DataFrame, key: str, most: int) -> DataFrame:
-    """asked (key, c, g) with the entries of the index (key, g, k) of the same gram."""
-    entries = index.withColumnsRenamed({key: "key_", "g": "g_"})
-    same = (F.col(key) == F.col("key_")) & (F.col("g") == F.col("g_"))
-    if entries.count() <= most:
-        return asked.join(F.broadcast(entries), same)
-    salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return asked.join(salted, same & (F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int") == F.col("salt")))
+def _coded(text: np.ndarray, width: int) -> np.ndarray:
+    """64-bit codes of the runs of ``width`` signs that begin at each place of a text of code points."""
+    codes = np.full(max(len(text) - width + 1, 0), width, np.uint64)
+    for i in range(width):
+        codes = (codes ^ text[i : i + len(codes)]) * np.uint64(0x9E3779B97F4A7C15)
+        codes ^= codes >> np.uint64(29)
+    return codes
+
+
+def _coded_grams(rows: DataFrame, column: str, widths: tuple[int, ...], allowed: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """rows with kind and g, once for each: INSIDE for every gram of these widths, WITHIN for the gram of the smallest code, WHOLE for a text shorter than a gram.
+    Only codes that ``allowed`` (sorted, by kind) holds are given where it is known. A text of any length is held by itself, others some millions of signs at a time."""
+    held = rows.sparkSession.sparkContext.broadcast(allowed)
+    names, at = rows.columns, rows.columns.index(column)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+
+    def kept(kind: int, row: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those that are allowed, each once for each row."""
+        if held.value is not None:
+            known = np.append(held.value[kind], np.uint64(0))  # one more, so that every place is one of the array
+            met = np.searchsorted(known[:-1], codes)
+            hit = (known[met] == codes) & (met < len(known) - 1)
+            row, codes = row[hit], codes[hit]
+        by = np.lexsort((codes, row))
+        row, codes = row[by], codes[by]
+        first = np.append(True, (row[1:] != row[:-1]) | (codes[1:] != codes[:-1]))[: len(row)]
+        return row[first], codes[first]
+
+    def grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        signs = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        row, left = np.repeat(np.arange(len(texts)), sizes), np.repeat(ends, sizes) - np.arange(len(signs))
+        long = sizes >= GRAM
+        for width in widths:
+            codes = _coded(signs, width)
+            whole = (left[: len(codes)] >= width) & long[row[: len(codes)]]
+            yield INSIDE, row[: len(codes)][whole], codes[whole]
+            if width == GRAM and long.any():
+                least = np.minimum.reduceat(np.where(whole, codes, np.iinfo(np.uint64).max), (ends - sizes)[long])
+                yield WITHIN, np.flatnonzero(long), least
+        for width in range(1, GRAM):
+            own = np.flatnonzero(sizes == width)
+            yield WHOLE, own, _coded(signs, width)[(ends - sizes)[own]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            stops = np.cumsum([len(t) for t in texts]) // 1_000_000
+            for begin, stop in itertools.pairwise([*np.flatnonzero(np.diff(stops, prepend=-1)).tolist(), len(texts)]):
+                for kind, row, codes in grams(texts[begin:stop]):
+                    row, codes = kept(kind, row, codes)
+                    if len(row):
+                        columns = [c.take(pa.array(row + begin)) for c in batch.columns]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(row), kind, np.int32)), pa.array(codes.view(np.int64))], [*names, "kind", "g"])
+
+    return rows.mapInArrow(run, ", ".join([*fields, "kind int", "g long"]))
+
+
+def _index(held: DataFrame, key: str) -> DataFrame:
+    """Entries (key, kind, g, k) of labels: each under its gram that fewest labels have, under all its grams, and a short one under itself, for longer and for equal texts."""
+    coded = _coded_grams(held, "k", (GRAM,))
+    grams = coded.where(F.col("kind") == INSIDE)
+    common = grams.groupBy(key, "g").agg(F.count("*").alias("n"))
+    rarest = grams.join(common, [key, "g"]).groupBy(key, "k").agg(F.min_by("g", F.struct("n", "g")).alias("g")).select(key, F.lit(INSIDE).alias("kind"), "g", "k")
+    short = coded.where(F.col("kind") == WHOLE)
+    rest = grams.withColumn("kind", F.lit(WITHIN)).unionByName(short).unionByName(short.withColumn("kind", F.lit(INSIDE)))
+    return rarest.unionByName(rest.select(key, "kind", "g", "k"))
 
 
 def label_pairs(candidates: DataFrame, labels: DataFrame, key: str, id: str = "id", most: int = MOST) -> DataFrame:
     """The rows of candidates (id, key, text) that a label (key, label) of the same key grounds: key and id, once for each id.
 
-    Both sides are normalised once. Equal keys are an equi-join. A label within a candidate is found by an index that holds each label under one of its grams of four
-    signs, the one that fewest labels have (shorter labels under themselves), and that is asked for every gram of a candidate; a candidate within a label by
-    an index of all grams of the labels that is asked for one gram of the candidate. What an index gives is compared as text. Indexes of up to ``most``
-    entries are broadcast, larger ones joined by key and gram, salted. Null and blank texts match nothing.
+    Both sides are normalised once, and an index of grams of the labels names the pairs that may match: a label within a candidate stands under the one of its
+    grams of four signs that fewest labels have (shorter labels under themselves) and meets every gram of a candidate; a candidate within a label meets all grams
+    of the labels by one gram of its own; texts of fewer signs meet their equals. Grams are named by codes, and what meets is compared as text. An index of up to ``most``
+    entries is broadcast, and grams that it doesn't hold aren't given out; a larger one is joined by key and gram, salted. Null and blank texts match nothing.
     """
     held = labels.select(key, T.label_key(F.col("label")).alias("k")).where("k <> ''").distinct()
     asked = candidates.select(F.col(id).alias("id"), key, T.label_key(F.col("text")).alias("c")).where("c <> ''")
-    # each text once; the aggregation also keeps the normalised text from being worked out anew for every gram
     texts = asked.select(key, "c").distinct()
-    long = texts.where(F.length("c") >= GRAM)
-    grams = held.select(key, "k", F.explode(_grams(F.col("k"), GRAM)).alias("g"))
-    common = grams.groupBy(key, "g").agg(F.count("*").alias("n"))
-    anchors = grams.join(common, [key, "g"]).groupBy(key, "k").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    index = _index(held, key).withColumnsRenamed({key: "key_", "kind": "kind_", "g": "g_"})
+    small = index.count() <= most
+    allowed = None
+    if small:
+        codes = index.select("kind_", "g_").distinct().toArrow()  # at most ``most``
+        kinds, own = codes.column(0).to_numpy(), codes.column(1).to_numpy().view(np.uint64)
+        allowed = {kind: np.sort(own[kinds == kind]) for kind in (INSIDE, WITHIN, WHOLE)}
     widths = sorted(r[0] for r in held.select(F.length("k").alias("n")).where(F.col("n") < GRAM).distinct().collect())  # three at most
-    anchors = anchors.select(key, "g", "k").unionByName(held.where(F.length("k") < GRAM).select(key, F.col("k").alias("g"), "k"))
-    runs = F.concat(_grams(F.col("c"), GRAM), *[_grams(F.col("c"), n) for n in widths])
-    inside = _met(long.withColumn("g", F.explode(runs)), anchors, key, most).where(F.col("c").contains(F.col("k")))
-    within = _met(long.withColumn("g", _smallest(_grams(F.col("c"), GRAM))), grams.select(key, "g", "k"), key, most).where(F.col("k").contains(F.col("c")))
-    equal = _met(texts.where(F.length("c") < GRAM).withColumn("g", F.col("c")), held.select(key, F.col("k").alias("g"), "k"), key, most)
-    found = inside.select(key, "c").unionByName(within.select(key, "c")).unionByName(equal.select(key, "c"))
-    return asked.join(found.distinct(), [key, "c"], "left_semi").select(key, "id").distinct()
+    asks = _coded_grams(texts, "c", (GRAM, *widths), allowed)
+    same = (F.col(key) == F.col("key_")) & (F.col("kind") == F.col("kind_")) & (F.col("g") == F.col("g_"))
+    if small:
+        met = asks.join(F.broadcast(index), same)
+    else:
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = asks.join(salted, same & (F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int") == F.col("salt")))
+    matches = F.when(F.col("kind") == INSIDE, F.col("c").contains(F.col("k"))).when(F.col("kind") == WITHIN, F.col("k").contains(F.col("c"))).otherwise(F.col("c") == F.col("k"))
+    return asked.join(met.where(matches).select(key, "c").distinct(), [key, "c"], "left_semi").select(key, "id").distinct()
