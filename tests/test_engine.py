@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from leafmill import cli, config
 from leafmill.functions import text as T
 from leafmill.models import client, summarise
-from leafmill.operators import documents, grounding, images, media, pages, slides
+from leafmill.operators import documents, grounding, images, media, pages, retrieval, slides
 from leafmill.sinks import files as sink
 from leafmill.sinks.store import Store
 from leafmill.sources import inputs, pptx
@@ -49,6 +49,27 @@ def test_footers_and_images_count_all_pages(spark):
     assert documents.repeated_footers(foot.limit(4), whole).count() == 0
 
 
+def test_nearest_chunks_over_several_slices(spark):
+    rng = np.random.default_rng(5)
+    vectors = [v.tolist() for v in rng.integers(-3, 4, (120, 4)).astype(float)]  # many equal distances
+    vectors += [None, [0.0, None, 1.0, 1.0], [float("nan")] * 4, [float("inf"), 0.0, 0.0, 0.0], [1e200, 0.0, 0.0, 0.0], [1.0], []]
+    rows = [(i, i % 2, v) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id int, embedding array<double>")
+    asked = chunks.where("chunk_id % 3 = 0 or chunk_id >= 118").selectExpr("chunk_id as query_id", "document_id", "embedding as vector")
+
+    def far(a, b):
+        """Numbers, then NaN, then what isn't known."""
+        if a is None or b is None or len(a) != len(b) or None in (*a, *b):
+            return 2, 0.0
+        with np.errstate(all="ignore"):
+            d = float(np.sqrt(sum((np.float64(x) - np.float64(y)) * (np.float64(x) - np.float64(y)) for x, y in zip(a, b, strict=True))))
+        return (1, 0.0) if np.isnan(d) else (0, d)
+
+    want = {(q, c, n) for q, doc, v in rows if q % 3 == 0 or q >= 118 for n, (_, c) in enumerate(sorted((far(v, w), c) for c, d, w in rows if d == doc)[:7], 1)}
+    for most in (10, 4096):
+        assert {tuple(r) for r in retrieval.nearest_chunks(chunks, asked, 7, most).collect()} == want
+
+
 def _flow(items, tables):
     """Sequential model: merge, interleave, merge again, emit."""
 
