@@ -26,21 +26,22 @@ def _longest_run(sorted_: Column) -> Column:
 
 
 def quality_reason(markdown: Column) -> Column:
-    """Why a transcription is refused, or null; the first rule that holds names the reason. Lines are cut and normalised once, and a run of equal ones is found in their order."""
-    lines = F.filter(T.lines(markdown), lambda x: x.rlike(f"[^{T.WHITE}]"))
-    normal = lambda own: F.array_sort(F.transform(own, T.normalize_line))
-    return T.let(lines, lambda own: T.let(normal(own), lambda kinds: _reason(markdown, own, kinds)))
+    """Why a transcription is refused, or null; the first rule that holds names the reason. The text is made and its lines are cut once; only what is short
+    enough has its lines normalised, once, and a run of equal ones is found in their order."""
+    lines = lambda md: F.filter(T.lines(md), lambda x: x.rlike(f"[^{T.WHITE}]"))
+    return T.let(markdown, lambda md: T.let(lines(md), lambda own: _reason(md, own)))
 
 
-def _reason(markdown: Column, lines: Column, normal: Column) -> Column:
+def _reason(markdown: Column, lines: Column) -> Column:
     depth = F.coalesce(F.array_max(F.transform(F.filter(lines, T.is_bullet), lambda x: F.floor((F.length(x) - F.length(T.lstrip(x))) / 2))), F.lit(0))
     share = lambda part, whole: F.size(part).cast("double") / F.size(whole)
+    repeats = lambda normal: (_longest_run(normal) > EQUAL) | ((F.size(lines) >= MANY) & (share(F.array_distinct(normal), lines) < VARIETY))
     return (
         F.when(~F.coalesce(markdown, F.lit("")).rlike(f"[^{T.WHITE}]"), "empty")
         .when(F.size(lines) > LINES, "runaway length")
         .when(markdown.rlike(PLACEHOLDER), "placeholder")
         .when(depth > DEPTH, "excessive nesting")
-        .when((_longest_run(normal) > EQUAL) | ((F.size(lines) >= MANY) & (share(F.array_distinct(normal), lines) < VARIETY)), "repetitive")
+        .when(T.let(F.sort_array(F.transform(lines, T.normalize_line)), repeats), "repetitive")
         .when(T.let(F.regexp_extract_all(F.lower(markdown), F.lit("([a-z0-9]+)"), F.lit(1)), lambda words: (F.size(words) >= WORDS) & (share(F.array_distinct(words), words) < RICHNESS)), "low information")
     )
 

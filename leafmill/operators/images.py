@@ -103,8 +103,8 @@ def gated_category(answer: Column, failed: Column, width: Column, height: Column
 
 def gist_reason(md: Column, category: Column) -> Column:
     """Why a transcription is refused; a diagram's that passes but lists too much is enumerated."""
-    items = F.size(F.filter(T.lines(md), T.is_bullet))
-    return F.coalesce(D.quality_reason(md), F.when((category == "diagram") & (items > GIST_ITEMS), "enumerated"))
+    items = lambda text: F.size(F.filter(T.lines(text), T.is_bullet))
+    return T.let(md, lambda text: F.coalesce(D.quality_reason(text), F.when((category == "diagram") & (items(text) > GIST_ITEMS), "enumerated")))
 
 
 def once_per_digest(images: DataFrame, call, name: str) -> DataFrame:
