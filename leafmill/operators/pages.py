@@ -16,10 +16,8 @@ ROW, GAP, COLUMN_ROWS, EDGES, TITLE_SIZE, TITLE_LINES = 6.0, 30.0, 3, 8, 16.0, 4
 PAGE = ("document_id", "page")
 
 
-def rows_of(lines: DataFrame, key: tuple[str, ...] = PAGE, order: tuple[str, ...] = ("y0", "x0", "n")) -> DataFrame:
-    """``lines`` with row (from 1): a line belongs to the row of a first line at most ``ROW`` above it; and at, its place in reading order (from 1)."""
-    own = [c for c in lines.columns if c not in key]
-    page = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*own).alias("line")))).alias("a"))
+def _numbered(sorted_: Column) -> Column:
+    """Lines of a page (structs with y0, x0, n and line), sorted by y0 first, as structs of row, x0, y0, n and line in reading order."""
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
 
     def step(state: Column, x: Column) -> Column:
@@ -27,9 +25,17 @@ def rows_of(lines: DataFrame, key: tuple[str, ...] = PAGE, order: tuple[str, ...
         row = F.when(within, state["row"]).otherwise(state["row"] + 1)
         return F.struct(F.when(within, state["anchor"]).otherwise(x["y0"]).alias("anchor"), row.alias("row"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
-    numbered = page.select(*key, F.explode(F.arrays_zip("a", F.aggregate("a", start, step, lambda s: s["rows"]).alias("rows"))).alias("z"))
-    flat = numbered.select(*key, "z.a.line.*", F.col("z.rows").alias("row"))
-    return flat.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("row", "x0", "y0", "n")))
+    rows = F.aggregate(sorted_, start, step, lambda s: s["rows"])
+    place = lambda x, row: F.struct(row.alias("row"), x["line"]["x0"].alias("x0"), x["line"]["y0"].alias("y0"), x["line"]["n"].alias("n"), x["line"].alias("line"))
+    return F.sort_array(F.zip_with(sorted_, rows, place))
+
+
+def rows_of(lines: DataFrame, key: tuple[str, ...] = PAGE, order: tuple[str, ...] = ("y0", "x0", "n")) -> DataFrame:
+    """``lines`` with row (from 1): a line belongs to the row of a first line at most ``ROW`` above it; and at, its place in reading order (from 1)."""
+    own = [c for c in lines.columns if c not in key]
+    page = lines.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*own).alias("line")))).alias("a"))
+    numbered = page.select(*key, F.posexplode(_numbered(F.col("a"))).alias("at", "z"))
+    return numbered.select(*key, "z.line.*", "z.row", (F.col("at") + 1).alias("at"))
 
 
 def parallel_columns(lines: DataFrame, key: tuple[str, ...] = PAGE) -> DataFrame:
@@ -83,37 +89,49 @@ def bullet_levels(lines: DataFrame, key: tuple[str, ...] = PAGE) -> DataFrame:
     return edges.withColumn("level", F.dense_rank().over(Window.partitionBy(*key).orderBy("edge")) - 1)
 
 
-_ITEM = "array<struct<md:string,x0:double,y0:double,y1:double,h:double>>"
+#: A line as the flow needs it: bare of white space, its glyph and what stands behind it, the left edge, the sides and the height.
+_ITEM = "struct<bare:string,glyph:string,rest:string,edge:bigint,y0:double,y1:double,h:double>"
+
+
+def _item(lines: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """key, n, x0 and the fields of ``_ITEM``: each line is taken apart once."""
+    rows = lines.select(*key, "n", "x0", "y0", "y1", T.strip(F.col("md")).alias("bare"))
+    return rows.select(*rows.columns, T.bullet_glyph(F.col("bare")).alias("glyph"), T.after_bullet(F.col("bare")).alias("rest"), T.round_to_five(F.col("x0")).cast("long").alias("edge"), F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0)).alias("h"))
+
+
+def _lone(x: Column) -> Column:
+    return F.coalesce(x["glyph"].isNotNull() & (x["rest"] == ""), F.lit(False))
 
 
 def merge_lone_bullets(items: Column) -> Column:
     """An item that is a glyph alone joins the next item of its row and keeps its own place; the next is then used up."""
-    start = F.struct(F.array().cast(_ITEM).alias("out"), F.lit(False).alias("used"))
+    start = F.struct(F.array().cast(f"array<{_ITEM}>").alias("out"), F.lit(False).alias("used"))
 
     def step(state: Column, i: Column) -> Column:
         x, y = F.get(items, i), F.get(items, i + 1)
-        lone = T.bullet_glyph(x["md"]).isNotNull() & (T.after_bullet(x["md"]) == "") & y["md"].isNotNull() & (F.abs(y["y0"] - x["y0"]) <= ROW)
-        joined = F.struct(F.concat(T.bullet_glyph(x["md"]), F.lit(" "), T.lstrip(y["md"])).alias("md"), x["x0"].alias("x0"), x["y0"].alias("y0"), y["y1"].alias("y1"), y["h"].alias("h"))
-        lone = F.coalesce(lone, F.lit(False))
-        return F.when(state["used"], F.struct(state["out"].alias("out"), F.lit(False).alias("used"))).otherwise(F.struct(F.concat(state["out"], F.array(F.when(lone, joined).otherwise(x))).alias("out"), lone.alias("used")))
+        joins = F.coalesce(_lone(x) & y["bare"].isNotNull() & (F.abs(y["y0"] - x["y0"]) <= ROW), F.lit(False))
+        bare = F.when(y["bare"] == "", x["glyph"]).otherwise(F.concat(x["glyph"], F.lit(" "), y["bare"]))
+        joined = F.struct(bare.alias("bare"), x["glyph"].alias("glyph"), y["bare"].alias("rest"), x["edge"].alias("edge"), x["y0"].alias("y0"), y["y1"].alias("y1"), y["h"].alias("h"))
+        taken = T.let(joins, lambda j: F.struct(F.concat(state["out"], F.array(F.when(j, joined).otherwise(x))).alias("out"), j.alias("used")))
+        return F.when(state["used"], F.struct(state["out"].alias("out"), F.lit(False).alias("used"))).otherwise(taken)
 
-    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda s: s["out"])
+    merged = F.aggregate(F.sequence(F.lit(0), F.size(items) - 1), start, step, lambda s: s["out"])
+    return F.when(F.exists(items, _lone), merged).otherwise(items)
 
 
-def emit(items: Column, levels: Column) -> Column:
-    """Markdown lines of items in order: list items, their wrapped lines, and paragraphs. ``levels``: map of left edge to level."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("mode"), F.lit(0).alias("level"), F.lit(None).cast("double").alias("y1"))
+def emit(items: Column, edges: Column) -> Column:
+    """Markdown lines of items in order: list items, their wrapped lines, and paragraphs. ``edges``: the left edges of the page's bullets, in order."""
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), F.lit("").alias("mode"), F.lit(0).alias("level"), F.lit(None).cast("double").alias("y1"))
 
     def step(s: Column, x: Column) -> Column:
-        md = T.strip(x["md"])
-        rest, is_item = T.after_bullet(md), T.bullet_glyph(md).isNotNull()
+        md, rest, is_item = x["bare"], x["rest"], x["glyph"].isNotNull()
         near = F.coalesce(x["y0"] - s["y1"], F.lit(0.0)) <= x["h"] * 1.6
-        level = F.coalesce(F.element_at(levels, T.round_to_five(x["x0"]).cast("long")), F.lit(0))
+        level = F.greatest(F.coalesce(F.array_position(edges, x["edge"]), F.lit(0)).cast("int") - 1, F.lit(0))
         wrapped = (s["mode"] == "list") & near & ~md.startswith("**")
         apart = F.when(is_item, s["mode"] == "para").when(wrapped, False).when(s["mode"] == "list", True).otherwise((s["mode"] == "para") & ~near)
         line = F.when(is_item, F.concat(F.repeat(F.lit("  "), level), F.lit("-"), F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise(""))).when(wrapped, F.concat(F.repeat(F.lit("  "), s["level"] + 1), md)).otherwise(md)
-        out = F.concat(s["out"], F.when(apart, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), F.array(line))
+        out = F.concat(s["out"], F.when(apart, F.array(F.lit(""), line)).otherwise(F.array(line)))
         made = F.struct(out.alias("out"), F.when(is_item | wrapped, "list").otherwise("para").alias("mode"), F.when(is_item, level).otherwise(s["level"]).alias("level"), x["y1"].alias("y1"))
         return F.when(md == "", s).otherwise(made)
 
@@ -121,21 +139,32 @@ def emit(items: Column, levels: Column) -> Column:
 
 
 def page_markdown(lines: DataFrame, tables: DataFrame | None = None, key: tuple[str, ...] = PAGE) -> DataFrame:
-    """out: the Markdown lines of each page. Text and tables (key, y0, md lines) interleave by y, text first; a table ends the text before it."""
-    item = F.struct("at", F.struct("md", "x0", "y0", "y1", F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0)).alias("h")).alias("item"))
-    pages = rows_of(lines, key).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias("items"))
-    pages = pages.withColumn("items", merge_lone_bullets(F.col("items")))
-    edges = bullet_levels(lines, key).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("edge", "level"))).alias("levels"))
-    nodes = pages.select(*key, F.posexplode("items").alias("nth", "item")).select(*key, F.col("item.y0").alias("y"), F.lit(0).alias("kind"), "nth", "item", F.lit(None).cast("array<string>").alias("table"))
-    if tables is not None:
-        nodes = nodes.unionByName(tables.select(*key, F.col("y0").alias("y"), F.lit(1).alias("kind"), F.lit(0).alias("nth"), F.lit(None).cast(nodes.schema["item"].dataType).alias("item"), F.col("md").alias("table")))
-    order = Window.partitionBy(*key).orderBy("y", "kind", "nth")
-    nodes = nodes.withColumn("at", F.row_number().over(order)).withColumn("part", F.sum("kind").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("kind"))
-    parts = nodes.groupBy(*key, "part").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.struct("at", "item")))), lambda x: x["item"]).alias("items"), F.max("table").alias("table"))
-    parts = parts.join(edges, list(key), "left")
-    flow = emit(merge_lone_bullets(F.col("items")), F.coalesce("levels", F.create_map().cast("map<bigint,int>")))
-    made = F.concat(flow, F.coalesce(F.concat(F.col("table"), F.array(F.lit(""))), F.array().cast("array<string>")))
-    return parts.select(*key, "part", made.alias("lines")).groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "lines"))), lambda x: x["lines"])).alias("out"))
+    """out: the Markdown lines of each page. Text and tables (key, y0, md lines) interleave by y, text first; a table ends the text before it.
+    A page's lines and tables are gathered once, all else is a fold over its arrays."""
+    rows = _item(lines, key).select(*key, F.struct("y0", "x0", "n", F.struct("x0", "y0", "n", F.struct("bare", "glyph", "rest", "edge", "y0", "y1", "h").cast(_ITEM).alias("item")).alias("line")).alias("line"))
+    cut = "struct<y:double,table:array<string>>"
+    if tables is None:
+        both = rows.withColumn("cut", F.lit(None).cast(cut))
+    else:
+        cuts = tables.select(*key, F.struct(F.col("y0").cast("double").alias("y"), F.col("md").alias("table")).cast(cut).alias("cut"))
+        both = rows.unionByName(cuts, allowMissingColumns=True)
+    pages = both.groupBy(*key).agg(F.sort_array(F.collect_list("line")).alias("a"), F.sort_array(F.collect_list("cut")).alias("cuts"))
+    pages = pages.select(*key, "cuts", F.transform(_numbered(F.col("a")), lambda z: z["line"]["item"]).alias("items"))
+    edges = F.array_sort(F.array_distinct(F.transform(F.filter("items", lambda x: x["glyph"].isNotNull() & x["edge"].isNotNull()), lambda x: x["edge"])))
+    pages = pages.select(*key, "cuts", edges.alias("edges"), merge_lone_bullets(F.col("items")).alias("items"))
+    text = F.transform("items", lambda x, i: F.struct(x["y0"].alias("y"), F.lit(0).alias("kind"), i.alias("nth"), x.alias("item"), F.lit(None).cast("array<string>").alias("table")))
+    ends = F.transform("cuts", lambda c: F.struct(c["y"].alias("y"), F.lit(1).alias("kind"), F.lit(0).alias("nth"), F.lit(None).cast(_ITEM).alias("item"), c["table"].alias("table")))
+    pages = pages.select(*key, "edges", F.sort_array(F.concat(text, ends)).alias("nodes"))
+    begins = F.filter(F.transform("nodes", lambda x, i: F.when(x["kind"] == 1, i + 1)), lambda i: i.isNotNull())
+    pages = pages.select(*key, "edges", "nodes", F.concat(F.array(F.lit(0)), begins).alias("begins"))
+
+    def part(begin: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("begins", k + 1), F.size("nodes") + 1)
+        own = F.transform(F.slice("nodes", begin + 1, end - begin - 1), lambda x: x["item"])
+        table = F.get("nodes", end - 1)["table"]
+        return F.concat(T.let(own, lambda o: emit(merge_lone_bullets(o), F.col("edges"))), F.coalesce(F.concat(table, F.array(F.lit(""))), F.array().cast("array<string>")))
+
+    return pages.select(*key, F.flatten(F.transform("begins", part)).alias("out"))
 
 
 def raw_text(lines: DataFrame, key: tuple[str, ...] = PAGE) -> DataFrame:

@@ -37,18 +37,24 @@ def image_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").selectExpr("o_custkey % 100 as document_id", "o_orderkey as page")
 
 
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each line of an order, dealt by page, so that what groups by page needs no further shuffle."""
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("document_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("document_id", "l_orderkey")
+    return rows.groupBy("document_id", "l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+
+
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines that share rows, bullets (some alone on their line), bold lead-ins, numbers and titles of several sizes."""
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
-    rows = rows.selectExpr("l_orderkey as page", "l_orderkey % 40 as document_id", "l_linenumber as n", "p", "(p % 9) * 12.5D as x0", "20.0D + l_linenumber * (4 + s % 6) as y0", "cast(8 + s % 14 as double) as size")
+    rows = _rows(spark, d)
+    rows = rows.selectExpr("l_orderkey as page", "document_id", "l_linenumber as n", "p", "(p % 9) * 12.5D as x0", "20.0D + l_linenumber * (4 + s % 6) as y0", "cast(8 + s % 14 as double) as size")
     md = "case cast(p % 5 as int) when 0 then concat('\u2022 item ', p) when 1 then '\u2022' when 2 then concat('**Term ', p, '** is') when 3 then concat(' ', p % 1200, ' ') else concat('12 line ', p) end"
     return rows.selectExpr("document_id", "page", "n", "x0", "y0", "x0 + 20 + p % 50 as x1", "y0 + size as y1", "size", f"{md} as md", f"{md} as text")
 
 
 def grid_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines in up to three columns, a few of them as wide as all."""
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
-    rows = rows.selectExpr("l_orderkey % 40 as document_id", "l_orderkey as page", "l_linenumber as n", "p", "(l_linenumber % 3) * 120.0D + p % 5 as x0", "20.0D + (l_linenumber div 3) * 14 + s % 3 as y0")
+    rows = _rows(spark, d)
+    rows = rows.selectExpr("document_id", "l_orderkey as page", "l_linenumber as n", "p", "(l_linenumber % 3) * 120.0D + p % 5 as x0", "20.0D + (l_linenumber div 3) * 14 + s % 3 as y0")
     return rows.selectExpr("document_id", "page", "n", "x0", "y0", "x0 + if(p % 37 = 0, 300, 40 + p % 50) as x1", "y0 + 8 as y1", "concat(' cell|', p) as md", "concat(' cell|', p) as text")
 
 

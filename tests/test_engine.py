@@ -137,6 +137,13 @@ def _flow(items, tables):
     return out + emit(merge(held))
 
 
+def test_page_flow_gathers_a_page_once(spark):
+    """Lines and tables travel once each and meet in one group; numbering, merging and writing are folds over its arrays."""
+    df = spark.createDataFrame([(1, 1, 1, "a", 1.0, 2.0, 3.0, 4.0)], "document_id int, page int, n int, md string, x0 double, y0 double, x1 double, y1 double")
+    plan = pages.page_markdown(df, spark.createDataFrame([(1, 1, 3.0, ["t"])], "document_id int, page int, y0 double, md array<string>"))._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Generate" not in plan
+
+
 def test_page_flow_equals_a_sequential_model(spark):
     draw, rows, tables, want = random.Random(4), [], [], {}
     for page in range(120):
