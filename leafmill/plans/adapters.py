@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmill.sources.readers import table
 
+#: Rows of a large table that one task takes at a time.
+TASK = 500_000
+
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     first = "split(text, '\\n')[0]"
@@ -16,8 +19,11 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as images of their order's page. They are dealt by page, ``TASK`` at a time, so that what sorts or groups them by page holds so many, however large the table is."""
     lines, orders, parts = (table(spark, d, t) for t in ("lineitem", "orders", "part"))
-    both = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK))
+    named = lines.join(parts, lines.l_partkey == parts.p_partkey).select("l_orderkey", "l_linenumber", "p_partkey", "p_size")
+    both = named.repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     name = F.expr("if(l_linenumber <= 3 and o_custkey % 2 = 0, concat('logo', o_custkey % 100), concat('img', p_partkey % 50))")
     return both.select((F.col("o_custkey") % 100).alias("document_id"), F.col("o_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.substring(F.md5(name.cast("binary")), 1, 8).alias("digest"), (F.col("p_size") * 40).alias("width"), (F.col("p_size") * 10 + 60 * F.col("l_linenumber")).alias("height"))
 

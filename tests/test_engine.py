@@ -137,6 +137,15 @@ def _flow(items, tables):
     return out + emit(merge(held))
 
 
+def test_images_are_dealt_by_rows(spark, monkeypatch):
+    """Tasks hold so many lines, whatever partitions a session has or joins together."""
+    from leafmill.plans import adapters
+
+    monkeypatch.setattr(adapters, "TASK", 500)
+    rows = adapters.images(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in rows) > 5_000 and max(r.n for r in rows) < 1_000
+
+
 def test_page_flow_gathers_a_page_once(spark):
     """Lines and tables travel once each and meet in one group; numbering, merging and writing are folds over its arrays."""
     df = spark.createDataFrame([(1, 1, 1, "a", 1.0, 2.0, 3.0, 4.0)], "document_id int, page int, n int, md string, x0 double, y0 double, x1 double, y1 double")
