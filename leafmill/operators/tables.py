@@ -32,7 +32,7 @@ def cells(lines: DataFrame) -> DataFrame:
     """
     rows = P.rows_of(lines.select(*PAGE, "n", "x0", "y0", "x1", "y1", "md"))
     several = rows.withColumn("held", F.count("*").over(Window.partitionBy(*PAGE, "row"))).where("held > 1").drop("held")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "md"))), lambda x: T.strip(x["md"])), " ")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "md"))), lambda x: T.strip(x["md"])), " ")
     return bands(several).groupBy(*PAGE, "row", "band").agg(joined.alias("md"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
@@ -43,18 +43,18 @@ def detect(lines: DataFrame) -> DataFrame:
     groups by page, so one task holds a page at most. Pages without rows of several lines have none; lines with a null side are in no band of their own.
     """
     found = cells(lines)
-    held = found.groupBy(*PAGE, "row").agg(F.array_sort(F.collect_set("band")).alias("own"))
+    held = found.groupBy(*PAGE, "row").agg(F.sort_array(F.collect_set("band")).alias("own"))
     order = Window.partitionBy(*PAGE).orderBy("row")
     follows = (F.col("row") == F.lag("row").over(order) + 1) & (F.size(F.array_intersect("own", F.lag("own").over(order))) >= SHARED)
     runs = held.withColumn("opens", F.coalesce((~follows).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = runs.groupBy(*PAGE, "run").agg(F.count("*").alias("n_rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("all"))
+    whole = runs.groupBy(*PAGE, "run").agg(F.count("*").alias("n_rows"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("own")))).alias("all"))
     whole = whole.where((F.col("n_rows") >= ROWS) & (F.size("all") >= COLUMNS))
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     placed = found.join(runs.select(*PAGE, "row", "run"), [*PAGE, "row"]).join(whole, [*PAGE, "run"])
     rows = placed.groupBy(*PAGE, "run", "row", "n_rows", "all").agg(F.map_from_entries(F.collect_list(F.struct("band", "md"))).alias("texts"), *box)
     rows = rows.withColumn("line", F.transform("all", lambda b: F.coalesce(F.try_element_at("texts", b), F.lit(""))))
-    own = F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"])
+    own = F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"])
     out = rows.groupBy(*PAGE, "run", "n_rows", F.size("all").alias("n_cols")).agg(own.alias("cells"), *box)
     nth = F.row_number().over(order.orderBy("run"))
     return out.select(*PAGE, nth.alias("nth"), "x0", "y0", "x1", "y1", "n_rows", "n_cols", "cells", slides.table_lines(F.col("cells")).alias("md"))
