@@ -5,9 +5,9 @@ with the smallest of them, and fingerprints that differ in 2 bits at most. Texts
 prefix filter names the rest. Shingles have one order for all texts, those that are frequent in a sample last (the sample
 decides how long the work takes, not what is found). Two sets of a similarity of 0.8 share a shingle among the first ones of either,
 a fifth of the set and one more. Pairs that meet there are dropped only where their sizes, the places of the shingle or the parities
-of 256 or 4,096 classes of shingles rule out 0.8; all other pairs are compared in full. First each text is compared with those its fingerprint names and with the smallest and largest
-text at each shingle; then all pairs at a shingle that these links have not put into one group yet, in salted blocks. Components of
-the links are the groups; the smallest doc_id stays. A text of fewer than five words is one shingle, so that short texts join only their copies.
+of 256, 1,024 or 4,096 classes of shingles rule out 0.8; all other pairs are compared in full. First each text is compared with those its fingerprint names and with two
+texts at each shingle, drawn anew for each: texts that meet at many shingles are compared with many of their group, whose links then tie most of it. Then come all pairs at a shingle that these
+links have not put into one group yet, in salted blocks. Components of the links are the groups; the smallest doc_id stays. A text of fewer than five words is one shingle, so that short texts join only their copies.
 
 Equal texts (ASCII case and white space apart) are one class. Null counts as empty; all empty texts are one group. Of repeated rows one stays.
 An empty table gives an empty one. Texts may be of any length; a slice of a few megabytes or one text is held at a time. Names of inner columns are chosen anew,
@@ -33,6 +33,8 @@ SIMILAR, WIDTH, PARITIES, SAMPLE, FREQUENT, BLOCK = 0.8, 5, 4, 5_000, 1 << 17, 1
 SHARE = 0.1
 #: Classes of shingles of a sketch, whose parities rule out pairs of sets up to some thousand shingles.
 CLASSES = 4096
+#: Texts from which a shingle is crowded, and 64-bit words of parities that rule out its pairs: they grow with the square of the texts, and 256 parities let many unlike ones pass.
+CROWDED, MORE = 64, 16
 _BITS = [f"b{i}" for i in range(PARITIES)]
 
 
@@ -104,11 +106,11 @@ def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
     return sets.select("th_", "set").mapInArrow(run, "token long, th_ long, place int")
 
 
-def _possible(similar: float) -> Column:
+def _possible(similar: float, bits: list[str] = _BITS) -> Column:
     """Of two places x and y of a shingle: nothing rules out that it is the first shared one of similar sets."""
     x, y = F.col("x.size"), F.col("y.size")
     most = F.least(x - F.col("x.place"), y - F.col("y.place"))
-    odd = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS))
+    odd = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits))
     slack = F.lit(1e-6)
     return (F.least(x, y) >= F.greatest(x, y) * similar - slack) & (most >= (x + y) * (similar / (1 + similar)) - slack) & (odd <= (x + y) * ((1 - similar) / (1 + similar)) + slack)
 
@@ -125,6 +127,20 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return sets.select("th_", "size", "set").mapInArrow(run, "th_ long, size long, sketch binary")
 
 
+def _parities(sets: DataFrame, names: list[str]) -> DataFrame:
+    """th_ and the parities of 64 classes of shingles for each of ``names``."""
+    classes = 64 * len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(raw, np.uint64) for raw in common.values(batch.column(1))]
+            odd = [np.packbits((np.bincount((x % np.uint64(classes)).astype(np.int64), minlength=classes) & 1).astype(bool)).view(np.int64) for x in own]
+            columns = np.array(odd, np.int64).reshape(-1, len(names)).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["th_", *names])
+
+    return sets.select("th_", "set").mapInArrow(run, f"th_ long, {', '.join(f'{n} long' for n in names)}")
+
+
 def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The sets that a pair names."""
     return sets.join(pairs.select(F.explode(F.array("a", "b")).alias("th_")).distinct(), "th_", "left_semi")
@@ -193,23 +209,34 @@ def links(docs: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
     at = common.stage(shared.join(sets.select("th_", "size", *_BITS), "th_"), "shared-shingles")
     common.drop_stage(shared)
     pair = [F.least("x.th_", "y.th_").alias("a"), F.greatest("x.th_", "y.th_").alias("b")]
-    whole = F.struct("th_", "size", "place", *_BITS)
-    hubs = at.groupBy("token").agg(F.min(whole).alias("low"), F.max(whole).alias("high"))
-    met = at.select("token", whole.alias("x")).join(hubs, "token").select("x", F.explode(F.array("low", "high")).alias("y"))
+    drawn = F.struct(F.xxhash64("token", "th_").alias("draw"), "th_", "size", "place", *_BITS)
+    hubs = at.groupBy("token").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"))
+    met = at.select("token", drawn.alias("x")).join(hubs, "token").select("x", F.explode(F.array("low", "high")).alias("y"))
     first = _similar(met.where((F.col("x.th_") != F.col("y.th_")) & _possible(similar)).select(*pair).unionByName(_fingerprinted(sets)).distinct(), sets, similar)
     # texts in one group already need no further comparison
     roots = common.stage(simhash.components(first), "roots")
     rooted = at.join(roots.withColumnRenamed("node", "th_"), "th_", "left").withColumn("root", F.coalesce("root", "th_"))
     rooted = common.stage(rooted, "rooted")
     common.drop_stage(at)
-    open_ = rooted.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    whole = F.struct("th_", "size", "place", "root", *_BITS)
-    left = rooted.join(open_, "token").select("token", F.pmod(F.xxhash64("th_"), F.col("blocks")).alias("block"), whole.alias("x"))
-    right = rooted.join(open_, "token").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), whole.alias("y"))
-    more = left.join(right, ["token", "block"]).where((F.col("x.root") < F.col("y.root")) & _possible(similar)).select(*pair).distinct()
+    open_ = rooted.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "n", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    open_ = common.stage(open_, "open")
+    crowded = common.stage(open_.where(F.col("n") >= CROWDED), "crowded")
+    rows = common.stage(rooted.select("token", "th_", "size", "place", "root").join(crowded.select("token", "blocks"), "token"), "crowded-rows")
+    wide = [f"w{i}" for i in range(MORE)]
+    more_bits = _parities(sets.join(rows.select("th_").distinct(), "th_", "left_semi"), wide)
+
+    def pairs_of(rows: DataFrame, bits: list[str]) -> DataFrame:
+        """Pairs at one shingle whose groups differ and that these parities don't rule out."""
+        whole = F.struct("th_", "size", "place", "root", *bits)
+        left = rows.select("token", F.pmod(F.xxhash64("th_"), F.col("blocks")).alias("block"), whole.alias("x"))
+        right = rows.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), whole.alias("y"))
+        return left.join(right, ["token", "block"]).where((F.col("x.root") < F.col("y.root")) & _possible(similar, bits)).select(*pair)
+
+    few = rooted.join(open_.where(F.col("n") < CROWDED).select("token", "blocks"), "token")
+    more = pairs_of(few, _BITS).unionByName(pairs_of(rows.join(more_bits, "th_"), wide)).distinct()
     out = first.unionByName(_similar(more, sets, similar))
-    common.drop_stage(rooted)
-    common.drop_stage(sets)
+    for used in (rooted, open_, crowded, rows, sets):
+        common.drop_stage(used)
     return out
 
 

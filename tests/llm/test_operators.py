@@ -381,6 +381,27 @@ def test_keep_one_of_a_star(spark, length, replaced, variants):
     assert [r.doc_id for r in neardup.keep_one(frame(spark, texts)).collect()] == [0]
 
 
+def test_few_pairs_of_a_large_group_are_left_to_the_second_comparison(spark, monkeypatch):
+    # texts with four words replaced are similar only to the few with two
+    rng, n = np.random.default_rng(3), 400
+    a, texts = [f"w{i}" for i in range(300)], []
+    for v in range(n):
+        own = list(a)
+        for i in rng.choice(np.arange(6, 294, 6), rng.choice([2, 3, 4], p=[0.05, 0.2, 0.75]), replace=False):
+            own[i] = f"v{v}x{i}"
+        texts.append(" ".join(own))
+    similar, counts = neardup._similar, []
+
+    def counted(pairs, *rest):
+        pairs = common.stage(pairs, "counted")
+        counts.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_similar", counted)
+    assert [r.doc_id for r in neardup.keep_one(frame(spark, texts)).collect()] == [0]
+    assert len(counts) == 2 and counts[1] < 10 * n, counts
+
+
 def test_sample_of_shingles_grows_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SAMPLE", 10)
     # one text in twenty holds a shingle that ten texts would not show
