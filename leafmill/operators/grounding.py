@@ -152,8 +152,9 @@ def label_pairs(candidates: DataFrame, labels: DataFrame, key: str, id: str = "i
     of the labels by one gram of its own; texts of fewer signs meet their equals. Grams are named by codes, and what meets is compared as text. An index of up to ``most``
     entries is broadcast, and grams that it doesn't hold aren't given out; a larger one is joined by key and gram, salted. Null and blank texts match nothing.
     """
-    held = labels.select(key, T.label_key(F.col("label")).alias("k")).where("k <> ''").distinct()
-    asked = candidates.select(F.col(id).alias("id"), key, T.label_key(F.col("text")).alias("c")).where("c <> ''")
+    # a condition on a key itself would make each key twice
+    held = labels.where(T.bare_label(F.col("label")) != "").select(key, T.label_key(F.col("label")).alias("k")).distinct()
+    asked = candidates.where(T.bare_label(F.col("text")) != "").select(F.col(id).alias("id"), key, T.label_key(F.col("text")).alias("c"))
     texts = asked.select(key, "c").distinct()
     index = _index(held, key).withColumnsRenamed({key: "key_", "kind": "kind_", "g": "g_"})
     small = index.count() <= most

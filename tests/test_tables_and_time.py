@@ -49,6 +49,17 @@ def test_labels_by_index_equal_all_pairs(spark, most):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and 0 < len(want) < 300
 
 
+def test_label_keys_equal_patterns(spark):
+    r = random.Random(5)
+    signs = T._WHITE_SIGNS + "\"\u201c\u2019`*" * 3 + "aB\u00c9\u200b\u2003" * 4
+    rows = [("".join(r.choice(signs) for _ in range(r.randrange(9))),) for _ in range(3000)] + [(None,)]
+    quotes = "\"\u201c\u201d\u2018\u2019`*"
+    bare = F.regexp_replace(T.strip(F.col("t")), f"^[{quotes}]+|[{quotes}]+$", "")
+    want, got = F.lower(T.strip(F.regexp_replace(bare, f"[{T.WHITE}]+", " "))), T.label_key(F.col("t"))
+    df = spark.createDataFrame(rows, "t string")
+    assert df.where(~got.eqNullSafe(want) | ((got == "") != (T.bare_label(F.col("t")) == ""))).count() == 0
+
+
 def test_last_row_as_of(spark):
     r = random.Random(2)
     left = [(i, r.choice(["hot"] * 8 + ["a", None]), r.choice([None, *range(100)])) for i in range(400)]
