@@ -39,13 +39,14 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; a begun copy has the first words only."""
-    row, copy, begun, i, r, taken, size = common.fresh(docs.columns, "row", "copy", "begun", "i", "r", "taken", "size")
+    row, key, copy, begun, i, r, taken, size = common.fresh(docs.columns, "row", "key", "copy", "begun", "i", "r", "taken", "size")
     # Spark hashes no maps: as text it does
     cells = [F.to_json(c) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c) for c in docs.columns]
     keyed = docs.withColumn(row, F.xxhash64(*cells))
-    shares = mixing.mix(keyed, carry=("doc_id", row)).groupBy(F.col("c0").alias(i), F.col("c1").alias(r)).agg(F.sum("taken").alias(taken), F.first("size").alias(size))
-    one = keyed.dropDuplicates(["doc_id", row])
-    rows = one.join(shares.where(F.col(taken) > 0), F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(row) == F.col(r)))
+    shares = mixing.mix(keyed, carry=("doc_id", row)).groupBy(common.key_of("c0").alias(i), F.col("c1").alias(r)).agg(F.sum("taken").alias(taken), F.first("size").alias(size))
+    # whole rows travel once, for repeated rows and for the join
+    one = keyed.withColumn(key, common.key_of("doc_id")).dropDuplicates([key, row])
+    rows = one.join(shares.where(F.col(taken) > 0), (F.col(key) == F.col(i)) & (F.col(row) == F.col(r)))
     rows = rows.withColumn(copy, F.explode(F.expr(f"sequence(1L, cast(ceil({taken} / {size}) as long))")))
     left = F.col(taken) - (F.col(copy) - 1) * F.col(size)
     # parts end with a word each and hold the white space before it

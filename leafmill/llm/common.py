@@ -57,6 +57,24 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``stage``, in buckets of ``key``: joins on it don't deal these rows anew. The catalog keeps no entry; ``drop_stage`` deletes the files."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"spark_catalog.default.{path.rsplit('/', 1)[1].replace('-', '_')}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    buckets = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.insertInto(table)
+        return spark.table(table)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+        spark.sql(f"DROP TABLE {table}")  # its files are elsewhere than the warehouse and stay
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a staged frame that nothing reads any longer."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
@@ -65,6 +83,11 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def key_of(column: str) -> Column:
+    """A column as text that is never null: joins and groups on it deal rows alike, which ``eqNullSafe`` and ``dropDuplicates`` don't."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """Names for inner columns that no column in ``taken`` has, whatever its case."""
     used = {c.lower() for c in taken}

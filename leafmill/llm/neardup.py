@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, simhash
@@ -106,6 +106,12 @@ def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
     return sets.select("th_", "set").mapInArrow(run, "token long, th_ long, place int")
 
 
+def _shared(firsts: DataFrame) -> DataFrame:
+    """The rows of tokens that several texts hold. Most are in one text alone: all rows travel once, by their token, and those go before any is stored."""
+    (n,) = common.fresh(firsts.columns, "n")
+    return firsts.withColumn(n, F.count("*").over(Window.partitionBy("token"))).where(F.col(n) > 1).drop(n)
+
+
 def _possible(similar: float, bits: list[str] = _BITS) -> Column:
     """Of two places x and y of a shingle: nothing rules out that it is the first shared one of similar sets."""
     x, y = F.col("x.size"), F.col("y.size")
@@ -141,9 +147,14 @@ def _parities(sets: DataFrame, names: list[str]) -> DataFrame:
     return sets.select("th_", "set").mapInArrow(run, f"th_ long, {', '.join(f'{n} long' for n in names)}")
 
 
+def _named(sets: DataFrame, ths: DataFrame) -> DataFrame:
+    """The sets of some texts (th_). Only the names travel: sets lie in buckets, and a hash join doesn't sort them."""
+    return sets.join(ths.distinct().hint("shuffle_hash"), "th_", "left_semi")
+
+
 def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The sets that a pair names."""
-    return sets.join(pairs.select(F.explode(F.array("a", "b")).alias("th_")).distinct(), "th_", "left_semi")
+    return _named(sets, pairs.select(F.explode(F.array("a", "b")).alias("th_")))
 
 
 def _joined(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -199,13 +210,9 @@ def _fingerprinted(sets: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
     """Pairs a < b of similar classes, enough of them that their components are those of all similar pairs."""
-    sets = common.stage(_sets(docs, text), "sets")
-    firsts = common.stage(_prefixes(sets, similar), "prefixes")
-    # most shingles are in one text alone: they travel once, by themselves, and their shuffle files go before the rows of the others travel
-    several = common.stage(firsts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
-    shared = common.stage(firsts.join(several, "token"), "shared")
-    common.drop_stage(firsts)
-    common.drop_stage(several)
+    sets = common.stage_by(_sets(docs, text), "sets", "th_")
+    # the shuffle files of all prefixes go before the rows of the shared ones travel
+    shared = common.stage(_shared(_prefixes(sets, similar)), "shared")
     at = common.stage(shared.join(sets.select("th_", "size", *_BITS), "th_"), "shared-shingles")
     common.drop_stage(shared)
     pair = [F.least("x.th_", "y.th_").alias("a"), F.greatest("x.th_", "y.th_").alias("b")]
@@ -223,7 +230,7 @@ def links(docs: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
     crowded = common.stage(open_.where(F.col("n") >= CROWDED), "crowded")
     rows = common.stage(rooted.select("token", "th_", "size", "place", "root").join(crowded.select("token", "blocks"), "token"), "crowded-rows")
     wide = [f"w{i}" for i in range(MORE)]
-    more_bits = _parities(sets.join(rows.select("th_").distinct(), "th_", "left_semi"), wide)
+    more_bits = _parities(_named(sets, rows.select("th_")), wide)
 
     def pairs_of(rows: DataFrame, bits: list[str]) -> DataFrame:
         """Pairs at one shingle whose groups differ and that these parities don't rule out."""
@@ -248,9 +255,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     classes = common.stage(rows.groupBy("th_").agg(first.alias("first")), "classes")
     roots = simhash.components(links(docs, text))
     named = classes.join(roots.withColumnRenamed("node", "th_"), "th_", "left").withColumn("root", F.coalesce("root", "th_"))
-    stay = named.groupBy("root").agg(F.min(F.struct("first", "th_")).alias("s")).select(F.col("s.first.id").alias("id_"), F.col("s.th_").alias("t_"))
-    th, i, t = common.fresh(docs.columns, "th", "i", "t")
-    marked = docs.withColumn(th, _class(text))
-    stay = stay.withColumnsRenamed({"id_": i, "t_": t})
-    kept = marked.join(stay, marked[doc_id].eqNullSafe(F.col(i)) & (F.col(th) == F.col(t))).drop(i, t)
-    return kept.dropDuplicates([doc_id, th]).drop(th)
+    th, k, i, t = common.fresh(docs.columns, "th", "k", "i", "t")
+    stay = named.groupBy("root").agg(F.min(F.struct("first", "th_")).alias("s")).select(common.key_of("s.first.id").alias(i), F.col("s.th_").alias(t))
+    # whole rows travel once, for the join and for repeated rows
+    marked = docs.withColumn(k, common.key_of(doc_id)).withColumn(th, _class(text))
+    kept = marked.join(stay, (F.col(k) == F.col(i)) & (F.col(th) == F.col(t))).drop(i, t)
+    return kept.dropDuplicates([k, th]).drop(k, th)

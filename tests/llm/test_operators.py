@@ -402,6 +402,64 @@ def test_few_pairs_of_a_large_group_are_left_to_the_second_comparison(spark, mon
     assert len(counts) == 2 and counts[1] < 10 * n, counts
 
 
+def exchanges(df):
+    """Of the plan that ran: what is dealt out by rows, and not broadcast."""
+    df.collect()
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if re.search(r"\bExchange hashpartitioning", line)]
+
+
+def test_sets_stay_where_they_are(spark, monkeypatch):
+    # names of pairs that are too many to broadcast are dealt to the buckets of the sets, not the sets to them
+    made, stage_by = [], common.stage_by
+    monkeypatch.setattr(common, "stage_by", lambda *a: made.append(stage_by(*a)) or made[-1])
+    dropped, drop = [], common.drop_stage
+    monkeypatch.setattr(common, "drop_stage", dropped.append)
+    texts = [f"a b c d e f g h i j k l m n o p q r s t {i // 2} {i}" for i in range(200)]
+    neardup.links(frame(spark, texts), "text").collect()
+    (sets,) = made
+    assert any(x is sets for x in dropped) and sets.count() == 200 and not spark.sql("SHOW TABLES LIKE 'leafmill*'").collect()
+    ths = [r.th_ for r in sets.select("th_").orderBy("th_").collect()]
+    pairs = spark.createDataFrame(list(zip(ths[:60:2], ths[1:60:2], strict=True)), "a long, b long")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        of = neardup._of_pairs(pairs, sets)
+        assert len(exchanges(of)) == 1 and sorted(r.th_ for r in of.collect()) == ths[:60]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    drop(sets)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        sets.collect()
+
+
+def test_shared_prefixes_travel_once(spark):
+    rows = [(1, 10, 0), (1, 11, 3), (2, 10, 1), (-5, 12, 0), (-5, 10, 2), (-5, 11, 0), (7, 12, 1)]
+    shared = neardup._shared(spark.createDataFrame(rows, "token long, th_ long, place int"))
+    assert len(exchanges(shared)) == 1 and sorted(map(tuple, shared.collect())) == sorted(x for x in rows if x[0] not in (2, 7))
+
+
+def test_whole_rows_travel_once(spark):
+    import corpus_pipeline
+
+    # a null id and an empty one differ; rows with the text are dealt out once, for the join and for repeats
+    texts = [" ".join(f"w{i}x{j}" for j in range(i % 23 + 1)) for i in range(60)]
+    rows = [(None if i == 3 else "" if i == 4 else f"={i}", t, "en", f"s{i % 3}" if i % 5 else None, len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[3], rows[7], ("=9y", texts[9].upper(), "en", "s0", 9)], "doc_id string, text string, lang string, source string, n_chars long")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.keep_one(docs)
+        mixed = corpus_pipeline.mix_sources(spark, docs, "")
+        for df in (kept, mixed):
+            dealt = [x for x in exchanges(df) if "doc_id" in x or "key_" in x or re.search(r"\bk_#", x)]
+            assert len(dealt) == 1, dealt
+        assert sorted((r.doc_id or "null", r.text) for r in kept.collect()) == sorted((r[0] or "null", r[1]) for r in [*rows[:3], ("null", *rows[3][1:]), *rows[4:]])
+        taken = Counter(r.doc_id for r in mixed.collect())
+        assert None in taken and set(taken) <= {r.doc_id for r in docs.collect()} and max(taken.values()) <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 def test_sample_of_shingles_grows_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SAMPLE", 10)
     # one text in twenty holds a shingle that ten texts would not show
